@@ -61,7 +61,9 @@ def resample_sum(panel: DataFrame, freq: str, value: str = "y") -> DataFrame:
     labelled = panel.withColumn("period", period_label("ds", freq, origin))
     totals = labelled.groupBy("series_id", F.col("period").alias("ds")).agg(F.sum(value).alias(value))
     gap = _periods_between(F.col("ds"), F.lead("ds").over(along()), freq)
-    steps = totals.withColumn("step", F.explode(F.sequence(F.lit(0), F.coalesce(gap - 1, F.lit(0)))))
+    steps = totals.withColumn("empty", F.coalesce(gap - 1, F.lit(0))).withColumn(
+        "step", F.explode(F.sequence(F.lit(0), F.col("empty")))
+    )
     return steps.select(
         "series_id",
         F.when(F.col("step") == 0, F.col("ds")).otherwise(future_date("ds", "step", freq)).alias("ds"),

@@ -164,7 +164,7 @@ def factor_totals(factors: dict[str, DataFrame]) -> DataFrame:
         df.agg(
             F.count(F.lit(1)).alias("rows"),
             (
-                F.round(F.sum(FACTOR_TOTALS[kind]), 2) if kind in FACTOR_TOTALS
+                F.round(F.sum(FACTOR_TOTALS[kind]), 6) if kind in FACTOR_TOTALS
                 else F.lit(None).cast("double")
             ).alias("total"),
         ).select(F.lit(kind).alias("factor"), "rows", "total")

@@ -106,7 +106,7 @@ def raw_impacts(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderdate").alias("day"),
         F.when(key % 9 != 0, F.col("o_orderstatus")).alias("name"),
         F.col("o_orderpriority").alias("kind"),
-        F.when(key % 4 != 0, F.round(F.col("o_totalprice") / 100000, 2)).alias("lift"),
+        F.when(key % 4 != 0, F.col("o_totalprice") / 100000).alias("lift"),
     )
 
 
@@ -164,11 +164,11 @@ MEDIA = """media_plan AS (
   FROM orders GROUP BY 1, 2)"""
 HOLIDAYS = """holidays AS (
   SELECT CAST(o_orderdate AS DATE) AS ds, o_orderstatus AS holiday_name,
-         round(max(o_totalprice) / 400000, 4) AS holiday_impact
+         max(o_totalprice) / 400000 AS holiday_impact
   FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000 GROUP BY 1, 2)"""
 EVENTS = """promo_events AS (
   SELECT CAST(l_shipdate AS DATE) AS ds, l_linestatus AS event_name,
-         round(max(l_extendedprice) / 100000, 4) AS event_impact
+         max(l_extendedprice) / 100000 AS event_impact
   FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2)"""
 WEATHER = """weather AS (
   SELECT CAST(l_shipdate AS DATE) AS ds, sum(l_quantity) / count(*) AS temperature,
@@ -209,7 +209,7 @@ def holidays(spark: SparkSession, folder: str) -> DataFrame:
         scan(spark, folder, "orders")
         .filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 400000))
         .groupBy(F.to_date("o_orderdate").alias("ds"), F.col("o_orderstatus").alias("holiday_name"))
-        .agg(F.round(F.max("o_totalprice") / 400000, 4).alias("holiday_impact"))
+        .agg((F.max("o_totalprice") / 400000).alias("holiday_impact"))
     )
 
 
@@ -218,7 +218,7 @@ def promo_events(spark: SparkSession, folder: str) -> DataFrame:
         scan(spark, folder, "lineitem")
         .filter(F.col("l_quantity") >= 49)
         .groupBy(F.to_date("l_shipdate").alias("ds"), F.col("l_linestatus").alias("event_name"))
-        .agg(F.round(F.max("l_extendedprice") / 100000, 4).alias("event_impact"))
+        .agg((F.max("l_extendedprice") / 100000).alias("event_impact"))
     )
 
 

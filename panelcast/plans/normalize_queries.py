@@ -117,20 +117,20 @@ def n9(spark: SparkSession, folder: str) -> DataFrame:
 _IMPACT_SQL = """SELECT CAST(o_orderdate AS DATE) AS ds,
   CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus ELSE 'Unknown' END AS {p}_name,
   o_orderpriority AS {p}_type,
-  round(sum(CASE WHEN o_orderkey % 4 <> 0 THEN round(o_totalprice / 100000, 2) ELSE 1.0 END), 2)
+  round(sum(CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice / 100000 ELSE 1.0 END), 7)
   AS {p}_impact FROM orders GROUP BY 1, 2, 3"""
 
 
 @query("n10_holiday_impacts", _IMPACT_SQL.format(p="holiday"))
 def n10(spark: SparkSession, folder: str) -> DataFrame:
     out, _ = nz.normalize(i.raw_impacts(spark, folder), "holidays")
-    return out.withColumn("holiday_impact", cents(F.col("holiday_impact")))
+    return out.withColumn("holiday_impact", F.round("holiday_impact", 7))
 
 
 @query("n10_event_impacts", _IMPACT_SQL.format(p="event"))
 def n10b(spark: SparkSession, folder: str) -> DataFrame:
     out, _ = nz.normalize(i.raw_impacts(spark, folder), "events")
-    return out.withColumn("event_impact", cents(F.col("event_impact")))
+    return out.withColumn("event_impact", F.round("event_impact", 7))
 
 
 @query("n11_weather", """SELECT CAST(l_shipdate AS DATE) AS ds, l_returnflag AS station,
