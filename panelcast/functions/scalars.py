@@ -93,3 +93,9 @@ def date_text(value: Column | str) -> Column:
 
 def residual(actual: Column | str, forecast: Column | str) -> Column:
     return col(actual) - col(forecast)
+
+
+def correlation(y: Column | str, x: Column | str) -> Column:
+    """Aggregate: Pearson correlation of the complete pairs; null where a side is constant."""
+    spread = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
+    return F.try_divide(F.regr_sxy(y, x), F.when(spread > 0, spread))

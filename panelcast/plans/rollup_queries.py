@@ -122,9 +122,9 @@ def a9(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("a10_factor_totals", i.with_sql(*i.FACTOR_SQL) + """SELECT 'promotions' AS factor, count(*) AS rows,
-  round(sum(discount), 6) AS total FROM promotions
-  UNION ALL SELECT 'media_plan', count(*), round(sum(media_spend), 6) FROM media_plan
-  UNION ALL SELECT 'holidays', count(*), round(sum(holiday_impact), 6) FROM holidays
+  round(sum(discount), 2) AS total FROM promotions
+  UNION ALL SELECT 'media_plan', count(*), round(sum(media_spend), 2) FROM media_plan
+  UNION ALL SELECT 'holidays', count(*), round(sum(holiday_impact), 2) FROM holidays
   UNION ALL SELECT 'events', count(*), NULL FROM promo_events
   UNION ALL SELECT 'weather', count(*), NULL FROM weather
   UNION ALL SELECT 'competitor', count(*), NULL FROM competitor
