@@ -77,10 +77,13 @@ def with_baseline(
 def as_arrays(panel: DataFrame, *values: str) -> DataFrame:
     """One row per series: its values as arrays in date order and its last date.
 
-    The panel has one row per period, so an array is bounded by the calendar.
+    The panel has one row per period, so an array is bounded by the calendar. The
+    partition number is set: it follows the cost of the numeric work done on the arrays
+    and must not shrink with their size in bytes.
     """
     ordered = F.array_sort(F.collect_list(F.struct("ds", *(values or ("y",)))))
-    out = panel.groupBy("series_id").agg(ordered.alias("rows"))
+    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = panel.repartition(parts, "series_id").groupBy("series_id").agg(ordered.alias("rows"))
     picked = [F.col("rows")[v].alias(f"{v}s") for v in (values or ("y",))]
     return out.select(
         "series_id", *picked, F.col("rows")["ds"].alias("dss"),

@@ -212,14 +212,17 @@ def event_calendar(panel: DataFrame, countries: Sequence[str], public_holidays:
     ``public_holidays`` (ds, name, type, country) comes from the caller; where it names
     the same event on the same day it wins.
     """
-    years = years_of(panel)
+    # one aggregate over the panel; its uses below share a single subquery
+    span = panel.agg(F.struct(F.min("ds").alias("first"), F.max("ds").alias("last"))).scalar()
+    first, last = span.getField("first"), span.getField("last")
+    every_year = F.explode(F.sequence(F.year(first), F.year(last)))
+    years = panel.sparkSession.range(1).select(every_year.alias("year"))
     parts = [public_holidays.select("ds", "name", "type", "country")] if public_holidays is not None else []
     if include_cultural:
         parts.append(feasts(years, countries))
     if include_sports:
         parts.append(sports(years, countries))
     merged = union_by_priority(parts, ["ds", "name", "country"], ["type"]).drop("source")
-    first, last = panel.agg(F.min("ds")).scalar(), panel.agg(F.max("ds")).scalar()
     return merged.filter(F.col("ds").between(first, last))
 
 

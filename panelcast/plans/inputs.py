@@ -172,7 +172,7 @@ EVENTS = """promo_events AS (
   FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2)"""
 WEATHER = """weather AS (
   SELECT CAST(l_shipdate AS DATE) AS ds, sum(l_quantity) / count(*) AS temperature,
-         max(l_linenumber) * 1.0 AS rainfall
+         CAST(max(l_linenumber) AS DOUBLE) AS rainfall
   FROM lineitem GROUP BY 1)"""
 COMPETITOR = """competitor AS (
   SELECT CAST(l_shipdate AS DATE) AS ds, l_returnflag AS competitor_name,

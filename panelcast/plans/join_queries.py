@@ -128,13 +128,13 @@ def enrich_match(forecast: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 @query("j8_event_windows", i.with_sql(i.REGION, EVENTS_US) + """SELECT series_id, e.ds AS event_ds, name,
-  round(avg(CASE WHEN r.ds < e.ds THEN y END), 4) AS baseline, count(CASE WHEN r.ds < e.ds THEN y END) AS baseline_rows,
-  round(avg(CASE WHEN r.ds >= e.ds THEN y END), 4) AS during, count(CASE WHEN r.ds >= e.ds THEN y END) AS event_rows
+  round(avg(CASE WHEN r.ds < e.ds THEN y END), 7) AS baseline, count(CASE WHEN r.ds < e.ds THEN y END) AS baseline_rows,
+  round(avg(CASE WHEN r.ds >= e.ds THEN y END), 7) AS during, count(CASE WHEN r.ds >= e.ds THEN y END) AS event_rows
   FROM us_events e JOIN region_panel r ON r.ds BETWEEN e.ds - 21 AND e.ds + 1 GROUP BY 1, 2, 3""")
 def j8(spark: SparkSession, folder: str) -> DataFrame:
     panel = region_panel(spark, folder)
     out = enrich.window_means(us_events(panel).select(F.col("ds").alias("event_ds"), "name"), panel)
-    return out.withColumns({"baseline": F.round("baseline", 4), "during": F.round("during", 4)})
+    return out.withColumns({"baseline": F.round("baseline", 7), "during": F.round("during", 7)})
 
 
 @query("j9_chart_rows", i.with_sql(i.REGION, *BACKTEST, *ms.wma("bt_train", 30), *ms.naive("region_panel", 10), *ms.wma("region_panel", 10, name="base")) + """
