@@ -12,7 +12,7 @@ from .additive import AdditiveRegression
 from .arima import ARIMA, SARIMAX
 from .base import FORECAST, Factors, Forecaster
 from .boosted import Boosted, boosted_rows
-from .smoothing import ETS, Theta
+from .smoothing import ETS, STL, Theta
 from .wma import WMA, Naive
 
 STRATEGIES = ["boosted", "hybrid", "additive", "sarimax", "theta", "wma", "arima", "ets"]
@@ -127,11 +127,5 @@ class AutoML:
 
 def default_models() -> dict[str, Forecaster]:
     """Every forecaster under its name."""
-    found = [WMA(), Naive(), ETS(), Theta(), STL_(), ARIMA(), SARIMAX(), AdditiveRegression(), Boosted(), boosted_rows(), AutoML()]
+    found = [WMA(), Naive(), ETS(), Theta(), STL(), ARIMA(), SARIMAX(), AdditiveRegression(), Boosted(), boosted_rows(), AutoML()]
     return {m.name: m for m in found}
-
-
-def STL_() -> Forecaster:
-    from .smoothing import STL
-
-    return STL()

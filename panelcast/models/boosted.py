@@ -19,7 +19,7 @@ from ..functions.scalars import safe_float
 from ..operators.enrich import attach_factors, wide_factors
 from ..operators.grid import LAGS, ROLLING, calendar_features, lag_features, rolling_features
 from ..session import cut_lineage, ensure_checkpoint_dir
-from .base import Factors, banded
+from .base import Factors, banded, steps
 
 CALENDAR = [
     "dayofweek", "dayofmonth", "month", "quarter", "year", "weekofyear", "is_weekend", "is_month_start", "is_month_end",
@@ -102,31 +102,47 @@ class Boosted:
         if self.model is None:
             raise ValueError("the model is not fitted")
         outside = [c for c in self.features if c not in CALENDAR and not c.startswith(("lag_", "rolling_"))]
-        wide = wide_factors(factors) if factors and outside else None
+        if outside:
+            fitted = self._with_future(fitted, outside, horizon, freq, factors)
         assembler = VectorAssembler(inputCols=self.features, outputCol="features", handleInvalid="keep")
-        keep = ["series_id", "last_ds", "level", "recent", "values"]
+        future = ["future"] if outside else []
         state = fitted.withColumn("values", F.array().cast("array<double>"))
         for step in range(1, horizon + 1):
             frame = state.withColumn("ds", future_date("last_ds", F.lit(step), freq))
-            if wide is not None:
-                frame = frame.join(wide.select("ds", *[c for c in outside if c in wide.columns]), "ds", "left")
             frame = self._step_features(frame)
-            frame = frame.withColumns({c: F.coalesce(F.col(c) if c in frame.columns else F.lit(0.0), F.lit(0.0)) for c in outside})
+            if outside:
+                now = F.get("future", F.lit(step - 1))
+                frame = frame.withColumns({c: F.coalesce(now[c], F.lit(0.0)) for c in outside})
             guessed = self.model.transform(assembler.transform(frame))
             value = safe_float("prediction")
             if self.non_negative:
                 value = F.greatest(value, F.lit(0.0))
             state = guessed.withColumn("value", value).select(
-                "series_id", "last_ds", "level",
+                "series_id", "last_ds", "level", *future,
                 F.slice(F.concat("recent", F.array("value")), -F.least(F.size("recent") + 1, F.lit(MEMORY)), F.lit(MEMORY)).alias("recent"),
                 F.concat("values", F.array("value")).alias("values"),
-            ).select(*keep)
+            )
             if step % CUT_EVERY == 0 and step < horizon:
                 state = cut_lineage(state)
         rows = state.select("series_id", "last_ds", "level", F.posexplode("values").alias("pos", "value"))
         dated = rows.withColumn("step", F.col("pos") + 1).withColumn("ds", future_date("last_ds", "step", freq))
         return banded(dated, F.col("value") * F.col("level"), None, 0.15, self.non_negative)
 
+    @staticmethod
+    def _with_future(
+        fitted: DataFrame, names: list[str], horizon: int, freq: str, factors: Factors | None
+    ) -> DataFrame:
+        """Factor values of all steps as one array per series: the factors are read once."""
+        dated = steps(fitted.select("series_id", "last_ds"), horizon, freq)
+        known: list[str] = []
+        if factors:
+            wide = wide_factors(factors)
+            known = [c for c in names if c in wide.columns]
+            dated = dated.join(wide.select("ds", *known), "ds", "left")
+        values = [F.coalesce(F.col(c) if c in known else F.lit(0.0), F.lit(0.0)).alias(c) for c in names]
+        rows = dated.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("step", *values))).alias("future"))
+        return fitted.join(rows, "series_id")
+
     def importance(self, spark: SparkSession, k: int = 20) -> DataFrame:
         """Features by gain, as shares of the largest."""
         if self.model is None:

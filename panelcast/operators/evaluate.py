@@ -106,17 +106,30 @@ def cross_validate(
     panel: DataFrame, model: Forecaster, horizon: int = 7, folds: int = FOLDS, freq: str = "D",
     factors: Factors | None = None, rows: DataFrame | None = None,
 ) -> DataFrame:
-    """Metrics per series and fold. All folds of all series are fitted in one job."""
+    """Metrics per series and fold, forecasts and actual values matched by position.
+
+    All folds of all series are fitted in one job, with the fold as part of the series
+    key. A model that pools its training rows gets one fit per fold instead, so that no
+    fold learns from another one's test rows.
+    """
     rows = cv_folds(panel, horizon, folds) if rows is None else rows
-    keyed = rows.withColumn("series_id", F.concat("series_id", F.lit(FOLD_MARK), F.col("fold")))
+    keyed = rows.withColumn("series_id", F.concat("series_id", F.lit(FOLD_MARK), F.col("fold").cast("string")))
+    if getattr(model, "pooled", False):
+        numbers = sorted(r[0] for r in rows.select("fold").distinct().collect())
+        parts = [keyed.filter(F.col("fold") == n) for n in numbers]
+    else:
+        parts = [keyed]
+    scored = union_all([_score_folds(part, model, horizon, freq, factors) for part in parts])
+    series = F.substring_index("series_id", FOLD_MARK, 1)
+    return scored.withColumn("series_id", series).withColumn("model", F.lit(model.name))
+
+
+def _score_folds(keyed: DataFrame, model: Forecaster, horizon: int, freq: str, factors: Factors | None) -> DataFrame:
     train = keyed.filter(F.col("role") == "train").select("series_id", "ds", "y")
     test = keyed.filter(F.col("role") == "test").select("series_id", "fold", "step", "y")
-    longest = horizon
-    forecast = model.forecast(model.fit(train, factors), longest, freq, factors)
+    forecast = model.forecast(model.fit(train, factors), horizon, freq, factors)
     pairs = test.join(forecast.select("series_id", "step", "yhat"), ["series_id", "step"])
-    scored = error_metrics(pairs, ["series_id", "fold"], ape_limit=1000.0)
-    series = F.substring_index("series_id", FOLD_MARK, 1)
-    return scored.withColumn("series_id", series).withColumn("model", F.lit(model.name))
+    return error_metrics(pairs, ["series_id", "fold"], ape_limit=1000.0)
 
 
 def fold_summary(fold_metrics: DataFrame, keys: Sequence[str] = ("series_id", "model")) -> DataFrame:
@@ -159,27 +172,42 @@ def match_actuals(forecast: DataFrame, actual: DataFrame) -> DataFrame:
     return forecast.join(actual.select("series_id", "ds", "y"), ["series_id", "ds"])
 
 
-def backtest(
-    panel: DataFrame, models: Sequence[Forecaster], overlap: int = 0, freq: str = "D",
-    factors: Factors | None = None, horizon: int | None = None,
+def _forecast_test_part(
+    split: DataFrame, models: Sequence[Forecaster], freq: str, factors: Factors | None, horizon: int | None
 ) -> DataFrame:
-    """Forecast rows of every model over the test part, with the actual values.
+    """Forecasts of the models trained on ``train`` rows, at the dates of ``test`` rows.
 
-    The horizon is the longest test part of all series unless it is given.
+    Every series is forecast as many steps as it has test rows, matched by date.
     """
-    split = backtest_split(panel, overlap, freq)
     train = split.filter(F.col("split") == "train").select("series_id", "ds", "y")
     test = split.filter(F.col("split") == "test")
+    sizes = test.groupBy("series_id").agg(F.count(F.lit(1)).alias("test_rows"))
     if horizon is None:
-        sizes = test.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-        horizon = sizes.agg(F.max("n")).first()[0] or 1
+        horizon = sizes.agg(F.max("test_rows")).first()[0] or 1
     known = {k: within_range(f, test) for k, f in factors.items()} if factors else None
     parts = [
         model.forecast(model.fit(train, factors), horizon, freq, known)
         .withColumn("model", F.lit(model.name))
         for model in models
     ]
-    return match_actuals(union_all(parts), test)
+    reached = union_all(parts).join(sizes, "series_id").filter(F.col("step") <= F.col("test_rows"))
+    return match_actuals(reached.drop("test_rows"), test)
+
+
+def backtest(
+    panel: DataFrame, models: Sequence[Forecaster], overlap: int = 0, freq: str = "D",
+    factors: Factors | None = None, horizon: int | None = None,
+) -> DataFrame:
+    """Forecast rows of every model over the backtest window, with the actual values."""
+    return _forecast_test_part(backtest_split(panel, overlap, freq), models, freq, factors, horizon)
+
+
+def holdout(
+    panel: DataFrame, models: Sequence[Forecaster], train_ratio: float = 0.8, freq: str = "D",
+    factors: Factors | None = None, horizon: int | None = None,
+) -> DataFrame:
+    """Forecast rows of every model over the held-out share, with the actual values."""
+    return _forecast_test_part(split_panel(panel, train_ratio), models, freq, factors, horizon)
 
 
 def graded(metrics: DataFrame) -> DataFrame:
