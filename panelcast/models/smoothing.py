@@ -42,15 +42,17 @@ class Theta:
         # ratios need positive data; otherwise the phases stay as they are
         season = phased.withColumn("season", F.when(low > 0, index).otherwise(1.0))
         plain = season.withColumn("x", F.when(F.col("season") > 0, F.col("y") / F.col("season")).otherwise(F.col("y")))
-        arrays = as_arrays(plain, "x", "season", "idx", "cycle")
+        arrays = as_arrays(plain, "x", "season", "cycle")
         rows = arrays.withColumns({"n": F.size("xs"), "cycle": F.element_at("cycles", -1)})
-        slope = plain.groupBy("series_id").agg(F.regr_slope("x", "idx").alias("slope"))
-        rows = rows.join(slope, "series_id")
+        # least squares on 0..n-1: the index has variance (n^2 - 1) / 12
+        size = F.col("n").cast("double")
+        moment = F.aggregate(F.transform("xs", lambda x, i: x * (i - (size - 1) / 2)), F.lit(0.0), lambda s, v: s + v)
+        rows = rows.withColumn("slope", ratio(moment * 12, size * (size * size - 1), 0.0))
         grid = (self.alpha,) if self.alpha is not None else self.alphas
         fits = F.transform(F.array(*[F.lit(a) for a in grid]), self._smooth)
         best = F.array_min(fits)
         return rows.withColumn("best", best).select(
-            "series_id", "last_ds", "n", "cycle", F.coalesce("slope", F.lit(0.0)).alias("slope"),
+            "series_id", "last_ds", "n", "cycle", "slope",
             F.col("best.alpha").alias("alpha"), F.col("best.level").alias("level"),
             F.sqrt(F.col("best.sse") / F.greatest(F.col("n") - 1, F.lit(1))).alias("sigma"),
             F.slice("seasons", -F.col("cycle"), F.col("cycle")).alias("seasons"),

@@ -348,13 +348,10 @@ def lagged_factor_correlation(panel: DataFrame, factor: DataFrame, lags: int) ->
     long = panel.select("series_id", "ds", "y").join(factor, "ds").select("series_id", "ds", "y", F.explode(values).alias("v"))
     rows = long.select("series_id", "ds", "y", "v.*")
     order = Window.partitionBy("series_id", "column").orderBy("ds")
-    lagged = rows.withColumns({f"x_{k}": F.lag("x", k).over(order) for k in range(1, lags)} | {"x_0": F.col("x")})
-    sums = lagged.groupBy("series_id", "no", "column").agg(
-        F.count(F.lit(1)).alias("n"), *[correlation("y", f"x_{k}").alias(f"r{k}") for k in range(lags)]
-    )
-    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("r")) for k in range(lags)])
-    return sums.select("series_id", "no", "column", "n", F.explode(pairs).alias("p")).select(
-        "series_id", "no", "column", "n", "p.lag", "p.r"
+    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), (F.lag("x", k).over(order) if k else F.col("x")).alias("x")) for k in range(lags)])
+    paired = rows.withColumn("pairs", pairs).select("series_id", "no", "column", "y", F.explode("pairs").alias("p"))
+    return paired.groupBy("series_id", "no", "column", "p.lag").agg(
+        F.count(F.lit(1)).alias("n"), correlation("y", "p.x").alias("r")
     )
 
 

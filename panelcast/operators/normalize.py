@@ -29,10 +29,20 @@ VALUE_ALIASES = [
     "value", "y", "sales", "demand", "revenue", "quantity", "qty", "units", "amount",
 ]
 
-# Accepted date spellings; month-first wins over day-first where both are possible.
+# Accepted date spellings with their shapes; month-first wins over day-first where both
+# are possible. The shape test keeps the parser away from text it would reject, as a
+# rejection costs far more than a test.
 DATE_FORMATS = [
-    "yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "d-MMM-yyyy", "d MMM yyyy",
-    "MMM d, yyyy", "yyyyMMdd", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s",
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("M/d/yyyy", r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
+    ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+    ("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("yyyy-M-d'T'H:m:s", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$"),
 ]
 
 
@@ -145,7 +155,7 @@ def parse_date(df: DataFrame, name: str) -> Column:
     if not isinstance(df.schema[name].dataType, T.StringType):
         return F.to_date(column)
     text = F.trim(column)
-    return F.coalesce(*[F.try_to_date(text, spelling) for spelling in DATE_FORMATS])
+    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_date(text, spelling)) for spelling, shape in DATE_FORMATS])
 
 
 def drop_empty(df: DataFrame) -> DataFrame:
@@ -177,8 +187,9 @@ def fill_by_date(
     earlier date, else of the nearest later one. The window runs over one row per
     key and date, never over the raw rows, and only rows with a gap are joined.
     """
+    # a plain maximum aggregates by hash; only named ties need the ordered form
     observed = [
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*ties, c))).alias(c)
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*ties, c))).alias(c) if ties else F.max(c).alias(c)
         for c in columns
     ]
     by_date = df.groupBy(*keys, ds).agg(*observed)

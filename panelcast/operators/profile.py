@@ -72,49 +72,51 @@ def season_class(n: Column, ac7: Column, ac30: Column, ac365: Column) -> Column:
 
 
 def characteristics(panel: DataFrame) -> DataFrame:
-    """Length, moments, trend and seasonality class and outlier share per series."""
-    known = panel.filter(F.col("y").isNotNull())
-    stats = indexed(known, 7, 30, 365).groupBy("series_id").agg(
+    """Length, moments, trend and seasonality class and outlier share per series.
+
+    Windows and the final group-by share one exchange on the series key.
+    """
+    whole = Window.partitionBy("series_id")
+    counted = panel.withColumn("missing", F.avg(F.col("y").isNull().cast("double")).over(whole) * 100)
+    known = counted.filter(F.col("y").isNotNull())
+    cut = indexed(known, 7, 30, 365).withColumn("cut", F.percentile("y", [0.25, 0.75]).over(whole))
+    stats = cut.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("length"),
         F.avg("y").alias("mean"),
         F.stddev_samp("y").alias("std"),
+        F.max("missing").alias("missing_pct"),
         F.min("ds").alias("min_date"),
         F.max("ds").alias("max_date"),
         F.regr_slope("y", "idx").alias("slope"),
         correlation("y", "y_lag_7").alias("ac7"),
         correlation("y", "y_lag_30").alias("ac30"),
         correlation("y", "y_lag_365").alias("ac365"),
-    )
-    rows = panel.groupBy("series_id").agg(
-        (F.count_if(F.col("y").isNull()) / F.count(F.lit(1)) * 100).alias("missing_pct")
+        _outliers(),
     )
     n = F.col("length")
-    return (
-        stats.join(outlier_share(known), "series_id")
-        .join(rows, "series_id")
-        .select(
-            "series_id", "length", "mean", "std",
-            ratio("std", "mean", 0.0).alias("cv"),
-            "missing_pct", "min_date", "max_date", "slope",
-            trend_class(F.col("slope"), F.col("mean"), n).alias("trend"),
-            season_class(n, F.col("ac7"), F.col("ac30"), F.col("ac365")).alias("seasonality"),
-            "outliers_pct",
-        )
+    return stats.select(
+        "series_id", "length", "mean", "std",
+        ratio("std", "mean", 0.0).alias("cv"),
+        "missing_pct", "min_date", "max_date", "slope",
+        trend_class(F.col("slope"), F.col("mean"), n).alias("trend"),
+        season_class(n, F.col("ac7"), F.col("ac30"), F.col("ac365")).alias("seasonality"),
+        "outliers_pct",
     )
 
 
-def outlier_share(panel: DataFrame) -> DataFrame:
-    """Percent of rows beyond 1.5 interquartile ranges; 0 for tiny or flat series."""
-    cut = F.percentile("y", [0.25, 0.75]).over(Window.partitionBy("series_id"))
+def _outliers() -> Column:
+    """Aggregate over rows with their quartiles in ``cut``."""
     q1, q3 = F.col("cut")[0], F.col("cut")[1]
     spread = q3 - q1
     outside = (F.col("y") < q1 - 1.5 * spread) | (F.col("y") > q3 + 1.5 * spread)
     usable = (F.count(F.lit(1)) >= 4) & (F.max(spread) != 0)
-    return (
-        panel.withColumn("cut", cut)
-        .groupBy("series_id")
-        .agg(F.when(usable, F.count_if(outside) / F.count(F.lit(1)) * 100).otherwise(0.0).alias("outliers_pct"))
-    )
+    return F.when(usable, F.count_if(outside) / F.count(F.lit(1)) * 100).otherwise(0.0).alias("outliers_pct")
+
+
+def outlier_share(panel: DataFrame) -> DataFrame:
+    """Percent of rows beyond 1.5 interquartile ranges; 0 for tiny or flat series."""
+    cut = F.percentile("y", [0.25, 0.75]).over(Window.partitionBy("series_id"))
+    return panel.withColumn("cut", cut).groupBy("series_id").agg(_outliers())
 
 
 # --- stationarity ------------------------------------------------------------------------
@@ -175,35 +177,33 @@ def stationarity(panel: DataFrame) -> DataFrame:
 # --- autocorrelation ---------------------------------------------------------------------
 
 
-def autocorrelation(panel: DataFrame, max_lag: int = 20, value: str = "y") -> DataFrame:
-    """Sample autocorrelation per series and lag 1..max_lag.
+def lag_pairs(panel: DataFrame, max_lag: int, value: str = "y") -> DataFrame:
+    """Each row once per lag with its value ``a`` and the earlier one ``b``.
 
-    All lags are columns of one window pass, not copies of the rows.
+    The rows of a series are already together, so the copies are folded into one row per
+    series and lag before anything is shuffled again.
     """
+    lagged = indexed(panel, *range(1, max_lag + 1), value=value)
+    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"{value}_lag_{k}").alias("b")) for k in range(1, max_lag + 1)])
+    return lagged.select("series_id", F.col(value).alias("a"), F.explode(pairs).alias("p")).select("series_id", "p.lag", "a", "p.b")
+
+
+def autocorrelation(panel: DataFrame, max_lag: int = 20, value: str = "y") -> DataFrame:
+    """Sample autocorrelation per series and lag 1..max_lag."""
     whole = Window.partitionBy("series_id")
     centred = panel.withColumns({"c": F.col(value) - F.avg(value).over(whole)})
-    lagged = indexed(centred, *range(1, max_lag + 1), value="c")
-    sums = lagged.groupBy("series_id").agg(
+    sums = lag_pairs(centred, max_lag, "c").groupBy("series_id", "lag").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("c") * F.col("c")).alias("v"),
-        *[F.sum(F.col("c") * F.col(f"c_lag_{k}")).alias(f"s{k}") for k in range(1, max_lag + 1)],
-    )
-    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"s{k}").alias("s")) for k in range(1, max_lag + 1)])
-    return sums.select("series_id", "n", "v", F.explode(pairs).alias("p")).select(
-        "series_id", "n", "p.lag", ratio("p.s", "v", 0.0).alias("acf")
+        F.sum(F.col("a") * F.col("a")).alias("v"),
+        F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0)).alias("s"),
     )
+    return sums.select("series_id", "n", "lag", ratio("s", "v", 0.0).alias("acf"))
 
 
 def lag_correlation(panel: DataFrame, max_lag: int = 30) -> DataFrame:
     """Pearson correlation of each series with itself, per lag."""
-    lagged = indexed(panel, *range(1, max_lag + 1))
-    sums = lagged.groupBy("series_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[correlation("y", f"y_lag_{k}").alias(f"r{k}") for k in range(1, max_lag + 1)],
-    )
-    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("r")) for k in range(1, max_lag + 1)])
-    return sums.select("series_id", "n", F.explode(pairs).alias("p")).select(
-        "series_id", "n", "p.lag", F.col("p.r").alias("acf")
+    return lag_pairs(panel, max_lag).groupBy("series_id", "lag").agg(
+        F.count(F.lit(1)).alias("n"), correlation("a", "b").alias("acf")
     )
 
 

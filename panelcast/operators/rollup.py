@@ -178,24 +178,20 @@ def factor_totals(factors: dict[str, DataFrame]) -> DataFrame:
 
 def histogram(panel: DataFrame, bins: int) -> DataFrame:
     """Equal-width bins per series, empty ones included."""
-    by_series = panel.groupBy("series_id").agg(
-        F.min("y").alias("low"), F.max("y").alias("high"), F.count(F.lit(1)).alias("n")
-    )
+    whole = Window.partitionBy("series_id")
+    ranged = panel.select("series_id", "y", F.min("y").over(whole).alias("low"), F.max("y").over(whole).alias("high"))
     width = (F.col("high") - F.col("low")) / bins
     flat = F.col("high") == F.col("low")
-    placed = panel.join(by_series, "series_id").select(
-        "series_id",
-        F.when(flat, 0)
-        .otherwise(F.least(F.floor((F.col("y") - F.col("low")) / width), F.lit(bins - 1)))
-        .cast("int")
-        .alias("bin"),
+    index = F.when(flat, 0).otherwise(F.least(F.floor((F.col("y") - F.col("low")) / width), F.lit(bins - 1))).cast("int")
+    counts = ranged.groupBy("series_id", "low", "high", index.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    by_series = counts.groupBy("series_id", "low", "high").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("counts")
     )
-    counts = placed.groupBy("series_id", "bin").agg(F.count(F.lit(1)).alias("count"))
     last_bin = F.when(flat, 0).otherwise(bins - 1)
-    frame = by_series.select("series_id", "low", "high", F.explode(F.sequence(F.lit(0), last_bin)).alias("bin"))
+    frame = by_series.select("series_id", "low", "high", "counts", F.explode(F.sequence(F.lit(0), last_bin)).alias("bin"))
     middle = F.when(flat, F.col("low")).otherwise(F.col("low") + width * (F.col("bin") + 0.5))
-    return frame.join(counts, ["series_id", "bin"], "left").select(
-        "series_id", "bin", middle.alias("midpoint"), F.coalesce("count", F.lit(0)).alias("count")
+    return frame.select(
+        "series_id", "bin", middle.alias("midpoint"), F.coalesce(F.try_element_at("counts", "bin"), F.lit(0)).alias("count")
     )
 
 

@@ -77,7 +77,7 @@ def x3(spark: SparkSession, folder: str) -> DataFrame:
 @query("x4_fold_metrics", i.with_sql(*ms.CV_PARTS) + f"""SELECT series_id, CAST(fold AS INTEGER) AS fold, model, {metric_sql()}, rows FROM (
   SELECT * FROM wma_folds UNION ALL SELECT * FROM naive_folds)""")
 def x4(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     return round_metrics(union_all([ev.cross_validate(panel, m) for m in (WMA(), Naive())]))
 
 
@@ -85,7 +85,7 @@ def x4(spark: SparkSession, folder: str) -> DataFrame:
     f"round(avg({m}), {8 if m == 'r2' else 4}) AS {m}, round(stddev_pop({m}), {8 if m == 'r2' else 4}) AS {m}_std" for m in METRICS)
   + " FROM (SELECT * FROM wma_folds UNION ALL SELECT * FROM naive_folds) GROUP BY 1, 2")
 def x5(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     return round_metrics(ev.fold_summary(union_all([ev.cross_validate(panel, m) for m in (WMA(), Naive())])))
 
 
@@ -115,7 +115,7 @@ BACKTEST_ROWS = [
 
 
 def region_backtest(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.backtest(region_panel(spark, folder), [WMA(), Naive()])
+    return ev.backtest(i.regions(spark, folder), [WMA(), Naive()])
 
 
 @query("x7_backtest_metrics", i.with_sql(*BACKTEST_ROWS) + f"""SELECT series_id, model, {metric_sql()}, rows,
@@ -128,7 +128,7 @@ def x7(spark: SparkSession, folder: str) -> DataFrame:
 @query("x8_ensemble_backtest", i.with_sql(*BACKTEST_ROWS, *ms.CV_PARTS[1:], WEIGHTS) + """SELECT b.series_id, ds, round(sum(yhat * weight) / sum(weight), 4) AS yhat,
   round(min(lower_ci), 4) AS lower_ci, round(max(upper_ci), 4) AS upper_ci, 'ensemble' AS model FROM bt_rows b JOIN weights w ON b.series_id = w.series_id AND b.model = w.model GROUP BY 1, 2""")
 def x8(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     folds = union_all([ev.cross_validate(panel, m) for m in (WMA(), Naive())])
     weights = ev.inverse_error_weights(ev.fold_summary(folds).select("series_id", "model", "mae"))
     return rounded(ev.combine_forecasts(region_backtest(spark, folder), weights), 4, *BAND)
@@ -136,7 +136,7 @@ def x8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("x9_holdout_boosted")
 def x9(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder).filter(F.col("ds").isNotNull())
+    panel = i.regions(spark, folder).filter(F.col("ds").isNotNull())
     model = Boosted(n_estimators=5, max_depth=3)
     tests = ev.graded(ev.error_metrics(ev.holdout(panel, [model], horizon=14), ["series_id", "model"]))
     refit = model.forecast(model.fit(panel), 3)  # the final model uses all rows
@@ -150,7 +150,7 @@ def x9(spark: SparkSession, folder: str) -> DataFrame:
   SELECT series_id, model, {metric_sql()}, source, CAST(row_number() OVER (PARTITION BY series_id ORDER BY mae, model) AS INTEGER) AS rank,
   round(1 / (mae + 1), 9) AS score, round(greatest(least(100 - mape, 100), 0), 4) AS accuracy, {ms.GRADE.format(a='greatest(least(100 - mape, 100), 0)')} AS grade FROM merged""")
 def x10(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     cv = ev.fold_summary(union_all([ev.cross_validate(panel, m) for m in (WMA(), Naive())]))
     test = ev.error_metrics(region_backtest(spark, folder).filter(F.col("model") == "wma"), ["series_id", "model"])
     out = round_metrics(ev.rank_from_test(test, cv))
@@ -162,12 +162,12 @@ def x10(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("x11_tune_wma")
 def x11(spark: SparkSession, folder: str) -> DataFrame:
-    return tune(region_panel(spark, folder), "wma", n_iter=4, folds=3)
+    return tune(i.regions(spark, folder), "wma", n_iter=4, folds=3)
 
 
 @query("x12_merged_params")
 def x12(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     auto = dc.seasonal_params(dc.spectral_periods(panel), ["ets", "theta", "sarimax", "prophet"])
     out = dc.merged_params(auto, dc.robust_decompose(panel), {"ets": {"trend": "add"}, "theta": {"seasonal_periods": 7}})
     return out.select("series_id", "model", F.to_json("params").alias("params"))
@@ -194,7 +194,7 @@ TWO_FACTORS = [
 
 def contributions(spark: SparkSession, folder: str) -> DataFrame:
     model = WMA()
-    return sn.factor_contributions(model, model.fit(region_panel(spark, folder)), 60, "D", future_factors(spark, folder))
+    return sn.factor_contributions(model, model.fit(i.regions(spark, folder)), 60, "D", future_factors(spark, folder))
 
 
 @query("x13_factor_contributions", i.with_sql(*TWO_FACTORS) + """SELECT series_id, factor, round(total, 4) AS total, round(total / 60, 4) AS average,
@@ -221,7 +221,7 @@ def what_if_rows(spark: SparkSession, folder: str) -> DataFrame:
     model = WMA()
     factors = {"holidays": ms.shifted_holidays(spark, folder)}
     rules = {"holidays": {"holiday_impact_multiplier": 1.5, "holiday_impact_add": 0.1}, "unknown": {"multiplier": 2.0}}
-    return sn.what_if(model, model.fit(region_panel(spark, folder)), 60, "D", factors, rules)
+    return sn.what_if(model, model.fit(i.regions(spark, folder)), 60, "D", factors, rules)
 
 
 @query("x15_what_if", i.with_sql(*WHAT_IF) + """SELECT o.series_id, o.ds, round(o.yhat, 4) AS original, round(s.yhat, 4) AS scenario,
@@ -244,7 +244,7 @@ def x16(spark: SparkSession, folder: str) -> DataFrame:
 @query("x17_train_and_save")
 def x17(spark: SparkSession, folder: str) -> DataFrame:
     root = store.scratch_path(spark, "models")
-    model_id, metrics = runs.train_and_save(region_panel(spark, folder), root, ["wma", "theta", "naive"], runs.ForecastRequest())
+    model_id, metrics = runs.train_and_save(i.regions(spark, folder), root, ["wma", "theta", "naive"], runs.ForecastRequest())
     saved = store.list_models(spark, root).filter(F.col("model_id") == model_id)
     best = saved.select("model_type", "train_start", "train_end")
     return metrics.join(best, metrics.model == best.model_type, "left").drop("model_type")
@@ -281,14 +281,14 @@ def x20(spark: SparkSession, folder: str) -> DataFrame:
 @query("x21_end_to_end")
 def x21(spark: SparkSession, folder: str) -> DataFrame:
     request = runs.ForecastRequest(models=["wma", "theta", "naive"], horizon=7, ensemble=["wma", "theta"])
-    tables = runs.run_forecast(region_panel(spark, folder), request)
+    tables = runs.run_forecast(i.regions(spark, folder), request)
     return tables["ranking"].select("series_id", "model", "rank", "mae").join(tables["summary"].drop("model"), "series_id")
 
 
 @query("x22_gather_factors")
 def x22(spark: SparkSession, folder: str) -> DataFrame:
     request = runs.ForecastRequest(include=["holidays", "promotions"], countries=["US"])
-    found = runs.gather_factors(region_panel(spark, folder), i.factors(spark, folder), request)
+    found = runs.gather_factors(i.regions(spark, folder), i.daily_factors(spark, folder, "holidays", "promotions"), request)
     return found["holidays"].join(found["promotions"].groupBy("ds").agg(F.sum("discount").alias("discount")), "ds", "left")
 
 
@@ -306,7 +306,7 @@ def x23(spark: SparkSession, folder: str) -> DataFrame:
 def m5(spark: SparkSession, folder: str) -> DataFrame:
     model = ARIMA((2, 0, 1))
     factors = {"holidays": i.holidays(spark, folder), "promotions": i.promotions(spark, folder)}
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     return model.forecast(model.fit(panel, factors), 14, "D", factors)
 
 
@@ -318,7 +318,7 @@ def m6(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("m7_additive_regression")
 def m7(spark: SparkSession, folder: str) -> DataFrame:
-    model, panel = AdditiveRegression(), region_panel(spark, folder)
+    model, panel = AdditiveRegression(), i.regions(spark, folder)
     factors = {"promotions": i.promotions(spark, folder), "holidays": i.holidays(spark, folder)}
     return with_baseline(model, model.fit(panel, factors), 14, "D", factors)
 
@@ -331,19 +331,19 @@ def m7_mul(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("m8_boosted")
 def m8(spark: SparkSession, folder: str) -> DataFrame:
-    model, panel = Boosted(n_estimators=5, max_depth=4), region_panel(spark, folder)
+    model, panel = Boosted(n_estimators=5, max_depth=4), i.regions(spark, folder)
     return model.forecast(model.fit(panel), 5)
 
 
 @query("m9_boosted_sampled")
 def m9(spark: SparkSession, folder: str) -> DataFrame:
-    model, panel = boosted_rows(n_estimators=5, max_depth=4), region_panel(spark, folder)
+    model, panel = boosted_rows(n_estimators=5, max_depth=4), i.regions(spark, folder)
     return model.forecast(model.fit(panel), 5)
 
 
 @query("m10_recursive_forecast")
 def m10(spark: SparkSession, folder: str) -> DataFrame:
-    model, panel = Boosted(n_estimators=3, max_depth=3), region_panel(spark, folder)
+    model, panel = Boosted(n_estimators=3, max_depth=3), i.regions(spark, folder)
     return model.forecast(model.fit(panel), 10)
 
 
@@ -362,12 +362,12 @@ _OWN_CORRELATIONS = ", ".join(f"abs(corr(y, y_{k}))" for k in range(1, 31))
   SELECT m.series_id, n AS n_points, has_ar, has_ma, CASE WHEN season > 0.3 AND n >= 30 THEN 'additive' WHEN sparsity > 0.3 OR n < 30 THEN 'wma'
     WHEN has_ar OR has_ma THEN 'arima' ELSE 'ets' END AS strategy FROM memory m JOIN seasons s ON m.series_id = s.series_id JOIN sparse p ON p.series_id = m.series_id""")
 def m11(spark: SparkSession, folder: str) -> DataFrame:
-    return route(region_panel(spark, folder)).select("series_id", "n_points", "has_ar", "has_ma", "strategy")
+    return route(i.regions(spark, folder)).select("series_id", "n_points", "has_ar", "has_ma", "strategy")
 
 
 @query("m12_automl")
 def m12(spark: SparkSession, folder: str) -> DataFrame:
-    model, panel = AutoML(boosted_size=5), region_panel(spark, folder)
+    model, panel = AutoML(boosted_size=5), i.regions(spark, folder)
     fitted = model.fit(panel)
     return model.forecast(fitted, 7).join(fitted, "series_id")
 
@@ -375,7 +375,7 @@ def m12(spark: SparkSession, folder: str) -> DataFrame:
 @query("m13_hybrid")
 def m13(spark: SparkSession, folder: str) -> DataFrame:
     model = Hybrid(residual=boosted_rows(5, 0.05, 3, 3, non_negative=False, scale="sd", name="residual"))
-    return model.forecast(model.fit(region_panel(spark, folder)), 5)
+    return model.forecast(model.fit(i.regions(spark, folder)), 5)
 
 
 @query("m19_regression_components")
@@ -387,13 +387,13 @@ def m19_regression(spark: SparkSession, folder: str) -> DataFrame:
 @query("m20_feature_importance")
 def m20(spark: SparkSession, folder: str) -> DataFrame:
     model = Boosted(n_estimators=5, max_depth=4)
-    model.fit(region_panel(spark, folder))
+    model.fit(i.regions(spark, folder))
     return model.importance(spark)
 
 
 @query("m21_contributions")
 def m21(spark: SparkSession, folder: str) -> DataFrame:
-    model, panel = AdditiveRegression(), region_panel(spark, folder)
+    model, panel = AdditiveRegression(), i.regions(spark, folder)
     factors = {"promotions": i.promotions(spark, folder)}
     return rank_contributions(model.contributions(model.fit(panel, factors), 14, "D", factors))
 

@@ -93,7 +93,7 @@ def e7(spark: SparkSession, folder: str) -> DataFrame:
     public = i.holidays(spark, folder).select(
         "ds", F.concat(F.lit("Day "), "holiday_name").alias("name"), F.lit("public_holiday").alias("type"), F.lit("US").alias("country")
     )
-    return ev.event_calendar(region_panel(spark, folder), ["US"], public)
+    return ev.event_calendar(i.regions(spark, folder), ["US"], public)
 
 
 IMPACT = """means AS (SELECT series_id, e.ds AS event_ds, name, avg(CASE WHEN r.ds < e.ds THEN y END) AS baseline,
@@ -106,7 +106,7 @@ TOTAL = "total_panel AS (SELECT '(all)' AS series_id, ds, round(sum(y), 2) AS y
 
 @query("e8_event_impact", i.with_sql(i.REGION, TOTAL, es.EVENTS_US, IMPACT.format(panel="total_panel")) + """SELECT event_ds, name, impact FROM impacts""")
 def e8(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     return ev.event_impacts(us_events(panel), ev.overall_panel(panel)).select("event_ds", "name", "impact")
 
 
@@ -115,7 +115,7 @@ us_events = es.us_events
 
 @query("e9_regional_impact", i.with_sql(i.REGION, es.EVENTS_US, IMPACT.format(panel="region_panel")) + """SELECT series_id, event_ds, name, impact FROM impacts""")
 def e9(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     return ev.event_impacts(us_events(panel), panel).select("series_id", "event_ds", "name", "impact")
 
 
@@ -128,7 +128,7 @@ weighted AS (SELECT event_ds, name, sum(impact * baseline) / sum(CASE WHEN impac
   round(round(greatest(least(coalesce(w, 1.0), 5.0), 0.1), 4), 4) AS impact FROM (SELECT DISTINCT ds, name FROM us_events) e
   LEFT JOIN weighted w ON w.event_ds = e.ds AND w.name = e.name""")
 def e10(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     return ev.weighted_impacts(us_events(panel), panel)
 
 
@@ -136,7 +136,7 @@ def e10(spark: SparkSession, folder: str) -> DataFrame:
   round(greatest(least(coalesce(w, 1.0), 5.0), 0.1), 4) AS impact FROM us_events e LEFT JOIN weighted w ON w.event_ds = e.ds AND w.name = e.name)""") + """
   SELECT event_ds, name, type, impact, round((impact - 1) * 100, 1) AS impact_pct FROM rated""")
 def e11(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.detect_events(region_panel(spark, folder), ["US"])
+    return ev.detect_events(i.regions(spark, folder), ["US"])
 
 
 _HINTS = ", ".join(f"('{e}', '{r}')" for e, rs in ev.REGION_HINTS.items() for r in rs)
@@ -178,9 +178,9 @@ def e15(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("series_id", F.round("discount_beta", 8).alias("discount_beta"))
 
 
-def sales_with_events(spark: SparkSession, folder: str) -> DataFrame:
+def sales_with_events(spark: SparkSession, folder: str, sales: DataFrame | None = None) -> DataFrame:
     daily = ev.explode_intervals(es.intervals(spark, folder), ["series_id"])
-    return enrich.attach_events(brand_panel(spark, folder), daily, ["series_id"])
+    return enrich.attach_events(i.brands(spark, folder) if sales is None else sales, daily, ["series_id"])
 
 
 @query("e16_event_lift", i.with_sql(i.BRAND, es.INTERVALS, DAILY_EVENTS, EVENT_LIFTS) + "SELECT series_id, event_name, round(event_lift, 8) AS event_lift FROM event_lifts")
@@ -195,9 +195,10 @@ def e16(spark: SparkSession, folder: str) -> DataFrame:
   LEFT JOIN event_lifts v ON v.series_id = p.series_id AND v.event_name = e.event_name""")
 def e17(spark: SparkSession, folder: str) -> DataFrame:
     daily = ev.explode_intervals(es.intervals(spark, folder), ["series_id"])
+    sales = i.brands(spark, folder)
     planned = enrich.first_match(plan(spark, folder), ["series_id", "ds"], ["no", "discount", "note"])
-    rows = enrich.attach_events(planned.join(ev.promo_lifts(brand_panel(spark, folder)), "series_id"), daily, ["series_id"])
-    lifts = ev.event_lifts(sales_with_events(spark, folder))
+    rows = enrich.attach_events(planned.join(ev.promo_lifts(sales), "series_id"), daily, ["series_id"])
+    lifts = ev.event_lifts(sales_with_events(spark, folder, sales))
     joined = rows.join(lifts, ["series_id", "event_name"], "left")
     lift = ev.combined_lift(F.col("promo_flag"), F.col("discount"), F.col("event_lift"))
     return joined.select("series_id", "ds", F.round(lift, 8).alias("lift"))

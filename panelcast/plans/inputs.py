@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import cents, scan
+from ..sources.tables import brand_panel, cents, region_panel, scan
+from ..store import materialize
 
 REGION = """region_panel AS (
   SELECT r_name AS series_id, CAST(o_orderdate AS DATE) AS ds, round(sum(o_totalprice), 2) AS y
@@ -268,3 +269,18 @@ def factors(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "competitor": competitor(spark, folder),
         "economic": economic(spark, folder),
     }
+
+
+# --- panels for queries that use them more than once: the source is scanned one time ------
+
+
+def regions(spark: SparkSession, folder: str) -> DataFrame:
+    return materialize(region_panel(spark, folder))
+
+
+def brands(spark: SparkSession, folder: str) -> DataFrame:
+    return materialize(brand_panel(spark, folder))
+
+
+def daily_factors(spark: SparkSession, folder: str, *kinds: str) -> dict[str, DataFrame]:
+    return {k: materialize(f) for k, f in factors(spark, folder).items() if not kinds or k in kinds}

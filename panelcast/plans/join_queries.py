@@ -83,7 +83,7 @@ def j4(spark: SparkSession, folder: str) -> DataFrame:
   SELECT series_id, r.ds, y, coalesce(h, 0) AS holidays_flag, coalesce(e, 0) AS events_flag FROM region_panel r ASOF LEFT JOIN counts c ON r.ds >= c.ds""")
 def j5(spark: SparkSession, folder: str) -> DataFrame:
     kinds = {"holidays": i.holidays(spark, folder), "events": i.promo_events(spark, folder)}
-    return enrich.attach_flags_asof(region_panel(spark, folder), kinds)
+    return enrich.attach_flags_asof(i.regions(spark, folder), kinds)
 
 
 DAILY_EVENTS = """daily_events AS (SELECT event_id, event_name, series_id,
@@ -116,7 +116,7 @@ BACKTEST = [
 @query("j7_forecast_actual", i.with_sql(i.REGION, *BACKTEST, *ms.wma("bt_train", 400)) + """SELECT f.series_id, f.ds,
   round(yhat, 4) AS yhat, y FROM wma_forecast f JOIN bt_test t ON f.series_id = t.series_id AND f.ds = t.ds""")
 def j7(spark: SparkSession, folder: str) -> DataFrame:
-    split = evaluate.backtest_split(region_panel(spark, folder))
+    split = evaluate.backtest_split(i.regions(spark, folder))
     model = WMA()
     forecast = model.forecast(model.fit(split.filter("split = 'train'").drop("split")), 400)
     out = enrich_match(forecast, split.filter("split = 'test'"))
@@ -132,7 +132,7 @@ def enrich_match(forecast: DataFrame, actual: DataFrame) -> DataFrame:
   round(avg(CASE WHEN r.ds >= e.ds THEN y END), 7) AS during, count(CASE WHEN r.ds >= e.ds THEN y END) AS event_rows
   FROM us_events e JOIN region_panel r ON r.ds BETWEEN e.ds - 21 AND e.ds + 1 GROUP BY 1, 2, 3""")
 def j8(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     out = enrich.window_means(us_events(panel).select(F.col("ds").alias("event_ds"), "name"), panel)
     return out.withColumns({"baseline": F.round("baseline", 7), "during": F.round("during", 7)})
 
@@ -149,7 +149,7 @@ def j8(spark: SparkSession, folder: str) -> DataFrame:
   WHERE NOT EXISTS (SELECT 1 FROM region_panel a WHERE a.series_id = b.series_id AND a.ds = b.ds)
     AND NOT EXISTS (SELECT 1 FROM naive_forecast a WHERE a.series_id = b.series_id AND a.ds = b.ds)""")
 def j9(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     train = evaluate.backtest_split(panel).filter("split = 'train'").drop("split")
     wma, naive = WMA(), Naive()
     out = enrich.chart_rows(
@@ -163,7 +163,7 @@ def j9(spark: SparkSession, folder: str) -> DataFrame:
   round(b.yhat - a.yhat, 4) AS difference, round(coalesce((b.yhat - a.yhat) / abs(a.yhat) * 100, 0), 6) AS change_pct
   FROM wma_forecast a FULL OUTER JOIN naive_forecast b ON a.series_id = b.series_id AND a.ds = b.ds""")
 def j10(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     wma, naive = WMA(), Naive()
     out = enrich.compare_scenarios(wma.forecast(wma.fit(panel), 10), naive.forecast(naive.fit(panel), 14))
     return out.select("series_id", "ds", *[F.round(c, 4).alias(c) for c in ("original", "scenario", "difference")],

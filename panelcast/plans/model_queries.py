@@ -197,7 +197,7 @@ weights AS (SELECT series_id, model, 1 / (mae + 0.001) / sum(1 / (mae + 0.001))
 def m15(spark: SparkSession, folder: str) -> DataFrame:
     from ..operators.ranking import union_all
 
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     models = [WMA(), Naive()]
     folds = union_all([evaluate.cross_validate(panel, m) for m in models])
     weights = evaluate.inverse_error_weights(evaluate.fold_summary(folds).select("series_id", "model", "mae"))
@@ -213,7 +213,7 @@ def m15(spark: SparkSession, folder: str) -> DataFrame:
 def m16(spark: SparkSession, folder: str) -> DataFrame:
     from ..operators.ranking import union_all
 
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     members = union_all([
         m.forecast(m.fit(panel), h).withColumn("model", F.lit(m.name)) for m, h in ((WMA(), 7), (Naive(), 10))
     ])
@@ -228,7 +228,7 @@ def m16(spark: SparkSession, folder: str) -> DataFrame:
   round((yhat - baseline) / abs(baseline) * 100, 9) AS uplift FROM wma_forecast""")
 def m17(spark: SparkSession, folder: str) -> DataFrame:
     model = WMA()
-    out = with_baseline(model, model.fit(region_panel(spark, folder)), 30, "D", {"holidays": ms.shifted_holidays(spark, folder)})
+    out = with_baseline(model, model.fit(i.regions(spark, folder)), 30, "D", {"holidays": ms.shifted_holidays(spark, folder)})
     return rounded(rounded(out, 4, *BAND, "baseline"), 9, "uplift")
 
 
@@ -282,7 +282,7 @@ PERIODS_AHEAD = {"D": 14, "W": 8, "M": 6}
 
 def _baseline(freq: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        sales = brand_panel(spark, folder)
+        sales = i.brands(spark, folder)
         keys = ["series_id"]
         wanted = gw.targets(sales, keys, START_DAY, PERIODS_AHEAD[freq], freq)
         out = {}
@@ -350,7 +350,7 @@ def m27(spark: SparkSession, folder: str) -> DataFrame:
   round(w.fallback, 6) AS weekly, round(m.fallback, 6) AS monthly FROM "fallback_D" d JOIN "fallback_W" w ON d.series_id = w.series_id
   JOIN "fallback_M" m ON d.series_id = m.series_id""")
 def m28(spark: SparkSession, folder: str) -> DataFrame:
-    sales = brand_panel(spark, folder)
+    sales = i.brands(spark, folder)
     parts = [
         gw.fallback_base(sales, ["series_id"], f).select("series_id", F.round("fallback", 6).alias(name))
         for f, name in (("D", "daily"), ("W", "weekly"), ("M", "monthly"))
@@ -363,7 +363,7 @@ def _group_forecast(freq: str):
         model = gw.GroupForecaster(freq=freq)
         marked = es.intervals(spark, folder)
         out = model.forecast(
-            brand_panel(spark, folder), START_DAY, PERIODS_AHEAD[freq], events=marked, future_events=marked,
+            i.brands(spark, folder), START_DAY, PERIODS_AHEAD[freq], events=marked, future_events=marked,
             plan=plan(spark, folder).select("series_id", "ds", "no", "discount", "note", "promo_flag"),
         )
         out = out.select("series_id", "ds", "yhat", "trend_factor", "promo_flag", "discount", "event_name")

@@ -174,7 +174,7 @@ def v15_partial(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("v15_arima_orders")
 def v15_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.arima_orders(region_panel(spark, folder))
+    return profile.arima_orders(i.regions(spark, folder))
 
 
 @query("v16_insights", i.with_sql(i.REGION, CHARS, """c AS (SELECT s.*, std / mean AS cv, pct, CASE WHEN abs(ac7) > 0.5 THEN 'weekly'
@@ -217,7 +217,7 @@ def v17(spark: SparkSession, folder: str) -> DataFrame:
     JOIN (SELECT series_id, avg(y) AS mean FROM region_panel GROUP BY 1) m ON c.series_id = m.series_id)""") + """
   SELECT series_id, model, score, CAST(row_number() OVER (PARTITION BY series_id ORDER BY score DESC, mae, model) AS INTEGER) AS rank FROM scored""")
 def v17_cv(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     folds = ranking.union_all([evaluate.cross_validate(panel, m) for m in (WMA(), Naive())])
     return profile.recommend_from_cv(profile.characteristics(panel), evaluate.fold_summary(folds))
 
@@ -268,7 +268,7 @@ def v21(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("v22_full_report")
 def v22(spark: SparkSession, folder: str) -> DataFrame:
-    report = profile.analyze(region_panel(spark, folder))
+    report = profile.analyze(i.regions(spark, folder))
     best = report["recommendations"].filter(F.col("rank") == 1).select("series_id", F.col("model").alias("best_model"))
     return (
         report["characteristics"].join(report["frequencies"].select("series_id", "validation", "season_length"), "series_id")
@@ -359,7 +359,7 @@ def f10(spark: SparkSession, folder: str) -> DataFrame:
 @query("f11_residuals", i.with_sql(*ms.CV_PARTS) + """SELECT h.series_id, fold, ds, round(y - yhat, 4) AS residual FROM cv_hold h
   JOIN (SELECT series_id, step, yhat FROM wma_forecast) f ON h.key = f.series_id AND h.step = f.step""")
 def f11(spark: SparkSession, folder: str) -> DataFrame:
-    rows = evaluate.cv_folds(region_panel(spark, folder))
+    rows = evaluate.cv_folds(i.regions(spark, folder))
     keyed = rows.withColumn("key", sc.composite_key("series_id", "fold"))
     model = WMA()
     train = keyed.filter("role = 'train'").select(F.col("key").alias("series_id"), "ds", "y")

@@ -55,7 +55,7 @@ _LABELS = {
   f"SELECT series_id, '{f}' AS freq, {label} AS ds, round(sum(y), 2) AS y FROM first GROUP BY 1, 3"
   for f, label in _LABELS.items()))
 def a4(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     parts = [rollup.time_rollup(panel, f).withColumn("freq", F.lit(f)) for f in _LABELS]
     return ranking.union_all(parts).withColumn("y", cents(F.col("y")))
 
@@ -150,7 +150,7 @@ def a11(spark: SparkSession, folder: str) -> DataFrame:
   round(sum(yhat) - sum(baseline), 4) AS total_uplift, round((sum(yhat) - sum(baseline)) / sum(baseline) * 100, 6) AS uplift_pct,
   round(sum(yhat) / count(*), 4) AS avg_per_step, count(*) AS horizon FROM wma_forecast GROUP BY 1""")
 def a12(spark: SparkSession, folder: str) -> DataFrame:
-    model, panel = WMA(), region_panel(spark, folder)
+    model, panel = WMA(), i.regions(spark, folder)
     factors = {"holidays": ms.shifted_holidays(spark, folder)}
     out = rollup.forecast_summary(with_baseline(model, model.fit(panel), 7, "D", factors))
     return out.select(
@@ -229,7 +229,7 @@ def l4(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("l5_rank_models", ms.CV_RANK_SQL)
 def l5(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     folds = ranking.union_all([evaluate.cross_validate(panel, m) for m in (WMA(), Naive())])
     summary = evaluate.fold_summary(folds).select("series_id", "model", "mae", "mape")
     # a model without any metric ranks last
@@ -297,7 +297,7 @@ def u3(spark: SparkSession, folder: str) -> DataFrame:
   SELECT series_id, 'wma' AS model, ds, round(yhat, 4) AS yhat FROM wma_forecast
   UNION ALL SELECT series_id, 'naive', ds, round(yhat, 4) FROM naive_forecast""")
 def u4(spark: SparkSession, folder: str) -> DataFrame:
-    panel = region_panel(spark, folder)
+    panel = i.regions(spark, folder)
     parts = [
         m.forecast(m.fit(panel), 5).select("series_id", F.lit(m.name).alias("model"), "ds", F.round("yhat", 4).alias("yhat"))
         for m in (WMA(), Naive())

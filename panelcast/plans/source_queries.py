@@ -67,7 +67,7 @@ EXPORT = i.with_sql(i.REGION, *BACKTEST, *ms.wma("bt_train", 30, name="bt"), *ms
 
 
 def exported(spark: SparkSession, folder: str) -> DataFrame:
-    model, panel = WMA(), region_panel(spark, folder)
+    model, panel = WMA(), i.regions(spark, folder)
     train = ev.backtest_split(panel).filter("split = 'train'").drop("split")
     return store.export_rows(model.forecast(model.fit(panel), 7), model.forecast(model.fit(train), 30), panel)
 

@@ -23,6 +23,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/panelcast-{uuid.uuid4().hex}/{name}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and continue from the files.
+
+    For a table that is derived from a large scan and used more than once: the scan runs
+    once, the copy is columnar and has a known size, and it outlives lost executors.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
