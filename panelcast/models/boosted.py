@@ -25,7 +25,7 @@ CALENDAR = [
     "dayofweek", "dayofmonth", "month", "quarter", "year", "weekofyear", "is_weekend", "is_month_start", "is_month_end",
 ]
 MEMORY = max(*LAGS, *ROLLING)
-CUT_EVERY = 7  # steps between lineage cuts of the recursive forecast
+CUT_EVERY = 3  # steps between lineage cuts of the recursive forecast
 
 
 class Boosted:
@@ -82,7 +82,9 @@ class Boosted:
         out = aged.groupBy("series_id").agg(F.max("ds").alias("last_ds"), self._level().alias("level"), kept.alias("rows"))
         return out.select("series_id", "last_ds", "level", F.transform("rows", lambda r: r["y"] / F.col("level")).alias("recent"))
 
-    def _step_features(self, frame: DataFrame) -> DataFrame:
+    @staticmethod
+    def _step_columns() -> dict[str, Column]:
+        """Lag and rolling features from the newest values of a series."""
         recent = F.col("recent")
         out = {f"lag_{k}": F.coalesce(F.try_element_at(recent, F.lit(-k)), F.lit(0.0)) for k in LAGS}
         for w in ROLLING:
@@ -93,7 +95,7 @@ class Boosted:
             spread = F.when(n > 1, F.greatest(squares - n * mean * mean, F.lit(0.0)) / (n - 1)).otherwise(0.0)
             out |= {f"rolling_mean_{w}": mean, f"rolling_std_{w}": F.sqrt(spread),
                     f"rolling_min_{w}": F.array_min(part), f"rolling_max_{w}": F.array_max(part)}
-        return calendar_features(frame.withColumns(out))
+        return out
 
     def forecast(
         self, fitted: DataFrame, horizon: int, freq: str = "D", factors: Factors | None = None
@@ -106,19 +108,22 @@ class Boosted:
             fitted = self._with_future(fitted, outside, horizon, freq, factors)
         assembler = VectorAssembler(inputCols=self.features, outputCol="features", handleInvalid="keep")
         future = ["future"] if outside else []
-        state = fitted.withColumn("values", F.array().cast("array<double>"))
+        columns = self._step_columns()
+        # the step number is a column, so every step has the same plan and compiled code
+        state = fitted.withColumns({"values": F.array().cast("array<double>"), "step": F.lit(0)})
         for step in range(1, horizon + 1):
-            frame = state.withColumn("ds", future_date("last_ds", F.lit(step), freq))
-            frame = self._step_features(frame)
+            frame = state.withColumn("step", F.col("step") + 1)
+            frame = frame.withColumn("ds", future_date("last_ds", "step", freq))
+            frame = calendar_features(frame.withColumns(columns))
             if outside:
-                now = F.get("future", F.lit(step - 1))
+                now = F.get("future", F.col("step") - 1)
                 frame = frame.withColumns({c: F.coalesce(now[c], F.lit(0.0)) for c in outside})
             guessed = self.model.transform(assembler.transform(frame))
             value = safe_float("prediction")
             if self.non_negative:
                 value = F.greatest(value, F.lit(0.0))
             state = guessed.withColumn("value", value).select(
-                "series_id", "last_ds", "level", *future,
+                "series_id", "last_ds", "level", "step", *future,
                 F.slice(F.concat("recent", F.array("value")), -F.least(F.size("recent") + 1, F.lit(MEMORY)), F.lit(MEMORY)).alias("recent"),
                 F.concat("values", F.array("value")).alias("values"),
             )

@@ -1,10 +1,10 @@
 """Parquet scans and the panels derived from the sales tables.
 
-Each panel first collapses the fact table to (foreign key, day) and only then
-joins a dimension. The map-side partial sums shrink a hot key to at most one row
-per day before it is shuffled, so no join task sees a third of the fact rows.
-Dimension joins carry no hint: Spark broadcasts a side only if its measured size
-is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles both otherwise.
+Every panel joins the fact table to a dimension and sums by (attribute, day). A dimension
+whose estimated size is below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast, so
+the fact rows are joined and summed on the map side and a hot key costs nothing. A larger
+dimension is shuffled; then the facts are first summed by (foreign key, day), which cuts
+a hot key to one row per day before the join gathers it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,31 @@ def cents(column: Column) -> Column:
     return F.round(column, 2)
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate is below the session's broadcast limit."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= limit
+
+
+def join_dimension(
+    facts: DataFrame, dimension: DataFrame, key: str, dimension_key: str, days: Column, sums: dict[str, Column],
+    maxima: dict[str, Column], attributes: list[Column],
+) -> DataFrame:
+    """Sums and maxima per (attributes, ds), by the route that suits the dimension's size."""
+
+    def totals(rows: dict[str, Column], peaks: dict[str, Column]) -> list[Column]:
+        return [F.sum(c).alias(n) for n, c in rows.items()] + [F.max(c).alias(n) for n, c in peaks.items()]
+
+    if fits_broadcast(dimension):
+        joined = facts.join(F.broadcast(dimension), facts[key] == dimension[dimension_key])
+        return joined.groupBy(*attributes, days.alias("ds")).agg(*totals(sums, maxima))
+    daily = facts.groupBy(key, days.alias("ds")).agg(*totals(sums, maxima))
+    joined = daily.join(dimension, daily[key] == dimension[dimension_key])
+    again = totals({n: F.col(n) for n in sums}, {n: F.col(n) for n in maxima})
+    return joined.groupBy(*attributes, "ds").agg(*again)
+
+
 def customer_regions(spark: SparkSession, folder: str) -> DataFrame:
     customer = scan(spark, folder, "customer").select("c_custkey", "c_nationkey")
     nation = scan(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -33,68 +58,45 @@ def customer_regions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _regional(spark: SparkSession, folder: str, attributes: list[Column]) -> DataFrame:
+    totals = join_dimension(
+        scan(spark, folder, "orders"), customer_regions(spark, folder), "o_custkey", "c_custkey",
+        F.to_date("o_orderdate"), {"y": F.col("o_totalprice")}, {}, attributes,
+    )
+    return totals.withColumn("y", cents(F.col("y")))
+
+
 def region_sales(spark: SparkSession, folder: str) -> DataFrame:
     """region, store (nation), ds, y: daily order totals."""
-    daily = (
-        scan(spark, folder, "orders")
-        .groupBy("o_custkey", F.to_date("o_orderdate").alias("ds"))
-        .agg(F.sum("o_totalprice").alias("y"))
-    )
-    places = customer_regions(spark, folder)
-    return (
-        daily.join(places, daily.o_custkey == places.c_custkey)
-        .groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("store"), "ds")
-        .agg(cents(F.sum("y")).alias("y"))
-    )
+    return _regional(spark, folder, [F.col("r_name").alias("region"), F.col("n_name").alias("store")])
 
 
 def region_panel(spark: SparkSession, folder: str) -> DataFrame:
     """series_id (region), ds, y: daily order totals."""
-    return (
-        region_sales(spark, folder)
-        .groupBy(F.col("region").alias("series_id"), "ds")
-        .agg(cents(F.sum("y")).alias("y"))
-    )
+    return _regional(spark, folder, [F.col("r_name").alias("series_id")])
 
 
-def brand_sales(spark: SparkSession, folder: str) -> DataFrame:
-    """product type, brand, ds with y, quantity, mean discount and promotion flag."""
-    daily = (
-        scan(spark, folder, "lineitem")
-        .groupBy("l_partkey", F.to_date("l_shipdate").alias("ds"))
-        .agg(
-            F.sum("l_extendedprice").alias("y"),
-            F.sum("l_quantity").alias("units"),
-            F.sum("l_discount").alias("discount_sum"),
-            F.count(F.lit(1)).alias("lines"),
-            F.max((F.col("l_discount") >= 0.08).cast("int")).alias("promo_flag"),
-        )
-    )
+def _shipped(spark: SparkSession, folder: str, attributes: list[Column]) -> DataFrame:
     part = scan(spark, folder, "part").select("p_partkey", "p_brand", "p_type")
-    return (
-        daily.join(part, daily.l_partkey == part.p_partkey)
-        .groupBy(F.col("p_type").alias("category"), F.col("p_brand").alias("brand"), "ds")
-        .agg(
-            cents(F.sum("y")).alias("y"),
-            F.sum("units").alias("units"),
-            cents(F.sum("discount_sum")).alias("discount_sum"),
-            F.sum("lines").alias("lines"),
-            F.max("promo_flag").alias("promo_flag"),
-        )
+    sums = {
+        "y": F.col("l_extendedprice"), "units": F.col("l_quantity"), "discount_sum": F.col("l_discount"), "lines": F.lit(1),
+    }
+    totals = join_dimension(
+        scan(spark, folder, "lineitem"), part, "l_partkey", "p_partkey", F.to_date("l_shipdate"), sums,
+        {"promo_flag": (F.col("l_discount") >= 0.08).cast("int")}, attributes,
     )
+    return totals.withColumns({"y": cents(F.col("y")), "discount_sum": cents(F.col("discount_sum"))})
+
+
+def brand_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """product type, brand, ds with y, units, discount total, lines and promotion flag."""
+    return _shipped(spark, folder, [F.col("p_type").alias("category"), F.col("p_brand").alias("brand")])
 
 
 def brand_panel(spark: SparkSession, folder: str) -> DataFrame:
     """series_id (brand), ds, y, discount, promo_flag: daily shipped value."""
-    return (
-        brand_sales(spark, folder)
-        .groupBy(F.col("brand").alias("series_id"), "ds")
-        .agg(
-            cents(F.sum("y")).alias("y"),
-            (cents(F.sum("discount_sum")) / F.sum("lines")).alias("discount"),
-            F.max("promo_flag").alias("promo_flag"),
-        )
-    )
+    rows = _shipped(spark, folder, [F.col("p_brand").alias("series_id")])
+    return rows.select("series_id", "ds", "y", (F.col("discount_sum") / F.col("lines")).alias("discount"), "promo_flag")
 
 
 def event_panel(spark: SparkSession, folder: str) -> DataFrame:
