@@ -25,6 +25,7 @@ CALENDAR = [
     "dayofweek", "dayofmonth", "month", "quarter", "year", "weekofyear", "is_weekend", "is_month_start", "is_month_end",
 ]
 MEMORY = max(*LAGS, *ROLLING)
+LEAST_ROWS = 10  # fixed value: fewer training rows are an error
 CUT_EVERY = 3  # steps between lineage cuts of the recursive forecast
 
 
@@ -63,6 +64,9 @@ class Boosted:
         rows = self.training_rows(panel, factors)
         self.features = [c for c in rows.columns if c not in ("series_id", "ds", "y")]
         assembled = VectorAssembler(inputCols=self.features, outputCol="features").transform(rows).select("features", "y").persist()
+        if assembled.limit(LEAST_ROWS).count() < LEAST_ROWS:
+            assembled.unpersist()
+            raise ValueError(f"boosted trees need {LEAST_ROWS} rows with all lags")
         trees = GBTRegressor(
             labelCol="y", maxIter=self.n_estimators, stepSize=self.learning_rate, maxDepth=self.depth,
             minInstancesPerNode=self.min_child_samples, subsamplingRate=self.subsample,

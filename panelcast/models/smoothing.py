@@ -203,9 +203,14 @@ class STL:
     def fit(self, panel: DataFrame, factors: Factors | None = None) -> DataFrame:
         period = max(2, self.period)
         if self.robust:
-            done = robust_decompose(panel, period)
+            # series too short for the local regressions keep the classical route
+            n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
+            sized = panel.withColumn("n", n)
+            long, short = (sized.filter(c).drop("n") for c in (F.col("n") >= max(14, 2 * period), F.col("n") < max(14, 2 * period)))
+            done = robust_decompose(long, period)
             rows = done.select("series_id", F.posexplode(F.arrays_zip("dss", "ys", "trend", "seasonal", "residual")).alias("idx", "r"))
             parts = rows.select("series_id", F.col("r.dss").alias("ds"), F.col("r.ys").alias("y"), "r.trend", "r.seasonal", "r.residual")
+            parts = parts.unionByName(classical(short, period))
         else:
             parts = classical(panel, period)
         indexed = parts.withColumns({

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ from .enrich import within_range
 from .grid import along
 from .ranking import union_all
 
+log = logging.getLogger(__name__)
+
 FOLDS = 5  # fixed value: folds of a service run
 FLOOR = 1e-9  # fixed value: smallest denominator of a percentage error
 
@@ -99,6 +102,7 @@ def error_metrics(pairs: DataFrame, keys: Sequence[str], ape_limit: float | None
     )
 
 
+FOLD_METRICS = "series_id string, fold int, mae double, rmse double, mape double, r2 double, rows long"
 FOLD_MARK = " ||| fold "
 
 
@@ -119,7 +123,13 @@ def cross_validate(
         parts = [keyed.filter(F.col("fold") == n) for n in numbers]
     else:
         parts = [keyed]
-    scored = union_all([_score_folds(part, model, horizon, freq, factors) for part in parts])
+    done = []
+    for part in parts:
+        try:
+            done.append(_score_folds(part, model, horizon, freq, factors))
+        except ValueError as error:  # too little data in this fold; the other folds go on
+            log.warning("fold skipped for %s: %s", model.name, error)
+    scored = union_all(done) if done else panel.sparkSession.createDataFrame([], FOLD_METRICS)
     series = F.substring_index("series_id", FOLD_MARK, 1)
     return scored.withColumn("series_id", series).withColumn("model", F.lit(model.name))
 
