@@ -198,7 +198,7 @@ def test_end_to_end_run(spark, panel_of):
     assert out["ranking"].filter("rank = 1").count() == 2
     assert out["test"].count() == 2 and set(r["source"] for r in out["ranking"].collect()) == {"test", "cv"}
     assert out["ensemble"].count() == 14 and out["summary"].count() == 2
-    for name in ("history", "decomposition", "parameters", "backtest_metrics", "factor_totals", "contributions", "lags", "ensemble_backtest"):
+    for name in ("history", "decomposition", "parameters", "backtest_metrics", "factor_totals", "contributions", "ensemble_backtest"):
         assert out[name].count() > 0, name
 
 
