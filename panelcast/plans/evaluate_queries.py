@@ -250,12 +250,13 @@ def x17(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.join(best, metrics.model == best.model_type, "left").drop("model_type")
 
 
-@query("x18_save_model")
+@query("x18_save_model", """SELECT DISTINCT r_name AS series_id, 'm1' AS model_id, CAST(64 AS INTEGER) AS hash_length, max(CAST(o_orderdate AS DATE)) AS last_ds
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
 def x18(spark: SparkSession, folder: str) -> DataFrame:
     root = store.scratch_path(spark, "models")
     store.save_model(WMA().fit(region_panel(spark, folder)), root, "wma", "Regions", model_id="m1", tags=["daily"], notes="all regions")
     rows = spark.read.parquet(f"{root}/parameters")
-    return rows.select("series_id", "model_id", F.length("sha256").alias("hash_length"), "params")
+    return rows.select("series_id", "model_id", F.length("sha256").alias("hash_length"), F.get_json_object("params", "$.last_ds").cast("date").alias("last_ds"))
 
 
 @query("x19_forecast_saved_model", i.with_sql(i.REGION, *ms.wma("region_panel", 7)) + """SELECT series_id, step, ds, round(yhat, 4) AS yhat FROM wma_forecast""")
@@ -266,7 +267,9 @@ def x19(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("series_id", "step", "ds", F.round("yhat", 4).alias("yhat"))
 
 
-@query("x20_update_model")
+@query("x20_update_model", """WITH n AS (SELECT count(DISTINCT r_name) AS count FROM orders JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+  SELECT 'a' AS model_id, 'Model a' AS name, '' AS tags, count FROM n UNION ALL SELECT 'b', 'Renamed', 'kept', count FROM n""")
 def x20(spark: SparkSession, folder: str) -> DataFrame:
     root = store.scratch_path(spark, "models")
     fitted = Naive(0.2).fit(region_panel(spark, folder))
@@ -274,7 +277,7 @@ def x20(spark: SparkSession, folder: str) -> DataFrame:
         store.save_model(fitted, root, "naive", f"Model {model_id}", model_id=model_id)
     store.update_model(spark, root, "b", name="Renamed", tags=["kept"])
     store.delete_model(spark, root, "c")
-    models = store.list_models(spark, root).select("model_id", "name", "tags")
+    models = store.list_models(spark, root).select("model_id", "name", F.array_join("tags", ",").alias("tags"))
     return models.join(spark.read.parquet(f"{root}/parameters").groupBy("model_id").count(), "model_id")
 
 
@@ -310,6 +313,30 @@ def m5(spark: SparkSession, folder: str) -> DataFrame:
     return model.forecast(model.fit(panel, factors), 14, "D", factors)
 
 
+AR1 = """pairs AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY ds) AS x FROM region_panel),
+coef AS (SELECT series_id, regr_slope(y, x) AS phi, regr_intercept(y, x) AS c, max(ds) AS last_ds, arg_max(y, ds) AS last_y FROM pairs GROUP BY 1),
+noise AS (SELECT p.series_id, avg((y - c - phi * x) * (y - c - phi * x)) AS v FROM pairs p JOIN coef k ON p.series_id = k.series_id WHERE x IS NOT NULL GROUP BY 1),
+ahead AS (SELECT k.*, v, CAST(unnest(range(1, 11)) AS INTEGER) AS step FROM coef k JOIN noise n ON k.series_id = n.series_id),
+points AS (SELECT *, c * (1 - pow(phi, step)) / (1 - phi) + pow(phi, step) * last_y AS m,
+  1.96 * sqrt(v * (1 - pow(phi * phi, step)) / (1 - phi * phi)) AS half FROM ahead)"""
+
+
+@query("m5_ar1", i.with_sql(i.REGION, AR1) + """SELECT series_id, step, CAST(last_ds + step AS DATE) AS ds, round(m, 3) AS yhat,
+  round(m - half, 3) AS lower_ci, round(m + half, 3) AS upper_ci FROM points""")
+def m5_ar1(spark: SparkSession, folder: str) -> DataFrame:
+    model = ARIMA((1, 0, 0))
+    return rounded(model.forecast(model.fit(region_panel(spark, folder)), 10), 3, *BAND)
+
+
+@query("m6_seasonal_walk", i.with_sql(i.REGION, """aged AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds DESC) AS age,
+    max(ds) OVER (PARTITION BY series_id) AS last_ds FROM region_panel)""") + """SELECT series_id, CAST(8 - age AS INTEGER) AS step,
+  CAST(last_ds + CAST(8 - age AS INTEGER) AS DATE) AS ds, round(y, 3) AS yhat FROM aged WHERE age <= 7""")
+def m6_walk(spark: SparkSession, folder: str) -> DataFrame:
+    model = SARIMAX((0, 0, 0), (0, 1, 0, 7))
+    out = model.forecast(model.fit(region_panel(spark, folder)), 7)
+    return out.select("series_id", "step", "ds", F.round("yhat", 3).alias("yhat"))
+
+
 @query("m6_sarimax")
 def m6(spark: SparkSession, folder: str) -> DataFrame:
     model = SARIMAX((1, 0, 1), (1, 0, 1, 7))

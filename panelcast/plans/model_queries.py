@@ -35,6 +35,17 @@ def d1(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("series_id", "n", F.posexplode("periods").alias("rank", "period"))
 
 
+@query("d1_dominant_period", i.with_sql(i.REGION, """waves AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS t,
+    count(*) OVER (PARTITION BY series_id) AS n, y - avg(y) OVER (PARTITION BY series_id) AS c FROM region_panel),
+  sizes AS (SELECT series_id, k, max(n) AS n, sqrt(pow(sum(c * cos(2 * pi() * k * t / n)), 2) + pow(sum(c * sin(2 * pi() * k * t / n)), 2)) AS size
+    FROM waves JOIN range(1, 3000) r(k) ON k <= n // 2 GROUP BY 1, 2),
+  rated AS (SELECT *, CAST(round_even(n / k, 0) AS INTEGER) AS period FROM sizes)""") + """SELECT series_id, period FROM rated
+  WHERE period BETWEEN 2 AND CASE WHEN n < 2 * least(365, n // 2) THEN greatest(7, n // 4) ELSE least(365, n // 2) END
+  QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY size DESC) = 1""")
+def d1_dominant(spark: SparkSession, folder: str) -> DataFrame:
+    return dc.spectral_periods(region_panel(spark, folder)).select("series_id", F.get("periods", F.lit(0)).alias("period"))
+
+
 ACF_PEAKS = """base AS (SELECT series_id, y - avg(y) OVER s AS c, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS idx, count(*) OVER s AS n
   FROM region_panel WINDOW s AS (PARTITION BY series_id)),
 spread AS (SELECT series_id, max(n) AS n, sum(c * c) AS v FROM base GROUP BY 1),
@@ -128,6 +139,18 @@ def m2(spark: SparkSession, folder: str) -> DataFrame:
     return model.forecast(model.fit(region_panel(spark, folder)), 14)
 
 
+LEVEL = """ranked AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS rk, count(*) OVER (PARTITION BY series_id) AS n FROM region_panel),
+smoothed AS (SELECT series_id, max(ds) AS last_ds, sum(0.3 * pow(0.7, n - rk) * y) + pow(0.7, max(n)) * avg(CASE WHEN rk <= 7 THEN y END) AS level FROM ranked GROUP BY 1)"""
+
+
+@query("m2_ets_level", i.with_sql(i.REGION, LEVEL) + """SELECT series_id, step, CAST(last_ds + step AS DATE) AS ds, round(level, 3) AS yhat
+  FROM (SELECT *, CAST(unnest(range(1, 8)) AS INTEGER) AS step FROM smoothed)""")
+def m2_level(spark: SparkSession, folder: str) -> DataFrame:
+    model = ETS(trend=None, seasonal=None, alphas=(0.3,))
+    out = model.forecast(model.fit(region_panel(spark, folder)), 7)
+    return out.select("series_id", "step", "ds", F.round("yhat", 3).alias("yhat"))
+
+
 @query("m2_ets_multiplicative")
 def m2_mul(spark: SparkSession, folder: str) -> DataFrame:
     model = ETS(trend="mul", seasonal="mul", alphas=(0.05, 0.2), betas=(0.05,), gammas=(0.1,))
