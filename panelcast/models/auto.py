@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.profile import pattern_profile
 from ..operators.ranking import union_all
 from ..functions.scalars import safe_float
+from ..store import materialize
 from .additive import AdditiveRegression
 from .arima import ARIMA, SARIMAX
 from .base import FORECAST, Factors, Forecaster
@@ -107,7 +108,7 @@ class AutoML:
         self._fits: dict[str, tuple[Forecaster, DataFrame]] = {}
 
     def fit(self, panel: DataFrame, factors: Factors | None = None) -> DataFrame:
-        self.routes = route(panel, factors).select("series_id", "strategy").persist()
+        self.routes = materialize(route(panel, factors).select("series_id", "strategy"))
         used = {r[0] for r in self.routes.select("strategy").distinct().collect()}
         self._fits = {}
         for name in [s for s in self.strategies if s in used]:

@@ -16,6 +16,7 @@ from ..models.base import Factors, Forecaster
 from ..models.boosted import Boosted, boosted_rows
 from ..models.smoothing import ETS, STL, Theta
 from ..models.wma import WMA
+from ..store import materialize
 from .evaluate import cross_validate, tuning_folds
 from .ranking import union_all
 
@@ -143,7 +144,7 @@ def tune(
         longest = panel.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
         horizon = max(1, min((longest - least) // (folds + 1), longest // (folds + 2)))
     first = sample_candidates(space, n_iter, seed)
-    scores = evaluate_candidates(panel, kind, first, horizon, folds, least, freq, factors).persist()
+    scores = materialize(evaluate_candidates(panel, kind, first, horizon, folds, least, freq, factors))
     relative = F.col("mae") / F.greatest(F.min("mae").over(Window.partitionBy("series_id")), F.lit(1e-9))
     leader = (
         scores.withColumn("relative", relative).groupBy("candidate").agg(F.avg("relative").alias("r"))

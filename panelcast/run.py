@@ -21,7 +21,7 @@ from .operators.ranking import rank_models, union_all, union_by_priority
 from .operators.rollup import factor_totals, forecast_summary
 from .operators.scenario import factor_contributions
 from .operators.tuning import BUILDERS, build_model, tune
-from .store import save_model
+from .store import materialize, save_model
 
 LEARNED = {"lightgbm", "xgboost", "automl", "hybrid"}  # models judged on a held-out share
 
@@ -76,17 +76,18 @@ def run_forecast(panel: DataFrame, request: ForecastRequest, factors: Factors |
     """Tables of a run: history, cv, forecast, backtest, metrics, ranking, ensemble, summary ...
 
     The panel holds one row per series and period; categories, regions or products are
-    series, so a per-category run is the same call on a finer panel. It is used many
-    times and therefore cached; lost blocks are computed again from the source.
+    series, so a per-category run is the same call on a finer panel. Panel, factors and
+    fold metrics are used many times, so they are written to the shared checkpoint folder
+    once: a lost executor never sends the run back to the source.
     """
-    panel = panel.select("series_id", "ds", "y").persist()
-    factors = gather_factors(panel, factors or {}, request)
+    panel = materialize(panel.select("series_id", "ds", "y"))
+    factors = {k: materialize(f) for k, f in gather_factors(panel, factors or {}, request).items()}
     out: dict[str, DataFrame] = {"history": panel}
     if factors:
         out["factor_totals"] = factor_totals(factors)
     longest = panel.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if longest > request.max_points:
-        shorter = downsample(panel, request.max_points).persist()
+        shorter = materialize(downsample(panel, request.max_points))
         out["downsampling"] = shorter.select("series_id", "level").distinct()
         levels = {r[0] for r in out["downsampling"].select("level").distinct().collect()}
         if levels == {"weekly"}:
@@ -113,7 +114,8 @@ def run_forecast(panel: DataFrame, request: ForecastRequest, factors: Factors |
     out["parameters"] = merged_params(auto, parts, user)
 
     models = {name: build(name, request) for name in request.models}
-    folds = union_all([ev.cross_validate(panel, m, min(7, horizon), ev.FOLDS, freq, factors or None) for m in models.values()]).persist()
+    folds = union_all([ev.cross_validate(panel, m, min(7, horizon), ev.FOLDS, freq, factors or None) for m in models.values()])
+    folds = materialize(folds)
     out["cv_folds"] = folds
     out["cv"] = ev.fold_summary(folds)
 
@@ -167,10 +169,10 @@ def train_and_save(
 
     The best model is the one with the smallest mean test MAE over the series.
     """
-    panel = panel.select("series_id", "ds", "y").persist()
+    panel = materialize(panel.select("series_id", "ds", "y"))
     built = {m: build(m, request) for m in models}
     rows = ev.holdout(panel, list(built.values()), request.train_ratio, request.freq, factors)
-    metrics = ev.error_metrics(rows, ["series_id", "model"]).persist()
+    metrics = materialize(ev.error_metrics(rows, ["series_id", "model"]))
     best = metrics.groupBy("model").agg(F.avg("mae").alias("mae")).orderBy("mae", "model").first()["model"]
     span = panel.agg(F.min("ds").cast("string"), F.max("ds").cast("string")).first()
     by_name = {m.name: m for m in built.values()}

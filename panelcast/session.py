@@ -1,10 +1,10 @@
-"""Spark session set-up and lineage checkpoints."""
+"""Spark session set-up and the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -35,12 +35,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(current)
     return current
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the files.
-
-    Survives the loss of executors, unlike a cached or locally kept copy.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
