@@ -154,8 +154,12 @@ def parse_date(df: DataFrame, name: str) -> Column:
     column = F.col(f"`{name}`")
     if not isinstance(df.schema[name].dataType, T.StringType):
         return F.to_date(column)
-    text = F.trim(column)
-    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_date(text, spelling)) for spelling, shape in DATE_FORMATS])
+
+    def read(text: Column) -> Column:
+        return F.coalesce(*[F.when(text.rlike(shape), F.try_to_date(text, spelling)) for spelling, shape in DATE_FORMATS])
+
+    # bound once as a lambda argument: the tests do not evaluate the source text again
+    return F.get(F.transform(F.array(F.trim(column)), read), F.lit(0))
 
 
 def drop_empty(df: DataFrame) -> DataFrame:
