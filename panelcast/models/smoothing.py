@@ -1,15 +1,17 @@
 """Exponential smoothing, theta and decomposition forecasters.
 
-The recursions run as folds over one array per series, inside Spark. Parameter
-candidates are an inner loop over a fixed list, so no row is copied per candidate.
+A recursion sees one array row per series. The single-state one of theta is a fold over
+the array inside Spark; the one with seasonal states runs in Arrow batches, all weight
+combinations side by side. No row is copied per candidate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +19,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import ratio
 from ..operators.decompose import classical, robust_decompose
 from ..operators.grid import along
-from .base import Factors, Z95, as_arrays, banded, steps
+from .base import Factors, Z95, as_arrays, banded, per_row, steps
 
 
 @dataclass(frozen=True)
@@ -131,52 +133,52 @@ class ETS:
             "level0": head_mean, "trend0": slope, "season0": F.when(seasonal_on, season).otherwise(flat),
             "seasonal_on": seasonal_on,
         })
-        options = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g"))
-            for a, b, g in product(self.alphas, self.betas if self.trend else (0.0,), self.gammas if self.seasonal else (0.0,))
-        ]
-        fits = F.transform(F.array(*options), self._run)
-        # the sum of squares comes first in the struct, so the minimum is the best fit
-        return started.withColumn("fit", F.array_min(fits)).select(
-            "series_id", "last_ds", "n", "m",
-            F.when(F.col("n") >= 5, F.col("fit.level")).otherwise(
-                F.aggregate("ys", F.lit(0.0), lambda s, y: s + y) / F.col("n")).alias("level"),
-            F.when(F.col("n") >= 5, F.col("fit.trend")).otherwise(1.0 if self.trend == "mul" else 0.0).alias("trend"),
-            F.when(F.col("n") >= 5, F.col("fit.season")).otherwise(flat).alias("season"),
-            F.sqrt(F.col("fit.sse") / F.greatest(F.col("n"), F.lit(1))).alias("sigma"),
-            F.col("fit.a").alias("alpha"), F.col("fit.b").alias("beta"), F.col("fit.g").alias("gamma"),
-        )
+        options = np.array(list(product(
+            self.alphas, self.betas if self.trend else (0.0,), self.gammas if self.seasonal else (0.0,)
+        ))).T
+
+        def work(row: pd.Series) -> dict:
+            if row["n"] < 5:
+                return {"level": float(np.mean(row["ys"])), "trend": 1.0 if self.trend == "mul" else 0.0,
+                        "season": [neutral] * row["m"], "sigma": 0.0, "alpha": None, "beta": None, "gamma": None}
+            return self._search(row, options)
+
+        schema = ("series_id string, last_ds date, n int, m int, level double, trend double, season array<double>, "
+                  "sigma double, alpha double, beta double, gamma double")
+        return per_row(started, schema, work, ("series_id", "last_ds", "n", "m"))
 
     @property
     def _phi(self) -> float:
         return self.phi if self.damped_trend else 1.0
 
-    def _run(self, option: Column) -> Column:
+    def _search(self, row: pd.Series, options: np.ndarray) -> dict:
+        """Run the recursion once with all weight combinations side by side; keep the best."""
+        a, b, g = options
         phi, mul_season, mul_trend = self._phi, self.seasonal == "mul", self.trend == "mul"
-
-        def step(s: Column, y: Column) -> Column:
-            season = F.get(s["season"], F.lit(0))
-            moved = s["level"] * F.pow(s["trend"], F.lit(phi)) if mul_trend else s["level"] + phi * s["trend"]
-            guess = moved * season if mul_season else moved + season
-            error = y - guess
-            plain = F.when(season != 0, y / season).otherwise(y) if mul_season else y - season
-            level = option["a"] * plain + (1 - option["a"]) * moved
-            if mul_trend:
-                change = F.when(s["level"] > 0, level / s["level"]).otherwise(1.0)
-                trend = F.greatest(option["b"] * change + (1 - option["b"]) * F.pow(s["trend"], F.lit(phi)), F.lit(0.01))
-            else:
-                trend = option["b"] * (level - s["level"]) + (1 - option["b"]) * phi * s["trend"]
-            fresh = F.when(moved != 0, y / moved).otherwise(1.0) if mul_season else y - moved
-            updated = F.when(F.col("seasonal_on"), option["g"] * fresh + (1 - option["g"]) * season).otherwise(season)
-            rotated = F.concat(F.slice(s["season"], 2, F.col("m")), F.array(updated))
-            return F.struct((s["sse"] + error * error).alias("sse"), level.alias("level"), trend.alias("trend"), rotated.alias("season"))
-
-        start = F.struct(F.lit(0.0).alias("sse"), F.col("level0").alias("level"), F.col("trend0").alias("trend"), F.col("season0").alias("season"))
-        end = F.aggregate("ys", start, step)
-        return F.struct(
-            end["sse"].alias("sse"), option["a"].alias("a"), option["b"].alias("b"), option["g"].alias("g"),
-            end["level"].alias("level"), end["trend"].alias("trend"), end["season"].alias("season"),
-        )
+        m, seasonal_on = int(row["m"]), bool(row["seasonal_on"])
+        level, trend, sse = np.full(len(a), row["level0"]), np.full(len(a), row["trend0"]), np.zeros(len(a))
+        season = np.repeat(np.asarray(row["season0"], float)[:, None], len(a), axis=1)
+        with np.errstate(all="ignore"):
+            for t, y in enumerate(row["ys"]):
+                s = season[t % m]
+                moved = level * trend**phi if mul_trend else level + phi * trend
+                sse += (y - (moved * s if mul_season else moved + s)) ** 2
+                plain = np.where(s != 0, y / s, y) if mul_season else y - s
+                fresh = (np.where(moved != 0, y / moved, 1.0) if mul_season else y - moved) if seasonal_on else s
+                before, level = level, a * plain + (1 - a) * moved
+                if mul_trend:
+                    change = np.where(before > 0, level / before, 1.0)
+                    trend = np.maximum(b * change + (1 - b) * trend**phi, 0.01)
+                elif self.trend:
+                    trend = b * (level - before) + (1 - b) * phi * trend
+                if seasonal_on:
+                    season[t % m] = g * fresh + (1 - g) * s
+        best = int(np.argmin(np.where(np.isfinite(sse), sse, np.inf)))
+        n = len(row["ys"])
+        return {
+            "level": level[best], "trend": trend[best], "season": np.roll(season[:, best], -(n % m)),
+            "sigma": float(np.sqrt(sse[best] / n)), "alpha": a[best], "beta": b[best], "gamma": g[best],
+        }
 
     def forecast(
         self, fitted: DataFrame, horizon: int, freq: str = "D", factors: Factors | None = None
