@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scan
-from . import decontaminate, token_files
+from . import decontaminate, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,3 +32,13 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_token_files")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.digest(token_files.read_documents(spark, token_files.write_documents(scan(spark, folder, "documents"))))
+
+
+@query("op4_packing")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(scan(spark, folder, "documents"))[1]
+
+
+@query("op2_quality")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.digest(quality.quality(scan(spark, folder, "documents")))
