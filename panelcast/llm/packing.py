@@ -28,7 +28,7 @@ from .tokens import default_tokenizer, encoder
 
 CAPACITY = 4096
 #: Width of a length class. A piece leaves less than this many tokens unused.
-UNIT = 8
+UNIT = 16
 #: The linear program ends when its bound shows that no more than this share can be gained.
 GAP = 2e-4
 

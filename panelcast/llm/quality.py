@@ -7,8 +7,8 @@ eight-word windows that occur twice or more.
 
 The estimation works on vote patterns: with ``len(RULES)`` rules of three votes each there
 are at most ``3 ** len(RULES)`` of them, whatever the corpus holds; their counts over all
-documents are summed by Spark. A rule's accuracies are the shares of right votes among good
-and among bad documents, with abstention as a third outcome.
+documents are summed by Spark. A rule's accuracies are the shares of right votes among its
+votes on good and on bad documents; an abstention says nothing about a document.
 
 Defined results: null and empty texts have no words, every rule abstains and the base rules
 reject them; repeated rows are scored once per row; in an empty table nothing is estimated.
@@ -34,7 +34,7 @@ KEEP = 0.5
 
 MEASURES = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_letters",
-    "n_marks", "n_ended",
+    "n_marks", "n_ended", "n_symbol_words",
 ]
 
 
@@ -73,6 +73,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         len(words), len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated_words(ids), len(lines), len(number),
         len(letters) - len(letters.translate(None, bytes(range(0x41, 0x5B)))), len(letters), raw.count(b"!") + raw.count(b"?"),
         sum(line.rstrip().endswith((b".", b"!", b"?", b":", b'"', b")", b"\xe2\x80\x9d", b"\xe3\x80\x82")) for line in lines),
+        sum(w.translate(None, SYMBOLS) != w for w in words),
     )
 
 
@@ -87,12 +88,14 @@ def _between(share: np.ndarray, good: float, bad: float) -> np.ndarray:
 
 RULES: dict[str, Rule] = {
     "symbols": lambda m: _between(m["n_symbols"] / np.maximum(m["n_words"], 1), 0.02, 0.1),
-    "duplicate_lines": lambda m: np.where(m["n_lines"] >= 3, _between(m["n_dup_lines"] / np.maximum(m["n_lines"], 1), 0.05, 0.3), 0),
-    "repeated_words": lambda m: _between(m["n_repeat_words"] / np.maximum(m["n_words"], 1), 0.05, 0.2),
-    "upper_case": lambda m: np.where(m["n_letters"] >= 20, _between(m["n_upper"] / np.maximum(m["n_letters"], 1), 0.15, 0.4), 0),
-    "word_length": lambda m: np.where((m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]), -1, np.where((m["word_chars"] >= 3 * m["n_words"]) & (m["word_chars"] <= 10 * m["n_words"]), 1, 0)),
+    "symbol_words": lambda m: _between(m["n_symbol_words"] / np.maximum(m["n_words"], 1), 0.02, 0.1),
+    "symbol_characters": lambda m: _between(m["n_symbols"] / np.maximum(m["word_chars"], 1), 0.005, 0.02),
+    "duplicate_lines": lambda m: np.where(m["n_lines"] >= 3, _between(m["n_dup_lines"] / np.maximum(m["n_lines"], 1), 0.2, 0.5), 0),
+    "repeated_words": lambda m: _between(m["n_repeat_words"] / np.maximum(m["n_words"], 1), 0.1, 0.3),
     "vocabulary": lambda m: np.where(m["n_words"] >= 50, np.where(m["n_distinct"] < 3 * np.sqrt(m["n_words"]), -1, np.where(m["n_distinct"] > 5 * np.sqrt(m["n_words"]), 1, 0)), 0),
-    "exclamations": lambda m: _between(m["n_marks"] / np.maximum(m["n_words"], 1), 0.05, 0.3),
+    "upper_case": lambda m: np.where(m["n_letters"] >= 20, _between(m["n_upper"] / np.maximum(m["n_letters"], 1), 0.2, 0.4), 0),
+    "exclamations": lambda m: _between(m["n_marks"] / np.maximum(m["n_words"], 1), 0.1, 0.3),
+    "word_length": lambda m: np.where((m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]), -1, np.where((m["word_chars"] >= 3 * m["n_words"]) & (m["word_chars"] <= 10 * m["n_words"]), 1, 0)),
     "sentence_ends": lambda m: np.where(m["n_lines"] >= 2, np.where(m["n_ended"] >= 0.6 * m["n_lines"], 1, np.where(m["n_ended"] <= 0.1 * m["n_lines"], -1, 0)), 0),
 }
 
@@ -105,22 +108,19 @@ def votes_of(measures: dict[str, np.ndarray], rules: dict[str, Rule] = RULES) ->
 
 
 class VoteModel:
-    """Two hidden classes, and per rule the shares of bad votes, abstentions and good votes."""
+    """Two hidden classes; per class and rule, the share of good votes among the rule's votes."""
 
     def __init__(self, prior: float, shares: np.ndarray):
-        self.prior, self.shares = prior, shares  # shares[class, rule, vote + 1]; class 1 is good
+        self.prior, self.shares = prior, shares  # shares[class, rule]; class 1 is good
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        rules = np.arange(votes.shape[1])
-        logs = np.log(self.shares[:, rules, votes.astype(int) + 1]).sum(axis=2)
-        odds = np.log(self.prior) - np.log1p(-self.prior) + logs[1] - logs[0]
+        up, down = np.log(self.shares[1] / self.shares[0]), np.log((1 - self.shares[1]) / (1 - self.shares[0]))
+        odds = np.log(self.prior) - np.log1p(-self.prior) + (votes > 0) @ up + (votes < 0) @ down
         return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
     def accuracies(self) -> np.ndarray:
-        """Per rule, the share of right votes among its votes."""
-        right = self.prior * self.shares[1, :, 2] + (1 - self.prior) * self.shares[0, :, 0]
-        wrong = self.prior * self.shares[1, :, 0] + (1 - self.prior) * self.shares[0, :, 2]
-        return right / (right + wrong)
+        """Per rule, the share of right votes."""
+        return self.prior * self.shares[1] + (1 - self.prior) * (1 - self.shares[0])
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smoothing: float = 1.0) -> VoteModel:
@@ -128,17 +128,14 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smoot
 
     It starts from the rules' own word: a document with a bad vote is more likely bad.
     """
-    n_rules = patterns.shape[1]
     weight = counts.astype(float)
     good = np.where((patterns < 0).any(axis=1), 0.1, 0.9)
-    model = VoteModel(0.5, np.full((2, n_rules, 3), 1 / 3))
-    before = None
+    model, before = VoteModel(0.5, np.full((2, patterns.shape[1]), 0.5)), None
     for _ in range(rounds):
-        shares = np.empty((2, n_rules, 3))
+        shares = np.empty((2, patterns.shape[1]))
         for k, part in enumerate((weight * (1 - good), weight * good)):
-            for v in range(3):
-                shares[k, :, v] = ((patterns == v - 1) * part[:, None]).sum(axis=0) + smoothing
-        shares /= shares.sum(axis=2, keepdims=True)
+            up, down = part @ (patterns > 0), part @ (patterns < 0)
+            shares[k] = (up + smoothing) / (up + down + 2 * smoothing)
         prior = float(np.clip(((weight * good).sum() + smoothing) / (weight.sum() + 2 * smoothing), 1e-6, 1 - 1e-6))
         model = VoteModel(prior, shares)
         good = model.posterior(patterns)
