@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scan
-from . import decontaminate, packing, quality, token_files
+from . import decontaminate, language, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,3 +42,9 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_quality")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return quality.digest(quality.quality(scan(spark, folder, "documents")))
+
+
+@query("op6_language")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    documents = scan(spark, folder, "documents")
+    return language.digest(language.classify(documents, language.fit(documents)))
