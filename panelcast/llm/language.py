@@ -133,7 +133,8 @@ def training_texts(documents: DataFrame, per_language: int = TEXTS_PER_LANGUAGE)
     )
     best: dict[str, tuple[bool, int]] = {}
     for r in rows.groupBy("lang", "long").agg(F.count(F.lit(1)).alias("n")).collect():
-        best[r["lang"]] = min(best.get(r["lang"], (True, 0)), (r["long"], r["n"])) if r["lang"] in best else (r["long"], r["n"])
+        if not r["long"] or r["lang"] not in best:
+            best[r["lang"]] = (r["long"], r["n"])
     wanted = F.lit(False)
     for lang, (long, n) in sorted(best.items()):
         share = min(1.0, 2 * per_language / n)

@@ -73,7 +73,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         len(words), len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated_words(ids), len(lines), len(number),
         len(letters) - len(letters.translate(None, bytes(range(0x41, 0x5B)))), len(letters), raw.count(b"!") + raw.count(b"?"),
         sum(line.rstrip().endswith((b".", b"!", b"?", b":", b'"', b")", b"\xe2\x80\x9d", b"\xe3\x80\x82")) for line in lines),
-        sum(w.translate(None, SYMBOLS) != w for w in words),
+        sum(w.translate(None, SYMBOLS) != w for w in words) if symbols else 0,
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scan
-from . import decontaminate, language, packing, quality, token_files
+from . import decontaminate, language, ngram_join, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +48,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 def _(spark: SparkSession, folder: str) -> DataFrame:
     documents = scan(spark, folder, "documents")
     return language.digest(language.classify(documents, language.fit(documents)))
+
+
+@query("op8_ngram_join")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(scan(spark, folder, "documents"))
