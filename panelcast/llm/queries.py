@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scan
-from . import decontaminate, language, ngram_join, packing, quality, token_files
+from . import decontaminate, language, ngram_join, packing, quality, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +53,15 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_ngram_join")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(scan(spark, folder, "documents"))
+
+
+@query("op3_warc", """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+    f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+    SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+           CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id > first THEN first END AS refers_to
+    FROM p LEFT JOIN f ON p.digest = f.digest AND n >= 100
+""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.digest(warc.read_archives(spark, warc.write_archives(scan(spark, folder, "pages"))))
