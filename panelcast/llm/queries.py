@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scan
-from . import decontaminate, language, ngram_join, packing, quality, token_files, warc
+from . import chat, decontaminate, html_text, language, ngram_join, packing, quality, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,3 +65,29 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return warc.digest(warc.read_archives(spark, warc.write_archives(scan(spark, folder, "pages"))))
+
+
+@query("op9_chat", r"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(i)
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(14 + length(regexp_replace(role, '[\\#<:]', 'xx', 'g')) + length(regexp_replace(text, '[\\#<]', 'xx', 'g'))) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id
+""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    rows = scan(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digest(chat.formatted_conversations(rows))
+
+
+@query("op10_html_text")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.digest(html_text.extract(scan(spark, folder, "pages")))
