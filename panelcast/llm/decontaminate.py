@@ -159,6 +159,33 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, per_pass: int = WINDOWS_PER_PASS) -> DataFrame:
+    """The documents, with their own columns, that hold no window of the benchmark.
+
+    One scan per pass over what the passes before it kept, and no shuffle.
+    """
+    spark = documents.sparkSession
+    prepare(spark)
+
+    def clean(rows: DataFrame, windows: dict[int, dict[tuple, list[str]]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(windows)
+        built: list[list[WuManber]] = []
+
+        @F.pandas_udf("boolean")
+        def has_none(text):
+            if not built:
+                built.append([WuManber(length, found) for length, found in sorted(shared.value.items())])
+            return text.map(lambda t: not any(True for table in built[0] for _ in table.find(words_of(t))))
+
+        return rows.where(has_none(F.col("text").cast("string")))
+
+    parts = _passes(benchmark, window, per_pass)
+    part = next(parts)
+    for following in parts:
+        documents, part = save(clean(documents, part)), following
+    return clean(documents, part)
+
+
 def sha_of(items: list[str]) -> str:
     """What ``items_sha256`` holds, for tests and readers."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

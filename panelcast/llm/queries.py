@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scan
-from . import chat, decontaminate, html_text, language, ngram_join, packing, quality, token_files, warc
+from . import chat, decontaminate, html_text, language, licenses, ngram_join, packing, quality, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,24 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_html_text")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.digest(html_text.extract(scan(spark, folder, "pages")))
+
+
+def document_files(documents: DataFrame) -> DataFrame:
+    """``path, text``: the documents as files of repositories, one per source.
+
+    A document that begins with a licence line stands for the licence file of the directory
+    of its thousand; all others lie one level deeper.
+    """
+    number = F.col("doc_id")
+    top = F.concat(F.coalesce("source", F.lit("none")), F.lit("/d"), F.floor(number / 1000))
+    first = F.substring_index(F.col("text"), "\n", 1)
+    is_license = F.coalesce((F.length(first) < 200) & first.rlike(licenses.CUE), F.lit(False))
+    path = F.when(is_license, F.concat(top, F.lit("/LICENSE-"), number)).otherwise(F.concat(top, F.lit("/d"), F.floor(number / 100) % 10, F.lit("/"), number, F.lit(".txt")))
+    return documents.select(path.alias("path"), "text")
+
+
+@query("op1_licenses")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(document_files(scan(spark, folder, "documents")))
+    number = F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).try_cast("long")
+    return found.select(number.alias("doc_id"), "path", "license", "score", "origin", "from_folder")
