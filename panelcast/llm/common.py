@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir, ship_package
 
 #: Bytes of text that one Arrow batch hands to a Python worker, so that long texts don't pile up.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:

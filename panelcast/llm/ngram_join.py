@@ -38,6 +38,7 @@ PERCENT = 80
 COUNTERS = 1 << 22
 BLOCK = 1 << 12
 CELLS = 64
+BITS = 1 << 23
 #: Documents that one task compares with one other document.
 PER_GROUP = 256
 
@@ -45,7 +46,7 @@ _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _hashes: dict[bytes, int] = {}
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cells", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 _POSTING = pa.schema([("shingle", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 POSTING = "shingle long, doc_id long, n int, pos int"
 
@@ -73,7 +74,7 @@ def shingles(text: str | None) -> np.ndarray:
     width = min(WORDS, len(words))
     total = np.full(len(words) - width + 1, width, dtype=np.uint64)
     for k in range(width):
-        total += _mixed(codes[k : len(codes) - width + 1 + k] + _FACTORS[k]) * _FACTORS[k]
+        total += codes[k : len(codes) - width + 1 + k] * _FACTORS[k]
     total = np.sort(_mixed(total))
     return total[np.concatenate(([True], total[1:] != total[:-1]))]
 
@@ -91,7 +92,7 @@ def prefix_length(n: int) -> int:
 
 
 def profiled(documents: DataFrame) -> DataFrame:
-    """Rows ``doc_id, n`` of all documents, and the tasks' counters as rows ``block, counts``."""
+    """Rows ``doc_id, n, cells`` of all documents, and the tasks' counters as rows ``block, counts``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(COUNTERS, dtype=np.uint32)
@@ -100,17 +101,17 @@ def profiled(documents: DataFrame) -> DataFrame:
             for doc_id, text in columns_of(batches, "doc_id", "text"):
                 found = shingles(text)
                 np.add.at(table, (found >> np.uint64(64 - 22)).astype(np.int64), 1)
-                yield doc_id, len(found), None, None
+                yield doc_id, len(found), cells_of(found).tobytes() if len(found) else None, None, None
 
         def blocks():
             if table.any():
                 for block in range(COUNTERS // BLOCK):
-                    yield None, None, block, np.minimum(table[block * BLOCK : (block + 1) * BLOCK], 65535).astype("<u2").tobytes()
+                    yield None, None, None, block, np.minimum(table[block * BLOCK : (block + 1) * BLOCK], 65535).astype("<u2").tobytes()
 
         yield from in_batches(rows(), _PROFILE)
         yield from in_batches(blocks(), _PROFILE, 256)
 
-    return documents.mapInArrow(scan, "doc_id long, n long, block int, counts binary")
+    return documents.mapInArrow(scan, "doc_id long, n long, cells binary, block int, counts binary")
 
 
 def frequency_ranks(profile: DataFrame) -> np.ndarray:
@@ -120,22 +121,21 @@ def frequency_ranks(profile: DataFrame) -> np.ndarray:
     the counters of all tasks; the driver gets ``COUNTERS`` bytes.
     """
 
-    def added(rows: DataFrame, keys: list[str]) -> DataFrame:
+    def added(rows: DataFrame, keys: list[str], last: bool) -> DataFrame:
         def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(BLOCK, dtype=np.int64)
             for batch in batches:
                 for counts in batch.column("counts").to_pylist():
-                    total += np.frombuffer(counts, dtype="<i8" if len(counts) == 8 * BLOCK else "<u2")
-            yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["block", "counts"])
+                    total += np.frombuffer(counts, dtype="<i8" if last else "<u2")
+            out = np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8) if last else total.astype("<i8")
+            yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["block", "counts"])
 
         return rows.groupBy(*keys).applyInArrow(add, "block int, counts binary")
 
-    counts = profile.where("block is not null").select("block", "counts", F.spark_partition_id().alias("part"))
-    partial = added(counts.withColumn("team", F.col("part") % 32), ["block", "team"])
+    counts = profile.where("block is not null").select("block", "counts", (F.spark_partition_id() % 32).alias("team"))
     ranks = np.zeros(COUNTERS, dtype=np.uint8)
-    for r in added(partial, ["block"]).toLocalIterator():
-        total = np.frombuffer(r["counts"], dtype="<i8")
-        ranks[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.minimum(8 * np.log2(1 + total), 255)
+    for r in added(added(counts, ["block", "team"], False), ["block"], True).toLocalIterator():
+        ranks[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], dtype=np.uint8)
     return ranks
 
 
@@ -187,17 +187,25 @@ def passes(a_n, a_pos, b_n, b_pos):
     return (100 * small >= PERCENT * large) & (1 + F.least(a_n - a_pos - 1, b_n - b_pos - 1) >= need)
 
 
-def star_pairs(lists: DataFrame) -> DataFrame:
-    """Every document of a list with the list's first member, once per pair."""
+def stars(lists: DataFrame) -> DataFrame:
+    """All rows of lists but the first member's, with that member and the list's size."""
     first = lists.groupBy("shingle").agg(F.min(F.struct("pos", "doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    both = lists.join(first.select("shingle", "first"), "shingle").where(F.col("doc_id") != F.col("first.doc_id"))
-    both = both.where(passes(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
-    return both.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    return lists.join(first, "shingle").where(F.col("doc_id") != F.col("first.doc_id"))
+
+
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """Every document of a list with the list's first member, once per pair."""
+    kept = rows.where(passes(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
+    return kept.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+
 
+def crossing_pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of one list, without its first member, whose documents are in different groups.
 
-def crossing_pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of one list whose documents are in different groups."""
-    named = lists.join(groups.select("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    A list of two documents has no such pair: the star has compared them.
+    """
+    rest = rows.where("size > 2").select("shingle", "doc_id", "n", "pos")
+    named = rest.join(groups.select("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
     open_lists = save(named.join(mixed, "shingle", "left_semi"))
     left = open_lists.select("shingle", *(F.col(c).alias(f"l_{c}") for c in ("doc_id", "n", "pos", "component")))
@@ -206,20 +214,61 @@ def crossing_pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.select(F.col("l_doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
+def suffix_filtered(pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    """Pairs whose cell counts allow enough shared shingles; ids and counts are all that is joined.
+
+    An id with several rows keeps its pairs if any of its rows allows it.
+    """
+    cells = profile.where("cells is not null and doc_id is not null").select("doc_id", "cells")
+    one, other = (cells.withColumnsRenamed({"doc_id": side, "cells": f"{side}_cells"}) for side in ("a", "b"))
+
+    @F.pandas_udf("boolean")
+    def enough(a, b):
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, dtype="<u4").astype(np.int64), np.frombuffer(y, dtype="<u4").astype(np.int64)
+            out.append(int(np.minimum(x, y).sum()) >= least_overlap(int(x.sum()), int(y.sum())))
+        return type(a)(out, dtype=bool)
+
+    return pairs.join(one, "a").join(other, "b").where(enough("a_cells", "b_cells")).select("a", "b").distinct()
+
+
 def cells_of(codes: np.ndarray) -> np.ndarray:
-    return np.bincount((codes & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return np.bincount((codes & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype("<u4")
 
 
-def similar(a: np.ndarray, b: np.ndarray, a_cells: np.ndarray) -> bool:
-    """Suffix filter, then the exact comparison of two sorted sets."""
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Length bound, then the exact comparison of two sorted sets."""
     need = least_overlap(len(a), len(b))
-    if min(len(a), len(b)) < need or int(np.minimum(a_cells, cells_of(b)).sum()) < need:
+    if min(len(a), len(b)) < need:
         return False
     at = np.searchsorted(a, b)
     at[at == len(a)] = 0
     return int((a[at] == b).sum()) >= need
 
 
+def wanted_only(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``documents`` without most of those that stand in no pair, before their texts are shuffled.
+
+    A table of ``BITS`` bits, whatever the number of pairs, says which ids can't be wanted. It
+    only saves shuffling: what it lets pass is joined by id afterwards.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).select(bit.alias("bit"))
+    words = ids.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
+    table = np.zeros(BITS // 64, dtype=np.int64)
+    found = words.toPandas()
+    table[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    shared = documents.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_be_wanted(bits):
+        at = bits.to_numpy()
+        return type(bits)((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return documents.where(F.col("doc_id").isNotNull()).where(may_be_wanted(bit))
+
+
 def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that are similar.
 
@@ -232,7 +281,7 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     wanted = lots.select(F.col("b").alias("doc_id"), "a", "lot", F.lit(1).alias("side")).unionByName(
         lots.select(F.col("a").alias("doc_id"), "a", "lot", F.lit(0).alias("side")).distinct()
     )
-    rows = documents.join(wanted, "doc_id")
+    rows = wanted_only(documents, lots).join(wanted, "doc_id")
     dealt = rows.repartition("a", "lot").sortWithinPartitions("a", "lot", "side")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -244,8 +293,8 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                 if (a, lot) != now:
                     now, sets = (a, lot), []
                 if side == 0:
-                    sets.append((codes, cells_of(codes)))
-                elif any(similar(x, codes, cells) for x, cells in sets if len(x) and len(codes)):
+                    sets.append(codes)
+                elif any(similar(x, codes) for x in sets if len(x) and len(codes)):
                     yield a, doc_id
 
         yield from in_batches(rows(), schema)
@@ -258,10 +307,10 @@ def link_groups(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     prepare(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = save(profiled(texts))
-    lists = save(shared_lists(postings(texts, frequency_ranks(profile))))
-    links = save(verified(save(star_pairs(lists)), texts).distinct())
+    rows = save(stars(save(shared_lists(postings(texts, frequency_ranks(profile))))))
+    links = save(verified(save(suffix_filtered(star_pairs(rows), profile)), texts).distinct())
     groups = connected_components(links)
-    crossing = save(crossing_pairs(lists, groups))
+    crossing = save(suffix_filtered(crossing_pairs(rows, groups), profile))
     if not crossing.isEmpty():
         more = save(verified(crossing, texts).distinct())
         groups = connected_components(links.unionByName(more))

@@ -13,7 +13,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Most words kept per worker, in either dictionary; beyond it the dictionary starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
+#: Bytes of text whose words are looked up together.
+LOT_BYTES = 1 << 20
 ID = "<u4"
 _TAIL = b",.!?;:&%$#*"
 
@@ -47,8 +49,6 @@ class WordEncoder:
         return word, b""
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.words) + len(new) > self.kept:
-            self.words.clear()
         parts = {word: self._parts(word) for word in new}
         unknown = list({p for pair in parts.values() for p in pair if p and p not in self.stems})
         if len(self.stems) + len(unknown) > self.kept:
@@ -58,10 +58,20 @@ class WordEncoder:
         for word, (stem, tail) in parts.items():
             self.words[word] = self.stems[stem] + (self.stems[tail] if tail else b"")
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null has none."""
-        split = [b"" if t is None else t.encode() for t in texts]
-        words = [t.split() for t in split]
+        lot: list[bytes] = []
+        size = 0
+        for text in texts:
+            lot.append(b"" if text is None else text.encode())
+            size += len(lot[-1])
+            if size >= LOT_BYTES:
+                yield from self._encode(lot)
+                lot, size = [], 0
+        yield from self._encode(lot)
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]
         found = self.words
         new = {w for line in words for w in line if w not in found}
         if new:
