@@ -3,7 +3,8 @@
 The vocabulary drops white space, so a text's ids are the ids of its words in turn. Words are
 kept in a bounded dictionary per Python worker; new ones go to the tokenizers library. A new
 word is first looked up without its trailing punctuation, which the tokenizer always splits
-off after a letter, and in lower case, as the tokenizer lower-cases.
+off after a letter, and in lower case, as the tokenizer lower-cases. One text may outgrow the
+dictionary by its own distinct words.
 """
 
 from __future__ import annotations
@@ -13,29 +14,50 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Most words kept per worker, in either dictionary; beyond it the dictionary starts anew.
-KEPT_WORDS = 200_000
-#: Bytes of text whose words are looked up together.
-LOT_BYTES = 1 << 20
+KEPT_WORDS = 300_000
 ID = "<u4"
 _TAIL = b",.!?;:&%$#*"
 
 _open: dict[str, WordEncoder] = {}
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies.
+
+    Printable bytes stand for themselves, the others for the characters from 256 on, in turn.
+    """
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Words(dict):
+    """Ids by word; a word that isn't there yet is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = ids = self.encode(word)
+        return ids
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer whose pieces never span ASCII white space."""
+    """Encodes texts with a tokenizer whose pieces never span ASCII white space.
+
+    A Latin lower-case word of letters only is one piece as it stands, so the library's
+    model gets it directly; everything else goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kept = kept
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-
-    def _library(self, texts: list[bytes]) -> Iterator[bytes]:
-        for coded in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False):
-            yield np.array(coded.ids, dtype=ID).tobytes()
+        self.characters = _byte_characters()
+        self.words, self.stems = _Words(self._word), _Words(self._stem)
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
@@ -48,38 +70,26 @@ class WordEncoder:
             return stem, word[len(stem) :]
         return word, b""
 
-    def _learn(self, new: set[bytes]) -> None:
-        parts = {word: self._parts(word) for word in new}
-        unknown = list({p for pair in parts.values() for p in pair if p and p not in self.stems})
-        if len(self.stems) + len(unknown) > self.kept:
-            self.stems.clear()
-            unknown = list({p for pair in parts.values() for p in pair if p})
-        self.stems.update(zip(unknown, self._library(unknown), strict=True))
-        for word, (stem, tail) in parts.items():
-            self.words[word] = self.stems[stem] + (self.stems[tail] if tail else b"")
+    def _word(self, word: bytes) -> bytes:
+        stem, tail = self._parts(word)
+        return self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
+
+    def _stem(self, stem: bytes) -> bytes:
+        text = stem.decode()
+        if text.isalpha() and max(text) < "\u0250" and text.lower() == text:
+            ids = [token.id for token in self.model.tokenize(stem.decode("latin-1").translate(self.characters))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype=ID).tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null has none."""
-        lot: list[bytes] = []
-        size = 0
         for text in texts:
-            lot.append(b"" if text is None else text.encode())
-            size += len(lot[-1])
-            if size >= LOT_BYTES:
-                yield from self._encode(lot)
-                lot, size = [], 0
-        yield from self._encode(lot)
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        found = self.words
-        new = {w for line in words for w in line if w not in found}
-        if new:
-            if len(found) + len(new) > self.kept:  # all words of these texts must be there at once
-                found.clear()
-                new = {w for line in words for w in line}
-            self._learn(new)
-        return [b"".join([found[w] for w in line]) for line in words]
+            if len(self.words) > self.kept:
+                self.words.clear()
+            if len(self.stems) > self.kept:
+                self.stems.clear()
+            yield b"" if text is None else b"".join(map(self.words.__getitem__, text.encode().split()))
 
 
 def encoder(path: str) -> WordEncoder:
