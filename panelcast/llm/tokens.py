@@ -31,18 +31,6 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class _Words(dict):
-    """Ids by word; a word that isn't there yet is encoded when it is asked for."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = ids = self.encode(word)
-        return ids
-
-
 class WordEncoder:
     """Encodes texts with a tokenizer whose pieces never span ASCII white space.
 
@@ -57,7 +45,8 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.kept = kept
         self.characters = _byte_characters()
-        self.words, self.stems = _Words(self._word), _Words(self._stem)
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
@@ -70,9 +59,14 @@ class WordEncoder:
             return stem, word[len(stem) :]
         return word, b""
 
-    def _word(self, word: bytes) -> bytes:
-        stem, tail = self._parts(word)
-        return self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
+    def _learned(self, word: bytes) -> bytes:
+        ids = b""
+        for part in self._parts(word):
+            if part and part not in self.stems:
+                self.stems[part] = self._stem(part)
+            ids += self.stems[part] if part else b""
+        self.words[word] = ids
+        return ids
 
     def _stem(self, stem: bytes) -> bytes:
         text = stem.decode()
@@ -89,7 +83,12 @@ class WordEncoder:
                 self.words.clear()
             if len(self.stems) > self.kept:
                 self.stems.clear()
-            yield b"" if text is None else b"".join(map(self.words.__getitem__, text.encode().split()))
+            words = [] if text is None else text.encode().split()
+            found = list(map(self.words.get, words))
+            try:
+                yield b"".join(found)
+            except TypeError:  # some words are new
+                yield b"".join([self.words.get(w) or self._learned(w) if ids is None else ids for w, ids in zip(words, found, strict=True)])
 
 
 def encoder(path: str) -> WordEncoder:
