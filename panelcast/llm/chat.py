@@ -82,12 +82,16 @@ def field_paths(schema: T.StructType, below: str = "") -> list[str]:
     return out
 
 
+def _prefixed(keys: Column, prefix: str) -> Column:
+    return F.transform(keys, lambda key: F.concat(F.lit(prefix), key))
+
+
 def record_fingerprint(record: Column) -> Column:
     """The fingerprint of a JSON record, from its keys and the keys of its arrays' items."""
     keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
     for name in ARRAYS:
         inner = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>"))
-        keys = F.concat(keys, F.transform(inner, lambda k, n=name: F.concat(F.lit(f"{n}[]."), k)))
+        keys = F.concat(keys, _prefixed(inner, f"{name}[]."))
     known = F.array_intersect(keys, F.array(*map(F.lit, KNOWN)))
     return F.sha2(F.array_join(F.array_sort(known), "\n"), 256)
 

@@ -35,6 +35,7 @@ MIN_PAYLOAD = 100
 FILE_BYTES = 64 << 20
 CHUNK = 1 << 20
 LEVEL = 4
+ONCE = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 DATE = "1970-01-01T00:00:00Z"
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -192,7 +193,10 @@ def parse(content: bytes, whole: bool = True) -> tuple[dict[str, str], bytes, in
         key, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")
-        headers[key.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        name = key.decode("utf-8", "replace").strip().lower()
+        if name in headers and name in ONCE:  # the heads of two records have run together
+            raise Damaged("header repeats a field")
+        headers[name] = value.decode("utf-8", "replace").strip()
     length = headers.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         raise Damaged("no content length")
