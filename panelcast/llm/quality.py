@@ -31,6 +31,8 @@ RUN = 8
 SYMBOLS = b"#*$%&|<>"
 #: A document is kept if its posterior probability of being good is at least this.
 KEEP = 0.5
+#: Expected share of good votes among a rule's votes on bad and on good documents.
+EXPECTED = (0.75, 0.99)
 
 MEASURES = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_letters",
@@ -123,10 +125,12 @@ class VoteModel:
         return self.prior * self.shares[1] + (1 - self.prior) * (1 - self.shares[0])
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smoothing: float = 1.0) -> VoteModel:
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smoothing: float = 2.0) -> VoteModel:
     """Expectation-maximisation over vote patterns and their counts.
 
-    It starts from the rules' own word: a document with a bad vote is more likely bad.
+    It starts from the rules' own word: a document with a bad vote is more likely bad. What
+    rules are for goes in as a few pseudo votes: they seldom reject good documents, and each
+    sees only some of the bad ones.
     """
     weight = counts.astype(float)
     good = np.where((patterns < 0).any(axis=1), 0.1, 0.9)
@@ -135,7 +139,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smoot
         shares = np.empty((2, patterns.shape[1]))
         for k, part in enumerate((weight * (1 - good), weight * good)):
             up, down = part @ (patterns > 0), part @ (patterns < 0)
-            shares[k] = (up + smoothing) / (up + down + 2 * smoothing)
+            shares[k] = (up + smoothing * EXPECTED[k]) / (up + down + smoothing)
         prior = float(np.clip(((weight * good).sum() + smoothing) / (weight.sum() + 2 * smoothing), 1e-6, 1 - 1e-6))
         model = VoteModel(prior, shares)
         good = model.posterior(patterns)
