@@ -30,7 +30,7 @@ def nth_sql(month: int, isodow: int, n: int) -> str:
 
 THANKSGIVING = nth_sql(11, 4, 4)
 LUNAR = "lunar AS (" + " UNION ALL ".join(
-    f"SELECT '{name}' AS feast, CAST(unnest([{', '.join(repr(d) for d in dates.split())}]) AS DATE) AS d"
+    f"SELECT '{name}' AS feast, CAST(unnest([{', '.join(repr(d) for d in dates.values())}]) AS DATE) AS d"
     for name, dates in [("cny", ev.CHINESE_NEW_YEAR), ("diwali", ev.DIWALI), ("holi", ev.HOLI), ("ramadan", ev.RAMADAN)]
 ) + ")"
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +37,7 @@ class ForecastRequest:
     ensemble_weights: dict[str, float] | None = None
     backtest_overlap: int = 0
     train_ratio: float = 0.8
-    max_points: int = 5000
+    max_points: int | None = None  # shorten longer series; by default nothing is shortened
     include: Sequence[str] = ()  # factor kinds to use; empty: all given
     countries: Sequence[str] = ()  # detect calendar events for these
     boosted_size: int | None = None
@@ -85,17 +85,19 @@ def run_forecast(panel: DataFrame, request: ForecastRequest, factors: Factors |
     out: dict[str, DataFrame] = {"history": panel}
     if factors:
         out["factor_totals"] = factor_totals(factors)
-    longest = panel.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if longest > request.max_points:
+    request = replace(request, params={m: dict(p) for m, p in request.params.items()})  # the caller's stays as it is
+    freq, horizon = request.freq, request.horizon
+    if request.max_points is not None:
         shorter = materialize(downsample(panel, request.max_points))
         out["downsampling"] = shorter.select("series_id", "level").distinct()
         levels = {r[0] for r in out["downsampling"].select("level").distinct().collect()}
+        if "weekly" in levels and len(levels) > 1:
+            raise ValueError("max_points makes some series weekly and leaves others daily; run them apart")
         if levels == {"weekly"}:
             # all series became weekly, so the frequency and the factors follow
-            request.freq = "W"
+            freq = "W"
             factors = {k: downsample_factor(f, shorter) for k, f in factors.items()}
         panel = shorter.select("series_id", "ds", "y")
-    freq, horizon = request.freq, request.horizon
 
     if request.tune:
         tuned = [tune(panel, m, freq=freq, factors=factors or None) for m in request.models if m in BUILDERS]

@@ -206,7 +206,7 @@ def test_weekly_downsampling_switches_the_frequency(panel_of):
     request = run.ForecastRequest(models=["wma"], horizon=3, max_points=300)
     out = run.run_forecast(panel_of({"a": [float(i % 9) for i in range(1900)]}, start=dt.date(2015, 1, 4)), request)
     days = [r["ds"] for r in out["forecast"].orderBy("ds").collect()]
-    assert request.freq == "W" and (days[1] - days[0]).days == 7 and days[0].weekday() == 6
+    assert request.freq == "D" and (days[1] - days[0]).days == 7 and days[0].weekday() == 6
 
 
 def test_train_and_save(spark, tmp_path, panel_of):
