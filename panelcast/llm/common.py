@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,6 +16,20 @@ from ..session import ensure_checkpoint_dir, ship_package
 BATCH_BYTES = 8 << 20
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Return freed memory to the system.
+
+    Python workers are used again by the tasks of later stages, so what their allocators hold
+    back adds up over a pipeline. Called once per batch of texts.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def prepare(spark: SparkSession) -> None:
     """Ship the package and bound the Arrow batches by bytes; a limit set by the user stays."""
     ship_package(spark)
@@ -59,8 +74,10 @@ def in_batches(rows: Iterable[tuple], schema: pa.Schema, limit: int = 20_000, we
         if len(kept) >= limit or size >= BATCH_BYTES:
             yield _batch(kept, schema)
             kept, size = [], 0
+            give_back()
     if kept:
         yield _batch(kept, schema)
+    give_back()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -72,3 +89,4 @@ def columns_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple
     """Rows of Arrow batches as tuples of Python values."""
     for batch in batches:
         yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+        give_back()

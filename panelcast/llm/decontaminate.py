@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, in_batches, prepare, save
+from .common import columns_of, give_back, in_batches, prepare, save
 
 WINDOW = 10
 #: Windows that are searched in one pass; a larger benchmark takes several passes, so that no
@@ -175,7 +175,9 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         def has_none(text):
             if not built:
                 built.append([WuManber(length, found) for length, found in sorted(shared.value.items())])
-            return text.map(lambda t: not any(True for table in built[0] for _ in table.find(words_of(t))))
+            found = text.map(lambda t: not any(True for table in built[0] for _ in table.find(words_of(t))))
+            give_back()
+            return found
 
         return rows.where(has_none(F.col("text").cast("string")))
 

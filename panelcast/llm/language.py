@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, in_batches, prepare
+from .common import columns_of, give_back, in_batches, prepare
 
 #: Landmarks in all, and labelled texts per language in the fit: these bound the classifier,
 #: not what is classified.
@@ -172,6 +172,7 @@ def classify(documents: DataFrame, model: KernelClassifier | None, keep: bool =
         out: list[tuple[str, float]] = []
         for at in range(0, len(texts), block):
             out += shared.value.predict([grams(t) for t in texts[at : at + block]])
+        give_back()
         return out
 
     if keep:

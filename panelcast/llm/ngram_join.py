@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, in_batches, prepare, save
+from .common import columns_of, give_back, in_batches, prepare, save
 from .components import connected_components
 
 WORDS = 5
@@ -162,6 +162,8 @@ def postings(documents: DataFrame, ranks: np.ndarray) -> DataFrame:
                 whole = pa.record_batch([pa.array(c) for c in columns], schema=_POSTING)
                 for at in range(0, whole.num_rows, 100_000):
                     yield whole.slice(at, 100_000)
+            del found, names, sizes, places
+            give_back()
 
     return documents.mapInArrow(scan, POSTING)
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, save
+from .common import give_back, prepare, save
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -158,6 +158,7 @@ def measured(documents: DataFrame) -> DataFrame:
     def count(text: pd.Series) -> pd.DataFrame:
         table = np.array([measure(t) for t in text], dtype=np.int64).reshape(-1, len(MEASURES))
         columns = {m: table[:, i] for i, m in enumerate(MEASURES)}
+        give_back()
         return pd.DataFrame(columns).assign(votes=list(votes_of(columns)))
 
     return documents.withColumn("measures", count(F.col("text").cast("string")))
