@@ -340,14 +340,16 @@ def combined_lift(promo_flag: Column, discount: Column, event_lift: Column) -> C
 def lagged_factor_correlation(panel: DataFrame, factor: DataFrame, lags: int) -> DataFrame:
     """Correlation of sales with each factor column 0..lags-1 rows earlier.
 
-    Lags are positions in the joined rows of a series.
+    Lags are positions in the joined rows of a series. A factor with several rows on a day
+    counts with its mean, so the joined table has one row per series, day and column.
     """
     numbers = [f.name for f in factor.schema.fields if isinstance(f.dataType, T.NumericType)]
     values = F.array(*[
         F.struct(F.lit(i).alias("no"), F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
         for i, c in enumerate(numbers)
     ])
-    long = panel.select("series_id", "ds", "y").join(factor, "ds").select("series_id", "ds", "y", F.explode(values).alias("v"))
+    daily = factor.groupBy("ds").agg(*[F.avg(c).alias(c) for c in numbers])
+    long = panel.select("series_id", "ds", "y").join(daily, "ds").select("series_id", "ds", "y", F.explode(values).alias("v"))
     rows = long.select("series_id", "ds", "y", "v.*")
     order = Window.partitionBy("series_id", "column").orderBy("ds")
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), (F.lag("x", k).over(order) if k else F.col("x")).alias("x")) for k in range(lags)])

@@ -136,22 +136,18 @@ def weekday_factors(panel: DataFrame, min_rows: int = 14) -> DataFrame:
 
 
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Row, null and distinct counts per column as rows, from one pass each."""
-    parts = []
-    for c in columns:
-        counted = (
-            df.groupBy(F.col(c).cast("string").alias("v"))
-            .agg(F.count(F.lit(1)).alias("copies"))
-            .agg(
-                F.sum("copies").alias("rows"),
-                F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("copies"))), F.lit(0)).alias("nulls"),
-                F.count("v").alias("distinct_values"),
-            )
-        )
-        parts.append(counted.select(F.lit(c).alias("column_name"), "*"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    """Row, null and distinct counts per column as rows; none for an empty table.
+
+    Every row is spread over its columns and equal values are counted before the shuffle,
+    so one scan and one shuffle serve all columns.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns])
+    counted = df.select(F.explode(cells).alias("cell")).groupBy("cell.column_name", "cell.v").agg(F.count(F.lit(1)).alias("copies"))
+    out = counted.groupBy("column_name").agg(
+        F.sum("copies").alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("copies"))), F.lit(0)).alias("nulls"),
+        F.count("v").alias("distinct_values"),
+    )
     return out.withColumn("null_share", ratio("nulls", "rows", 0.0))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Sequence
-from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,9 +95,21 @@ def build_model(kind: str, params: Params | None = None) -> Forecaster:
 
 
 def sample_candidates(space: dict[str, list], n: int, seed: int) -> list[Params]:
-    """Up to ``n`` combinations, the same ones for the same seed."""
-    combos = [dict(zip(space, values)) for values in product(*space.values())]
-    return combos if len(combos) <= n else random.Random(seed).sample(combos, n)
+    """Up to ``n`` combinations, the same ones for the same seed.
+
+    A combination is a number whose digits are places in the lists, so none but the drawn
+    ones is built.
+    """
+    total = math.prod(map(len, space.values()))
+    drawn = range(total) if total <= n else random.Random(seed).sample(range(total), n)
+    out = []
+    for number in drawn:
+        params: Params = {}
+        for key in reversed(space):
+            number, place = divmod(number, len(space[key]))
+            params[key] = space[key][place]
+        out.append({key: params[key] for key in space})
+    return out
 
 
 def narrow(space: dict[str, list], best: Params) -> dict[str, list]:

@@ -162,7 +162,7 @@ def x10(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("x11_tune_wma")
 def x11(spark: SparkSession, folder: str) -> DataFrame:
-    return tune(i.regions(spark, folder), "wma", n_iter=4, folds=3)
+    return tune(i.regions(spark, folder), "wma")
 
 
 @query("x12_merged_params")

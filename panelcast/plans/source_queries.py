@@ -12,7 +12,7 @@ from ..operators.normalize import normalize
 from ..sources.tables import brand_panel, region_panel, scan
 from . import inputs as i
 from . import model_sql as ms
-from .join_queries import BACKTEST
+from .evaluate_queries import BACKTEST_ROWS
 from .model_queries import START_DAY, TREND, group_sql
 from .registry import query
 
@@ -64,15 +64,14 @@ def s6(spark: SparkSession, folder: str) -> DataFrame:
     return store.newest_datasets(catalog)
 
 
-EXPORT = i.with_sql(i.REGION, *BACKTEST, *ms.wma("bt_train", 30, name="bt"), *ms.wma("region_panel", 7)) + """SELECT b.series_id, b.ds, 'backtest' AS type, round(yhat, 4) AS forecast,
-  t.y AS actual, round(t.y - yhat, 4) AS error, round(lower_ci, 4) AS lower_ci, round(upper_ci, 4) AS upper_ci FROM bt_forecast b LEFT JOIN region_panel t ON b.series_id = t.series_id AND b.ds = t.ds
+EXPORT = i.with_sql(*BACKTEST_ROWS, *ms.wma("region_panel", 7)) + """SELECT series_id, ds, 'backtest' AS type, round(yhat, 4) AS forecast,
+  y AS actual, round(y - yhat, 4) AS error, round(lower_ci, 4) AS lower_ci, round(upper_ci, 4) AS upper_ci FROM bt_rows WHERE model = 'wma'
   UNION ALL SELECT series_id, ds, 'forecast', round(yhat, 4), NULL, NULL, round(lower_ci, 4), round(upper_ci, 4) FROM wma_forecast"""
 
 
 def exported(spark: SparkSession, folder: str) -> DataFrame:
     model, panel = WMA(), i.regions(spark, folder)
-    train = ev.backtest_split(panel).filter("split = 'train'").drop("split")
-    return store.export_rows(model.forecast(model.fit(panel), 7), model.forecast(model.fit(train), 30), panel)
+    return store.export_rows(model.forecast(model.fit(panel), 7), ev.backtest(panel, [model]).drop("y", "model"), panel)
 
 
 def shape(rows: DataFrame) -> DataFrame:
