@@ -84,12 +84,12 @@ class Hybrid:
         )
 
 
-def strategy_model(name: str, boosted_size: int | None = None) -> Forecaster:
-    """The forecaster behind a strategy. ``boosted_size`` overrides the number of trees."""
+def strategy_model(name: str) -> Forecaster:
+    """The forecaster behind a strategy."""
     if name == "boosted":
-        return Boosted(boosted_size or 500, 0.03, 7, 63, 10, 0.8, 0.8)
+        return Boosted(500, 0.03, 7, 63, 10, 0.8, 0.8)
     if name == "hybrid":
-        return Hybrid(residual=boosted_rows(boosted_size or 100, 0.05, 3, 3, non_negative=False, scale="sd", name="residual"))
+        return Hybrid()
     return {
         "additive": AdditiveRegression(), "sarimax": SARIMAX((2, 1, 2), (1, 0, 1, 7)), "theta": Theta(12),
         "wma": WMA(30), "arima": ARIMA((2, 0, 2)), "ets": ETS(),
@@ -102,8 +102,8 @@ class AutoML:
     pooled = True
     name = "automl"
 
-    def __init__(self, strategies: list[str] | None = None, boosted_size: int | None = None) -> None:
-        self.strategies, self.boosted_size = strategies or STRATEGIES, boosted_size
+    def __init__(self, strategies: list[str] | None = None) -> None:
+        self.strategies = strategies or STRATEGIES
         self.routes: DataFrame | None = None
         self._fits: dict[str, tuple[Forecaster, DataFrame]] = {}
 
@@ -113,7 +113,7 @@ class AutoML:
         self._fits = {}
         for name in [s for s in self.strategies if s in used]:
             part = panel.join(self.routes.filter(F.col("strategy") == name), "series_id", "left_semi")
-            model = strategy_model(name, self.boosted_size)
+            model = strategy_model(name)
             self._fits[name] = (model, model.fit(part, factors))
         return self.routes
 

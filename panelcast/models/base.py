@@ -27,6 +27,10 @@ FORECAST = ["series_id", "step", "ds", "yhat", "lower_ci", "upper_ci"]
 Z95 = 1.96  # fixed value: two-sided 95 % point of the normal distribution
 
 
+class TooLittleData(ValueError):
+    """A training set below the least number of rows."""
+
+
 class Forecaster(Protocol):
     name: str
 

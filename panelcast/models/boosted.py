@@ -8,127 +8,47 @@ has to be encoded. Trees do not depend on feature scale, so nothing is standardi
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import future_date
+from ..functions.scalars import safe_float
 from ..operators.enrich import attach_factors, wide_factors
 from ..operators.grid import LAGS, ROLLING, calendar_features, lag_features, rolling_features
-from ..session import ensure_checkpoint_dir
-from .base import Factors, banded, steps
+from ..store import materialize
+from .base import Factors, TooLittleData, banded, steps
 
 CALENDAR = [
     "dayofweek", "dayofmonth", "month", "quarter", "year", "weekofyear", "is_weekend", "is_month_start", "is_month_end",
 ]
 MEMORY = max(*LAGS, *ROLLING)
+ROWS_PER_TASK = 50_000
 LEAST_ROWS = 10  # fixed value: fewer training rows are an error
 
 
-@dataclass(frozen=True)
-class TreeTable:
-    """All trees of a model as arrays, for prediction on whole batches inside tasks."""
+WRITTEN_EVERY = 8  # steps planned together before the state is written
 
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-    weight: np.ndarray
-    depth: int
 
-    @staticmethod
-    def parse(text: str) -> TreeTable:
-        """From the model's printed form: If / Else lines for splits, Predict for leaves."""
-        weights: list[float] = []
-        trees: list[list[list[float]]] = []
-        deepest = 0
-
-        def grow(nodes: list[list[float]], depth: int) -> int:
-            nonlocal deepest
-            deepest = max(deepest, depth)
-            line = next(lines)
-            at = len(nodes)
-            leaf = LEAF.match(line)
-            if leaf:
-                nodes.append([0, 0.0, at, at, float(leaf[1])])
-                return at
-            split = SPLIT.match(line)
-            nodes.append([int(split[1]), float(split[2]), at, at, 0.0])
-            nodes[at][2] = grow(nodes, depth + 1)
-            next(lines)  # the matching Else
-            nodes[at][3] = grow(nodes, depth + 1)
-            return at
-
-        lines = iter(text.splitlines())
-        for line in lines:
-            head = TREE.match(line)
-            if head:
-                weights.append(float(head[1]))
-                trees.append([])
-                grow(trees[-1], 0)
-        size = max(len(t) for t in trees)
-        table = np.zeros((5, len(trees), size))
-        for i, nodes in enumerate(trees):
-            table[:, i, : len(nodes)] = np.array(nodes).T
-        ints = table[[0, 2, 3]].astype(int)
-        return TreeTable(ints[0], table[1], ints[1], ints[2], table[4], np.array(weights), deepest)
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        rows, trees = np.arange(len(x))[:, None], np.arange(len(self.weight))[None, :]
-        node = np.zeros((len(x), len(self.weight)), dtype=int)
-        for _ in range(self.depth):
-            low = x[rows, self.feature[trees, node]] <= self.threshold[trees, node]
-            node = np.where(low, self.left[trees, node], self.right[trees, node])
-        return self.value[trees, node] @ self.weight
-
-
-TREE = re.compile(r"\s*Tree \d+ \(weight (\S+)\):")
-SPLIT = re.compile(r"\s*If \(feature (\d+) <= (\S+)\)")
-LEAF = re.compile(r"\s*Predict: (\S+)")
-
-
-def recent_matrix(recent: pd.Series) -> np.ndarray:
-    """Newest values per series, right-aligned; NaN where a series is shorter."""
-    out = np.full((len(recent), MEMORY), np.nan)
-    for i, values in enumerate(recent):
-        tail = np.asarray(values, float)[-MEMORY:]
-        out[i, MEMORY - len(tail) :] = tail
-    return out
-
-
-def memory_values(memory: np.ndarray) -> dict[str, np.ndarray]:
-    """The lag and rolling features of the next step; a missing lag is 0."""
-    out = {f"lag_{k}": np.nan_to_num(memory[:, -k]) for k in LAGS}
+def memory_features(recent: str = "recent") -> dict[str, Column]:
+    """Lag and rolling features of the next step from the newest values; a missing one is 0."""
+    values = F.col(recent)
+    out = {f"lag_{k}": F.coalesce(F.get(values, F.size(values) - k), F.lit(0.0)) for k in LAGS}
     for w in ROLLING:
-        part = memory[:, -w:]
-        n = (~np.isnan(part)).sum(axis=1)
-        mean = np.nansum(part, axis=1) / np.maximum(n, 1)
-        squares = np.nansum((part - mean[:, None]) ** 2, axis=1)
+        window = F.filter(F.slice(values, F.greatest(F.size(values) - w + 1, F.lit(1)), w), lambda v: v.isNotNull())
+        n = F.size(window)
+        total = F.aggregate(window, F.lit(0.0), lambda t, v: t + v)
+        squares = F.aggregate(window, F.lit(0.0), lambda t, v: t + v * v)
+        mean = total / F.greatest(n, F.lit(1))
         out[f"rolling_mean_{w}"] = mean
-        out[f"rolling_std_{w}"] = np.sqrt(squares / np.maximum(n - 1, 1))
-        out[f"rolling_min_{w}"] = np.nan_to_num(np.where(np.isnan(part), np.inf, part).min(axis=1), posinf=0.0)
-        out[f"rolling_max_{w}"] = np.nan_to_num(np.where(np.isnan(part), -np.inf, part).max(axis=1), neginf=0.0)
+        out[f"rolling_std_{w}"] = F.sqrt(F.greatest(squares - total * mean, F.lit(0.0)) / F.greatest(n - 1, F.lit(1)))
+        out[f"rolling_min_{w}"] = F.coalesce(F.array_min(window), F.lit(0.0))
+        out[f"rolling_max_{w}"] = F.coalesce(F.array_max(window), F.lit(0.0))
     return out
 
 
-def calendar_values(dates: np.ndarray) -> dict[str, np.ndarray]:
-    d = pd.DatetimeIndex(dates)
-    found = {
-        "dayofweek": d.dayofweek, "dayofmonth": d.day, "month": d.month, "quarter": d.quarter, "year": d.year,
-        "weekofyear": d.isocalendar().week, "is_weekend": d.dayofweek >= 5, "is_month_start": d.day == 1,
-        "is_month_end": d.is_month_end,
-    }
-    return {k: np.asarray(v, dtype=float) for k, v in found.items()}
-
-
 class Boosted:
     """Boosted trees with a recursive multi-step forecast; trained on the pooled panel."""
 
@@ -160,20 +80,22 @@ class Boosted:
         return rows.dropna()
 
     def fit(self, panel: DataFrame, factors: Factors | None = None) -> DataFrame:
-        ensure_checkpoint_dir(panel.sparkSession)
         rows = self.training_rows(panel, factors)
         self.features = [c for c in rows.columns if c not in ("series_id", "ds", "y")]
-        assembled = VectorAssembler(inputCols=self.features, outputCol="features").transform(rows).select("features", "y").persist()
-        if assembled.limit(LEAST_ROWS).count() < LEAST_ROWS:
-            assembled.unpersist()
-            raise ValueError(f"boosted trees need {LEAST_ROWS} rows with all lags")
+        table = materialize(rows.select(*[F.col(c).cast("double").alias(c) for c in self.features], "y"))
+        n = table.count()
+        if n < LEAST_ROWS:
+            raise TooLittleData(f"boosted trees need {LEAST_ROWS} rows with all lags")
+        # every level of every tree is a pass over these rows, so small panels get few tasks
+        shaped = table.coalesce(math.ceil(n / ROWS_PER_TASK))
+        assembled = VectorAssembler(inputCols=self.features, outputCol="features").transform(shaped).select("features", "y")
         trees = GBTRegressor(
             labelCol="y", maxIter=self.n_estimators, stepSize=self.learning_rate, maxDepth=self.depth,
             minInstancesPerNode=self.min_child_samples, subsamplingRate=self.subsample,
             featureSubsetStrategy="all" if self.colsample >= 1.0 else str(self.colsample), seed=self.seed,
+            cacheNodeIds=True, checkpointInterval=10,
         )
         self.model = trees.fit(assembled)
-        assembled.unpersist()
         return self.state(panel)
 
     def state(self, panel: DataFrame) -> DataFrame:
@@ -189,38 +111,39 @@ class Boosted:
     def forecast(
         self, fitted: DataFrame, horizon: int, freq: str = "D", factors: Factors | None = None
     ) -> DataFrame:
-        """Each step predicts all series of a batch and feeds the result into their memory.
+        """Each step scores all series with the fitted model and feeds the values into their memory.
 
-        All steps run in one pass over the state table: the trees travel to the tasks, so
-        neither jobs nor lineage grow with the horizon.
+        A step is one ``transform`` of the state table, one row per series. After every
+        ``WRITTEN_EVERY`` steps the state is written, so no plan grows with the horizon.
         """
         if self.model is None:
             raise ValueError("the model is not fitted")
-        names = list(self.features)
-        outside = [c for c in names if c not in CALENDAR and not c.startswith(("lag_", "rolling_"))]
-        table = self._with_future(fitted, outside, horizon, freq, factors) if outside else fitted
-        days = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda k: future_date("last_ds", k, freq))
-        table = table.select("series_id", "recent", days.alias("dss"), *[F.col("future")[c].alias(c) for c in outside])
-        forest, floor = TreeTable.parse(self.model.toDebugString), 0.0 if self.non_negative else -np.inf
-
-        def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                memory = recent_matrix(frame["recent"])
-                given = {c: np.vstack(frame[c].to_numpy()) for c in outside}
-                dates = np.vstack(frame["dss"].to_numpy()).astype("datetime64[ns]")
-                values = np.empty((len(frame), horizon))
-                for step in range(horizon):
-                    known = {**calendar_values(dates[:, step]), **memory_values(memory), **{c: v[:, step] for c, v in given.items()}}
-                    guess = forest.predict(np.column_stack([known[n] for n in names]))
-                    values[:, step] = np.maximum(np.where(np.isfinite(guess), guess, 0.0), floor)
-                    memory = np.column_stack([memory[:, 1:], values[:, step]])
-                yield pd.DataFrame({"series_id": frame["series_id"], "dss": frame["dss"], "values": list(values)})
-
-        done = table.mapInPandas(batches, "series_id string, dss array<date>, values array<double>")
-        rows = done.select("series_id", F.posexplode(F.arrays_zip("dss", "values")).alias("pos", "r"))
-        dated = rows.select("series_id", (F.col("pos") + 1).alias("step"), F.col("r.dss").alias("ds"), F.col("r.values").alias("value"))
-        leveled = dated.join(fitted.select("series_id", "level"), "series_id")
-        return banded(leveled, F.col("value") * F.col("level"), None, 0.15, self.non_negative)
+        outside = [c for c in self.features if c not in CALENDAR and not c.startswith(("lag_", "rolling_"))]
+        state = self._with_future(fitted, outside, horizon, freq, factors) if outside else fitted
+        state = state.select(
+            "series_id", "last_ds", "level", F.col("recent").cast("array<double>").alias("recent"),
+            F.array().cast("array<double>").alias("done"), *(["future"] if outside else []),
+        )
+        kept = state.columns
+        day = future_date("last_ds", F.size("done") + 1, freq)
+        known = {**{c: F.col(c) for c in CALENDAR}, **memory_features(), **{c: F.get("future", F.size("done"))[c] for c in outside}}
+        inputs = [*kept, *[known[c].cast("double").alias(c) for c in self.features]]
+        vector = VectorAssembler(inputCols=self.features, outputCol="features", handleInvalid="keep")
+        value = safe_float("prediction")
+        value = F.array(F.greatest(value, F.lit(0.0)) if self.non_negative else value)
+        grown = {
+            "recent": F.slice(F.concat("recent", "value"), F.greatest(F.size("recent") + 2 - MEMORY, F.lit(1)), MEMORY),
+            "done": F.concat("done", "value"),
+        }
+        outputs = [grown[c].alias(c) if c in grown else F.col(c) for c in kept]
+        for step in range(1, horizon + 1):
+            rows = calendar_features(state.withColumn("ds", day)).select(*inputs)
+            state = self.model.transform(vector.transform(rows)).select(*kept, value.alias("value")).select(*outputs)
+            if step % WRITTEN_EVERY == 0 and step < horizon:
+                state = materialize(state)
+        rows = state.select("series_id", "last_ds", "level", F.posexplode("done").alias("pos", "value"))
+        dated = rows.withColumn("step", F.col("pos") + 1).withColumn("ds", future_date("last_ds", "step", freq))
+        return banded(dated, F.col("value") * F.col("level"), None, 0.15, self.non_negative)
 
     @staticmethod
     def _with_future(

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.dates import DAYS_PER_PERIOD
 from ..functions.scalars import accuracy_grade, accuracy_pct, clamp
-from ..models.base import Factors, Forecaster
+from ..models.base import Factors, Forecaster, TooLittleData
 from .enrich import within_range
 from .grid import along
 from .ranking import union_all
@@ -114,7 +114,8 @@ def cross_validate(
 
     All folds of all series are fitted in one job, with the fold as part of the series
     key. A model that pools its training rows gets one fit per fold instead, so that no
-    fold learns from another one's test rows.
+    fold learns from another one's test rows. A fold with too few rows to train such a
+    model stays in the result with ``rows = 0`` and null metrics.
     """
     rows = cv_folds(panel, horizon, folds) if rows is None else rows
     keyed = rows.withColumn("series_id", F.concat("series_id", F.lit(FOLD_MARK), F.col("fold").cast("string")))
@@ -127,8 +128,10 @@ def cross_validate(
     for part in parts:
         try:
             done.append(_score_folds(part, model, horizon, freq, factors))
-        except ValueError as error:  # too little data in this fold; the other folds go on
-            log.warning("fold skipped for %s: %s", model.name, error)
+        except TooLittleData as error:
+            log.warning("fold not scored for %s: %s", model.name, error)
+            none = [F.lit(None).cast("double").alias(m) for m in ("mae", "rmse", "mape", "r2")]
+            done.append(part.select("series_id", "fold").distinct().select("*", *none, F.lit(0).cast("long").alias("rows")))
     scored = union_all(done) if done else panel.sparkSession.createDataFrame([], FOLD_METRICS)
     series = F.substring_index("series_id", FOLD_MARK, 1)
     return scored.withColumn("series_id", series).withColumn("model", F.lit(model.name))
@@ -144,8 +147,9 @@ def _score_folds(keyed: DataFrame, model: Forecaster, horizon: int, freq: str, f
 
 def fold_summary(fold_metrics: DataFrame, keys: Sequence[str] = ("series_id", "model")) -> DataFrame:
     """Mean and population deviation over folds; null with fewer than two folds."""
-    enough = F.count(F.lit(1)) >= 2
-    out = [F.count(F.lit(1)).alias("n_folds")]
+    scored = F.count_if(F.col("rows") > 0)
+    enough = scored >= 2
+    out = [scored.alias("n_folds")]
     for m in ("mae", "rmse", "mape", "r2"):
         out.append(F.when(enough, F.avg(m)).alias(m))
         out.append(F.when(enough, F.stddev_pop(m)).alias(f"{m}_std"))

@@ -446,11 +446,14 @@ def recommend_from_cv(chars: DataFrame, cv_metrics: DataFrame, k: int = 8) -> Da
 
 
 def analyze(panel: DataFrame, has_external: bool = False) -> dict[str, DataFrame]:
-    """Full report: characteristics, frequencies, orders, insights, recommendations."""
+    """Full report: validation, characteristics, frequencies, orders, insights, recommendations."""
+    from .quality import sales_checks
+
     chars = characteristics(panel)
     tested = stationarity(panel).select("series_id", "stationary")
     full = chars.join(tested, "series_id")
     return {
+        "validation": sales_checks(panel),
         "characteristics": full,
         "frequencies": frequencies(panel),
         "orders": arima_orders(panel),

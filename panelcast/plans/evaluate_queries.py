@@ -244,10 +244,32 @@ def x16(spark: SparkSession, folder: str) -> DataFrame:
 @query("x17_train_and_save")
 def x17(spark: SparkSession, folder: str) -> DataFrame:
     root = store.scratch_path(spark, "models")
-    model_id, metrics = runs.train_and_save(i.regions(spark, folder), root, ["wma", "theta", "naive"], runs.ForecastRequest())
-    saved = store.list_models(spark, root).filter(F.col("model_id") == model_id)
-    best = saved.select("model_type", "train_start", "train_end")
-    return metrics.join(best, metrics.model == best.model_type, "left").drop("model_type")
+    stored, metrics = runs.train_and_save(i.regions(spark, folder), root, ["wma", "theta", "naive"], runs.ForecastRequest())
+    return with_stored(spark, root, stored, metrics)
+
+
+def with_stored(spark: SparkSession, root: str, stored: dict[str, str], metrics: DataFrame) -> DataFrame:
+    """Metrics of every model and the model that each series has in the store."""
+    kept = spark.read.parquet(f"{root}/parameters").filter(F.col("model_id").isin(list(stored.values())))
+    models = store.list_models(spark, root).select("model_id", F.col("model_type").alias("stored"))
+    return metrics.join(kept.select("series_id", "model_id").join(models, "model_id").drop("model_id"), "series_id", "left")
+
+
+HOLDOUT_ROWS = [
+    i.REGION, """bt_split AS (SELECT series_id, ds, y, CASE WHEN idx >= n - least(greatest(1, CAST(floor(n * 0.19999999999999996::DOUBLE) AS BIGINT)), n - 5)
+      THEN 'test' ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS idx,
+      count(*) OVER (PARTITION BY series_id) AS n FROM region_panel) WHERE n >= 10)""",
+    "bt_train AS (SELECT series_id, ds, y FROM bt_split WHERE split = 'train')", "bt_test AS (SELECT series_id, ds, y FROM bt_split WHERE split = 'test')",
+    *BACKTEST_ROWS[1 + len(BACKTEST):],
+]
+
+
+@query("x17_best_per_series", i.with_sql(*HOLDOUT_ROWS) + f"""SELECT series_id, model, {metric_sql()}, rows,
+  first_value(model) OVER (PARTITION BY series_id ORDER BY mae, model) AS stored FROM bt_metrics""")
+def x17_best(spark: SparkSession, folder: str) -> DataFrame:
+    root = store.scratch_path(spark, "models")
+    stored, metrics = runs.train_and_save(i.regions(spark, folder), root, ["wma", "naive"], runs.ForecastRequest())
+    return round_metrics(with_stored(spark, root, stored, metrics))
 
 
 @query("x18_save_model", """SELECT DISTINCT r_name AS series_id, 'm1' AS model_id, CAST(64 AS INTEGER) AS hash_length, max(CAST(o_orderdate AS DATE)) AS last_ds
@@ -358,19 +380,19 @@ def m7_mul(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("m8_boosted")
 def m8(spark: SparkSession, folder: str) -> DataFrame:
-    model, panel = Boosted(n_estimators=5, max_depth=4), i.regions(spark, folder)
+    model, panel = Boosted(), i.regions(spark, folder)
     return model.forecast(model.fit(panel), 5)
 
 
 @query("m9_boosted_sampled")
 def m9(spark: SparkSession, folder: str) -> DataFrame:
-    model, panel = boosted_rows(n_estimators=5, max_depth=4), i.regions(spark, folder)
+    model, panel = boosted_rows(), i.regions(spark, folder)
     return model.forecast(model.fit(panel), 5)
 
 
 @query("m10_recursive_forecast")
 def m10(spark: SparkSession, folder: str) -> DataFrame:
-    model, panel = Boosted(n_estimators=3, max_depth=3), i.regions(spark, folder)
+    model, panel = Boosted(), i.regions(spark, folder)
     return model.forecast(model.fit(panel), 10)
 
 
@@ -394,14 +416,14 @@ def m11(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("m12_automl")
 def m12(spark: SparkSession, folder: str) -> DataFrame:
-    model, panel = AutoML(boosted_size=5), i.regions(spark, folder)
+    model, panel = AutoML(), i.regions(spark, folder)
     fitted = model.fit(panel)
     return model.forecast(fitted, 7).join(fitted, "series_id")
 
 
 @query("m13_hybrid")
 def m13(spark: SparkSession, folder: str) -> DataFrame:
-    model = Hybrid(residual=boosted_rows(5, 0.05, 3, 3, non_negative=False, scale="sd", name="residual"))
+    model = Hybrid()
     return model.forecast(model.fit(i.regions(spark, folder)), 5)
 
 
@@ -413,7 +435,7 @@ def m19_regression(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("m20_feature_importance")
 def m20(spark: SparkSession, folder: str) -> DataFrame:
-    model = Boosted(n_estimators=5, max_depth=4)
+    model = Boosted()
     model.fit(i.regions(spark, folder))
     return model.importance(spark)
 

@@ -273,9 +273,16 @@ def v22(spark: SparkSession, folder: str) -> DataFrame:
     return (
         report["characteristics"].join(report["frequencies"].select("series_id", "validation", "season_length"), "series_id")
         .join(report["orders"].select("series_id", "p", "d", "q"), "series_id").join(best, "series_id")
+        .crossJoin(report["validation"])  # one row
     )
 
 
+@query("v22_validation", i.with_sql(i.REGION) + """SELECT 'ds' AS date_column, 'y' AS value_column, count(*) AS row_count,
+  count(DISTINCT ds) AS unique_dates, count(*) FILTER (WHERE y IS NULL) AS missing, true AS valid, count(DISTINCT ds) < 14 AS is_short FROM region_panel""")
+def v22_validation(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.analyze(i.regions(spark, folder))["validation"]
+
+
 # --- scalar functions ----------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .models.auto import AutoML, Hybrid
 from .models.base import Factors, Forecaster, with_baseline
@@ -40,7 +41,6 @@ class ForecastRequest:
     max_points: int | None = None  # shorten longer series; by default nothing is shortened
     include: Sequence[str] = ()  # factor kinds to use; empty: all given
     countries: Sequence[str] = ()  # detect calendar events for these
-    boosted_size: int | None = None
 
 
 def build(name: str, request: ForecastRequest) -> Forecaster:
@@ -48,11 +48,9 @@ def build(name: str, request: ForecastRequest) -> Forecaster:
     if name == "naive":
         return Naive()
     if name == "automl":
-        return AutoML(boosted_size=request.boosted_size)
+        return AutoML()
     if name == "hybrid":
         return Hybrid()
-    if name in ("lightgbm", "xgboost") and request.boosted_size:
-        params.setdefault("n_estimators", request.boosted_size)
     return build_model(name, params)
 
 
@@ -139,8 +137,12 @@ def run_forecast(panel: DataFrame, request: ForecastRequest, factors: Factors |
     if tests is not None:
         out["ranking"] = ev.rank_from_test(tests, out["cv"])
     if factors:
-        best = next(iter(models))
-        out["contributions"] = factor_contributions(models[best], fitted[best], horizon, freq, factors)
+        leaders = materialize(out["ranking"].filter(F.col("rank") == 1).select("series_id", "model"))
+        parts = []
+        for name in sorted(r[0] for r in leaders.select("model").distinct().collect()):
+            rows = factor_contributions(models[name], fitted[name], horizon, freq, factors)
+            parts.append(rows.join(leaders.filter(F.col("model") == name), "series_id", "left_semi"))
+        out["contributions"] = union_all(parts)  # of each series by its best model
         out["lags"] = union_all([lag_analysis(panel, f).withColumn("kind", F.lit(k)) for k, f in factors.items()])
 
     chosen = [m for m in request.ensemble if m in models]
@@ -166,19 +168,28 @@ def given_weights(panel: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def train_and_save(
     panel: DataFrame, root: str, models: Sequence[str], request: ForecastRequest, name: str = "model", factors: Factors | None = None
-) -> tuple[str, DataFrame]:
-    """Compare models on a held-out part, refit the best one on all rows and store it.
+) -> tuple[dict[str, str], DataFrame]:
+    """Compare models on a held-out part, refit on all rows and store each series' best one.
 
-    The best model is the one with the smallest mean test MAE over the series.
+    Every series takes the model with its smallest test MAE; one too short for a test takes
+    the first model. A stored model holds the series that chose it. A pooled model still learns
+    from the whole panel. Returns the stored model of each chosen name, and all metrics.
     """
     panel = materialize(panel.select("series_id", "ds", "y"))
     built = {m: build(m, request) for m in models}
     rows = ev.holdout(panel, list(built.values()), request.train_ratio, request.freq, factors)
     metrics = materialize(ev.error_metrics(rows, ["series_id", "model"]))
-    best = metrics.groupBy("model").agg(F.avg("mae").alias("mae")).orderBy("mae", "model").first()["model"]
-    span = panel.agg(F.min("ds").cast("string"), F.max("ds").cast("string")).first()
+    ranked = Window.partitionBy("series_id").orderBy(F.col("mae").asc_nulls_last(), "model")
+    tested = metrics.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") == 1).select("series_id", "model")
+    spans = panel.groupBy("series_id").agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
     by_name = {m.name: m for m in built.values()}
-    fitted = by_name[best].fit(panel, factors)
-    chosen = metrics.filter(F.col("model") == best)
-    model_id = save_model(fitted, root, best, name, chosen, train_range=(span[0], span[1]))
-    return model_id, metrics
+    chosen = materialize(spans.join(tested, "series_id", "left").fillna(next(iter(by_name)), ["model"]))
+    stored: dict[str, str] = {}
+    used = chosen.groupBy("model").agg(F.min("first").cast("string"), F.max("last").cast("string")).orderBy("model").collect()
+    for best, first, last in used:
+        own = chosen.filter(F.col("model") == best).select("series_id")
+        model = by_name[best]
+        learned = panel if getattr(model, "pooled", False) else panel.join(own, "series_id", "left_semi")
+        fitted = model.fit(learned, factors).join(own, "series_id", "left_semi")
+        stored[best] = save_model(fitted, root, best, name, metrics.filter(F.col("model") == best), train_range=(first, last))
+    return stored, metrics

@@ -192,7 +192,7 @@ def test_end_to_end_run(spark, panel_of):
     panel = panel_of({"a": walk(), "b": walk(90, 9)})
     day = dt.date(2023, 1, 2) + dt.timedelta(days=91)
     factors = {"holidays": spark.createDataFrame([(day, 1.4), (day - dt.timedelta(days=30), 1.2)], "ds date, holiday_impact double")}
-    request = run.ForecastRequest(models=["wma", "theta", "lightgbm"], horizon=7, ensemble=["wma", "theta"], boosted_size=2)
+    request = run.ForecastRequest(models=["wma", "theta", "lightgbm"], horizon=7, ensemble=["wma", "theta"], params={"lightgbm": {"n_estimators": 2}})
     out = run.run_forecast(panel, request, factors)
     assert out["forecast"].count() == 2 * 3 * 7
     assert out["ranking"].filter("rank = 1").count() == 2
@@ -211,10 +211,14 @@ def test_weekly_downsampling_switches_the_frequency(panel_of):
 
 def test_train_and_save(spark, tmp_path, panel_of):
     panel = panel_of({"a": walk(), "b": walk(90, 4)})
-    model_id, metrics = run.train_and_save(panel, str(tmp_path), ["wma", "naive"], run.ForecastRequest())
-    saved = store.list_models(spark, str(tmp_path)).first()
-    assert saved["model_id"] == model_id and saved["model_type"] in ("wma", "naive")
-    assert metrics.count() == 4 and store.load_model(spark, str(tmp_path), model_id).count() == 2
+    stored, metrics = run.train_and_save(panel, str(tmp_path), ["wma", "naive"], run.ForecastRequest())
+    best = {}
+    for r in metrics.orderBy("mae", "model").collect():
+        best.setdefault(r["series_id"], r["model"])
+    assert metrics.count() == 4 and set(stored) == set(best.values())
+    assert {r["model_id"] for r in store.list_models(spark, str(tmp_path)).collect()} == set(stored.values())
+    for model, model_id in stored.items():
+        assert {r["series_id"] for r in store.load_model(spark, str(tmp_path), model_id).collect()} == {k for k, m in best.items() if m == model}
 
 
 def test_batch_job(spark, tmp_path):

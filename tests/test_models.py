@@ -10,7 +10,7 @@ from panelcast.models.additive import AdditiveRegression, rank_contributions
 from panelcast.models.arima import ARIMA, SARIMAX
 from panelcast.models.auto import AutoML, Hybrid, route
 from panelcast.models.base import with_baseline
-from panelcast.models.boosted import Boosted, boosted_rows
+from panelcast.models.boosted import Boosted, boosted_rows, memory_features
 from panelcast.models.groupwise import GroupForecaster
 from panelcast.models.smoothing import ETS, STL, Theta
 from panelcast.models.wma import WMA, Naive, multipliers
@@ -138,6 +138,28 @@ def test_boosted_is_deterministic_and_non_negative(panel_of):
     assert gains[0]["pct"] == 100.0 and all(x["importance"] >= y["importance"] for x, y in zip(gains, gains[1:]))
 
 
+def test_boosted_steps_equal_steps_taken_one_by_one(panel_of):
+    values = line_and_week(100)
+    model = Boosted(5, max_depth=3, min_child_samples=2, scale="mean")
+    fitted = model.fit(panel_of({"a": values}))
+    ahead = [r["yhat"] for r in model.forecast(fitted, 10).orderBy("step").collect()]  # the state is written in between
+    level = fitted.first()["level"]
+    one_by_one = []
+    for step in range(10):
+        state = model.state(panel_of({"a": values + one_by_one})).withColumn("recent", F.transform("recent", lambda v: v * F.col("level") / level))
+        one_by_one.append(model.forecast(state.withColumn("level", F.lit(level)), 1).first()["yhat"])
+    assert ahead == pytest.approx(one_by_one)
+
+
+def test_memory_features_match_training_features(panel_of):
+    panel = panel_of({"a": noisy(40, 5)})
+    model = Boosted(1, scale="mean")
+    rows = model.training_rows(panel).orderBy(F.desc("ds")).first()
+    before = model.state(panel).withColumn("recent", F.slice("recent", 1, F.size("recent") - 1))
+    found = before.select(*[c.alias(n) for n, c in memory_features().items()]).first().asDict()
+    assert all(rows[n] == pytest.approx(v) for n, v in found.items() if not n.endswith("_28"))
+
+
 def test_boosted_uses_factors(spark, panel_of):
     start = dt.date(2023, 1, 2)
     on = [i for i in range(120) if i % 3 == 0]
@@ -157,7 +179,7 @@ def test_routing_and_automl(panel_of):
     panel = panel_of({"week": week, "few": list(rng.normal(50, 1, 20)), "sparse": [0.0, 0.0, 5.0] * 20})
     strategies = {r["series_id"]: r["strategy"] for r in route(panel).collect()}
     assert strategies["week"] == "additive" and strategies["few"] == "wma"
-    model = AutoML(boosted_size=3)
+    model = AutoML()
     assert model.forecast(model.fit(panel), 3).count() == 9
 
 
