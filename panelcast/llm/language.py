@@ -10,6 +10,11 @@ Characters that aren't letters count as a gap, runs of them as one, and case is
 texts are read. Defined results: a null text or one without letters is ``und`` with score 0;
 repeated rows are classified once per row; if there is nothing to learn from, every text is
 ``und``; ties go to the language that sorts first. Inputs of a prediction are text only.
+
+Scores of one against the rest sum to about 1, so the best one says little about texts in none of
+the languages. Whether a text is in any of them is told by the share of its running trigrams
+that a landmark holds; the bound is set from the labelled texts, each against landmarks other
+than itself (known) and against those of the other languages only (foreign).
 """
 
 from __future__ import annotations
@@ -32,6 +37,10 @@ TRAINING_CHARACTERS = 20_000
 GRAMS = (1, 2, 3)
 RIDGE = 1e-2
 UNKNOWN = "und"
+#: Share of labelled texts that the quantiles for the bound leave out, and standard deviations of
+#: leeway that a text's number of known trigrams has, so that short texts aren't rejected by chance.
+TAIL = 0.01
+LEEWAY = 3.0
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 _GAP = 32
@@ -46,12 +55,18 @@ def _is_letter() -> np.ndarray:
 
 def grams(text: str | None) -> np.ndarray:
     """Sorted numbers of the n-grams in a text; empty if it has no letters."""
+    return counted_grams(text)[0]
+
+
+def counted_grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """``grams`` of a text, and how often each of its longest n-grams (the last ones) occurs."""
+    none = np.empty(0, dtype=np.int64)
     if not text:
-        return np.empty(0, dtype=np.int64)
+        return none, none
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     letter = _is_letter()[points]
     if not letter.any():
-        return np.empty(0, dtype=np.int64)
+        return none, none
     points = np.where(letter, points, _GAP)
     kept = np.ones(len(points), dtype=bool)
     kept[1:] = letter[1:] | letter[:-1]
@@ -62,13 +77,17 @@ def grams(text: str | None) -> np.ndarray:
         if size > 1:
             codes = (codes[:-1] << 21) | points[size - 1 :]
         if size in GRAMS:
-            out.append(_distinct(codes))
-    return np.concatenate(out)  # sizes don't overlap: every character is at least 32
+            distinct, counts = _distinct(codes)
+            out.append(distinct)
+    return np.concatenate(out), counts  # sizes don't overlap: every character is at least 32
 
 
-def _distinct(codes: np.ndarray) -> np.ndarray:
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(codes):
+        return codes, codes
     codes = np.sort(codes)
-    return codes[np.concatenate(([True], codes[1:] != codes[:-1]))] if len(codes) else codes
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[first], np.diff(first, append=len(codes))
 
 
 class KernelClassifier:
@@ -83,6 +102,7 @@ class KernelClassifier:
         kept = values > 1e-8 * values.max()
         self.whiten = vectors[:, kept] / np.sqrt(values[kept])
         self.weights = np.zeros((int(kept.sum()) + 1, len(languages)))
+        self.bound = 0.0
 
     def _presence(self, texts: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.vocabulary)), dtype=np.float32)
@@ -106,6 +126,36 @@ class KernelClassifier:
         self.weights = np.linalg.solve(x.T @ x + self.ridge * np.eye(x.shape[1]), x.T @ y)
         return self
 
+    def _held(self, codes: np.ndarray, held_by: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.vocabulary, codes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == codes, held_by[at], 0)
+
+    def set_bound(self, texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], landmark_of: list[int | None], landmark_labels: list[str]) -> KernelClassifier:
+        """Half-way between the shares of known and of foreign texts, as a mean over the languages.
+
+        ``landmark_of`` tells which texts are landmarks themselves.
+        """
+        all_of, marks = self.landmarks.sum(axis=0), np.array(landmark_labels)
+        others = {lang: self.landmarks[marks != lang].sum(axis=0) for lang in self.languages}
+        known: dict[str, list[float]] = {lang: [] for lang in self.languages}
+        foreign: dict[str, list[float]] = {lang: [] for lang in self.languages}
+        for (codes, counts), lang, own in zip(texts, labels, landmark_of, strict=True):
+            last = codes[len(codes) - len(counts) :]
+            known[lang].append(float(((self._held(last, all_of) > (own is not None)) * counts).sum() / counts.sum()))
+            foreign[lang].append(float(((self._held(last, others[lang]) > 0) * counts).sum() / counts.sum()))
+        low = {lang: float(np.quantile(x, TAIL)) for lang, x in known.items() if x}
+        middle = [(low[lang] + min(low[lang], float(np.quantile(foreign[lang], 1 - TAIL)))) / 2 for lang in low]
+        self.bound = min(*low.values(), float(np.mean(middle)))
+        return self
+
+    def familiar(self, codes: np.ndarray, counts: np.ndarray) -> bool:
+        """Whether enough of a text's trigrams are known for it to be in one of the languages."""
+        if not len(counts):
+            return False
+        n, held = counts.sum(), np.ones(len(self.vocabulary), dtype=np.int8)
+        known = (self._held(codes[len(codes) - len(counts) :], held) * counts).sum()
+        return bool(known >= n * self.bound - LEEWAY * np.sqrt(n * self.bound * (1 - self.bound)))
+
     def predict(self, texts: list[np.ndarray]) -> list[tuple[str, float]]:
         if not texts:
             return []
@@ -148,17 +198,20 @@ def training_texts(documents: DataFrame, per_language: int = TEXTS_PER_LANGUAGE)
 
 def fit(documents: DataFrame, landmarks: int = LANDMARKS, per_language: int = TEXTS_PER_LANGUAGE) -> KernelClassifier | None:
     """The classifier of labelled documents that aren't held out; None if there are none."""
-    texts = {lang: [g for g in map(grams, found) if len(g)] for lang, found in training_texts(documents, per_language).items()}
+    texts = {lang: [g for g in map(counted_grams, found) if len(g[0])] for lang, found in training_texts(documents, per_language).items()}
     texts = {lang: found for lang, found in texts.items() if found}
     if not texts:
         return None
     each = max(1, landmarks // len(texts))
-    model = KernelClassifier([g for found in texts.values() for g in found[:each]], list(texts))
-    return model.fit([g for found in texts.values() for g in found], [lang for lang, found in texts.items() for _ in found])
+    model = KernelClassifier([g for found in texts.values() for g, _ in found[:each]], list(texts))
+    every, labels = [g for found in texts.values() for g in found], [lang for lang, found in texts.items() for _ in found]
+    own = [n if n < each else None for found in texts.values() for n in range(len(found))]
+    model.set_bound(every, labels, own, [lang for lang, found in texts.items() for _ in found[:each]])
+    return model.fit([g for g, _ in every], labels)
 
 
 def classify(documents: DataFrame, model: KernelClassifier | None, keep: bool = False) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every document, or all its columns and those two.
+    """``doc_id, lang_pred, score`` of every document, or all its columns and those two with ``familiar``.
 
     One pass without shuffle; the model's size is bounded by its landmarks.
     """
@@ -176,11 +229,22 @@ def classify(documents: DataFrame, model: KernelClassifier | None, keep: bool =
         return out
 
     if keep:
-        @F.pandas_udf("struct<lang_pred: string, score: double>")
+        def judged(texts: list[str | None], block: int = 128) -> list[tuple[str, float, bool]]:
+            if shared.value is None:
+                return [(UNKNOWN, 0.0, False)] * len(texts)
+            out: list[tuple[str, float, bool]] = []
+            for at in range(0, len(texts), block):
+                found = [counted_grams(t) for t in texts[at : at + block]]
+                scores = shared.value.predict([codes for codes, _ in found])
+                out += [(*p, shared.value.familiar(*f)) for p, f in zip(scores, found, strict=True)]
+            give_back()
+            return out
+
+        @F.pandas_udf("struct<lang_pred: string, score: double, familiar: boolean>")
         def predict(text):
             import pandas as pd
 
-            return pd.DataFrame(predictions(text.tolist()), columns=["lang_pred", "score"])
+            return pd.DataFrame(judged(text.tolist()), columns=["lang_pred", "score", "familiar"])
 
         return documents.withColumn("predicted_language", predict(F.col("text").cast("string")))
 
@@ -199,7 +263,8 @@ def digest(predicted: DataFrame) -> DataFrame:
 
 
 def keep_known(documents: DataFrame, least: float = 0.2) -> DataFrame:
-    """The documents, with their own columns, whose language is known with at least that score."""
+    """The documents, with their own columns, in one of the languages and with at least that score."""
     columns = documents.columns
     known = classify(documents, fit(documents), keep=True)
-    return known.where((F.col("predicted_language.lang_pred") != UNKNOWN) & (F.col("predicted_language.score") >= least)).select(*columns)
+    found = F.col("predicted_language")
+    return known.where((found["lang_pred"] != UNKNOWN) & found["familiar"] & (found["score"] >= least)).select(*columns)

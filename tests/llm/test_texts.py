@@ -1,5 +1,6 @@
 """Quality, language, licences, chat and HTML."""
 
+import base64
 import hashlib
 import math
 import re
@@ -72,6 +73,17 @@ def test_languages_are_told_apart(spark, documents_of, prose, odd_texts):
     assert language.fit(unlabelled) is None
 
 
+def test_texts_in_no_known_language_are_rejected(spark, documents_of, prose):
+    alphabets = {"aa": "abcdefgh", "bb": "abcdwxyz", "cc": "éèüabc", "dd": "klmnoabc"}
+    langs = [sorted(alphabets)[i % 4] for i in range(200)]
+    texts = [prose(i, 60, alphabets[lang]) for i, lang in enumerate(langs)]
+    rng = np.random.default_rng(0)
+    base64_like = base64.b64encode(rng.bytes(3000)).decode()
+    foreign = ["Сегодня утром жители города вышли на улицы. " * 5, "今天早上城市的居民走上街头观看今年冬天的第一场雪。" * 5, prose(7, 60, "pqrstuvi"), base64_like]
+    frame = documents_of(texts + foreign, langs + [None] * len(foreign))
+    assert {r.doc_id for r in language.keep_known(frame).select("doc_id").collect()} == set(range(200))
+
+
 def test_kernel_is_shared_presences_over_the_root_of_sizes():
     a, b = language.grams("abc"), language.grams("abd!")
     expected = {x[i : i + n] for n in (1, 2, 3) for x in (" abc ",) for i in range(len(x) - n + 1)}
