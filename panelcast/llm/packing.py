@@ -1,12 +1,14 @@
 """Sequence packing as a cutting-stock problem, solved by column generation.
 
 Documents are cut into whole sequences of ``capacity`` tokens and one remainder. Remainders
-are counted by length class (``unit`` tokens wide) over all documents; this histogram, of at
-most ``capacity / unit`` rows, is all that the linear program sees, so its size doesn't grow
-with the corpus. A pattern says how many pieces of each class fill one sequence. New patterns
+are counted by length class over all documents: short ones by their exact length, longer ones
+in classes that widen up to ``unit`` tokens. This histogram, of fewer than ``capacity / unit`` +
+32 ``unit`` rows, is all that the linear programs see, so their size doesn't grow with the
+corpus. A pattern says how many pieces of each class fill one sequence. New patterns
 are priced by a knapsack dynamic program; fractional pattern counts are rounded down and what
-is left over is packed largest first. Pieces are then ranked within their class, and the rank
-tells pattern, sequence and slot.
+is left over is packed largest first. Long pieces are planned first, short ones fill what room
+that leaves, largest first, and a program of their own packs the rest if their classes are few. Pieces are then ranked
+within their class, and the rank tells pattern, sequence and slot.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed once per
 row; an empty table gives no rows; other columns are ignored.
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,8 +29,13 @@ from .common import in_batches, prepare, save
 from .tokens import default_tokenizer, encoder
 
 CAPACITY = 4096
-#: Width of a length class. A piece leaves less than this many tokens unused.
+#: Width of the widest length class. Pieces of ``EXACT * UNIT`` tokens and more are in classes so
+#: wide if twice that long, else half as wide; shorter ones leave nothing unused.
 UNIT = 16
+EXACT = 16
+#: With more classes of short pieces than this, what is left of them is packed largest first: the
+#: small ones close the gaps of the others, and the program would take minutes.
+PROGRAM_CLASSES = 128
 #: The linear program ends when its bound shows that no more than this share can be gained.
 GAP = 2e-4
 
@@ -116,6 +123,41 @@ def _largest_first(sizes: np.ndarray, left: np.ndarray, room: int) -> list[tuple
     return out
 
 
+def _fill(plan: list[tuple[np.ndarray, int]], sizes: np.ndarray, left: np.ndarray, room: int) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """The plan with pieces of ``left`` in the room of its patterns, largest first, and what is left then."""
+    left, out = left.copy(), []
+    for counts, times in plan:
+        while times:
+            space, more = room - int(counts @ sizes), np.zeros(len(sizes), dtype=np.int64)
+            for k in np.flatnonzero(left)[::-1]:
+                n = min(int(left[k]), space // int(sizes[k]))
+                more[k] += n
+                space -= n * int(sizes[k])
+            used = more > 0
+            some = min(times, int((left[used] // more[used]).min())) if used.any() else times
+            left -= more * some
+            times -= some
+            out.append((counts + more, some))
+    return out, left
+
+
+def plan_of(sizes: np.ndarray, demand: np.ndarray, capacity: int, unit: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns over all length classes, and how often each is cut."""
+    long = sizes >= 2 * EXACT * unit
+
+    def program(part: np.ndarray, wanted: np.ndarray, step: int) -> list[tuple[np.ndarray, int]]:
+        out = []
+        solve = cutting_stock if part is long or part.sum() <= PROGRAM_CLASSES else _largest_first
+        for counts, times in solve(sizes[part] // step, wanted[part], capacity // step):
+            whole = np.zeros(len(sizes), dtype=np.int64)
+            whole[part] = counts
+            out.append((whole, times))
+        return out
+
+    plan, left = _fill(program(long, demand, unit), sizes, np.where(long, 0, demand), capacity)
+    return plan + program(left > 0, left, 1)
+
+
 # --- pieces, ranks and places --------------------------------------------------------------
 
 
@@ -142,6 +184,14 @@ def cut_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
     return rows.mapInArrow(cut, PIECES)
 
 
+def class_of(length: Column, unit: int) -> Column:
+    """The length that pieces of a class count as."""
+    def up(width: int) -> Column:
+        return (F.ceil(length / width) * width).cast("int")
+
+    return F.when(length < EXACT * unit, length.cast("int")).when(length < 2 * EXACT * unit, up(max(1, unit // 2))).otherwise(up(unit))
+
+
 def ranked(pieces: DataFrame, unit: int) -> DataFrame:
     """``pieces`` with ``size`` (length class) and ``rank`` from 0 within the class.
 
@@ -149,7 +199,7 @@ def ranked(pieces: DataFrame, unit: int) -> DataFrame:
     task holds a class as a whole, however many pieces have the same length.
     """
     keys = ["size", "doc_id", "start", "ids_crc32"]
-    spread = pieces.withColumn("size", F.ceil(F.col("length") / unit).cast("int")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    spread = pieces.withColumn("size", class_of(F.col("length"), unit)).repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = save(spread.withColumn("place", F.monotonically_increasing_id()))
     part = F.shiftright("place", 33)
     # At most one row per partition and class that meet: partitions plus classes in all.
@@ -190,7 +240,7 @@ def place(ranks: DataFrame, plan: list[tuple[np.ndarray, int]], sizes: np.ndarra
 def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
     """Sequence and offset of every piece; ``pieces`` should be a table, as it is read twice.
 
-    Driver work is bounded by ``capacity / unit`` classes. Pieces of one sequence stand
+    Driver work is bounded by the number of length classes. Pieces of one sequence stand
     largest first; there are at most ``capacity`` of them.
     """
     narrow = pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens")
@@ -198,7 +248,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataF
     histogram = sorted((r["size"], r["n"]) for r in ranks.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect())
     sizes = np.array([s for s, _ in histogram], dtype=np.int64)
     demand = np.array([n for _, n in histogram], dtype=np.int64)
-    placed = place(ranks, cutting_stock(sizes, demand, capacity // unit), sizes)
+    placed = place(ranks, plan_of(sizes, demand, capacity, unit), sizes)
     order = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(order), F.lit(0))
     return placed.withColumn("offset", offset).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

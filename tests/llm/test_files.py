@@ -90,6 +90,24 @@ def test_packing_keeps_every_id_once(spark, documents_of, odd_texts, prose):
     assert packing.pack_documents(documents_of(["x"]).where("false"))[1].count() == 0
 
 
+def test_short_rows_are_packed_without_padding(spark, documents_of):
+    word = next(w for w in ("a", "x", "the") if len(ids_of(" ".join([w] * 16), 2)) == 17)
+    for texts in ([None, ""] * 700, [" ".join([word] * 16)] * 300):
+        places = packing.pack_documents(documents_of(texts), capacity=512)[1].groupBy("sequence_id").sum("length").collect()
+        tokens = sum(r[1] for r in places)
+        assert max(r[1] for r in places) <= 512 and len(places) <= 1.02 * tokens / 512 + 1
+
+
+def test_short_pieces_fill_what_long_ones_leave():
+    rng = np.random.default_rng(2)
+    sizes = np.array([*range(1, 256), *range(256, 512, 8), *range(512, 4097, 16)])
+    for mean in (2, 30, 300):
+        found, n = np.unique(sizes[np.searchsorted(sizes, np.clip(rng.geometric(1 / mean, 30_000), 1, 4096))], return_counts=True)
+        plan = packing.plan_of(found, n, 4096, 16)
+        assert (sum(p * x for p, x in plan) >= n).all() and all(p @ found <= 4096 for p, _ in plan)
+        assert sum(x for _, x in plan) <= 1.01 * (found @ n) / 4096 + 1
+
+
 def test_column_generation_comes_near_the_bound():
     rng = np.random.default_rng(1)
     sizes, demand = np.unique(rng.integers(3, 60, 5000), return_counts=True)
