@@ -56,6 +56,7 @@ MAPPINGS = [
     Mapping("messages", ("messages", "messages[].role", "messages[].content"), ("system",), (("system", "system"),), ("messages", "role", "content")),
     Mapping("from_value", ("conversations", "conversations[].from", "conversations[].value"), ("system",), (("system", "system"),), ("conversations", "from", "value")),
     Mapping("instruction", ("instruction", "output"), ("input", "system"), (("system", "system"), ("user", "instruction"), ("user+", "input"), ("assistant", "output"))),
+    Mapping("instruction_response", ("instruction", "response"), ("context", "system"), (("system", "system"), ("user", "instruction"), ("user+", "context"), ("assistant", "response"))),
     Mapping("prompt_completion", ("prompt", "completion"), ("system",), (("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
     Mapping("prompt_response", ("prompt", "response"), ("system",), (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Mapping("question_answer", ("question", "answer"), ("context",), (("user", "context"), ("user+", "question"), ("assistant", "answer"))),
@@ -101,13 +102,15 @@ def _turn(role: Column, text: Column) -> Column:
 
 
 def _record_turns(mapping: Mapping, record: Column) -> Column:
-    """Canonical turns of a record of this layout; absent fields make no turn.
+    """Canonical turns of a record of this layout; absent fields make no turn, null ones it needs an empty one.
 
     A role with ``+`` continues the turn before it on a new line.
     """
     fields: list[tuple[str, Column]] = []
     for role, path in mapping.turns:
         text = F.get_json_object(record, f"$.{path}")
+        if path in mapping.needs:
+            text = F.coalesce(text, F.lit(""))
         if role.endswith("+"):
             before_role, before = fields.pop()
             fields.append((before_role, F.when(before.isNull() & text.isNull(), None).otherwise(F.concat_ws("\n", before, F.when(text != "", text)))))
@@ -123,13 +126,18 @@ def _record_turns(mapping: Mapping, record: Column) -> Column:
     return turns
 
 
+def _layouts() -> Column:
+    """Map from fingerprints to names of mappings."""
+    names = {print_: m.name for m in reversed(MAPPINGS) for print_ in m.fingerprints()}
+    return F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+
+
 def turns_of_records(rows: DataFrame, record: str = "record", conv_id: str = "conv_id") -> DataFrame:
     """``conv_id, layout, turn, role, text`` of JSON records of mixed layouts.
 
     A record of unknown layout gives one row with null layout and turn.
     """
-    names = {print_: m.name for m in reversed(MAPPINGS) for print_ in m.fingerprints()}
-    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    table = _layouts()
     found = rows.select(F.col(conv_id).alias("conv_id"), F.col(record).alias("record")).withColumn("layout", table[record_fingerprint(F.col("record"))])
     turns = F.lit(None).cast("array<struct<role: string, text: string>>")
     for mapping in MAPPINGS:
@@ -150,7 +158,9 @@ def canonical_turns(rows: DataFrame) -> DataFrame:
     if fingerprint([p for p in paths if p in ROW_LAYOUT]) == fingerprint(list(ROW_LAYOUT)):
         return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     tops = [c for c in rows.columns if c in {p.partition("[")[0].partition(".")[0] for p in KNOWN}]
-    records = rows.select("conv_id", F.to_json(F.struct(*tops)).alias("record"))
+    # A table of several layouts leaves the fields of the others null; a null field of the only layout belongs to it.
+    short, full = F.to_json(F.struct(*tops)), F.to_json(F.struct(*tops), {"ignoreNullFields": "false"})
+    records = rows.select("conv_id", F.when(_layouts()[record_fingerprint(short)].isNotNull(), short).otherwise(full).alias("record"))
     return turns_of_records(records).where("turn is not null").drop("layout")
 
 

@@ -148,6 +148,14 @@ def test_fingerprints_select_mappings(spark):
     assert [(r.role, r.text) for r in chat.canonical_turns(typed).collect()] == [("user", "q")]
 
 
+def test_null_fields_and_context_records_keep_their_turns(spark):
+    typed = spark.createDataFrame([(1, [("user", None), ("assistant", "a")])], "conv_id long, messages array<struct<role: string, content: string>>")
+    assert [(r.turn, r.role, r.text) for r in chat.canonical_turns(typed).orderBy("turn").collect()] == [(0, "user", None), (1, "assistant", "a")]
+    rows = spark.createDataFrame([(1, "do", None, "done"), (2, "do", "this", None)], "conv_id long, instruction string, context string, response string")
+    got = [(r.conv_id, r.role, r.text) for r in chat.canonical_turns(rows).orderBy("conv_id", "turn").collect()]
+    assert got == [(1, "user", "do"), (1, "assistant", "done"), (2, "user", "do\nthis"), (2, "assistant", "")]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">a</a></li></ul></nav>
 <header class="top"><h1>Site</h1></header><div class="cookie-notice">cookies</div><article class="post-{n}"><h1>Title {n}</h1><p>First &amp; <b>second</b>
  part.<p>Another&nbsp;one<br>here &lt;x&gt;<ul><li>one<li>two</ul><div class="ad">buy</div><form><input>mail</form><section id="comments"><p>bad</p></section>
