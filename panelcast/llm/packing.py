@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -70,11 +71,12 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[floa
     return float(best[room]), counts
 
 
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, rounds: int = 20_000) -> list[tuple[np.ndarray, int]]:
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is cut, together covering ``demand`` pieces of each size.
 
     ``sizes`` ascend. The master program is solved by the revised simplex method with one
-    basic pattern per size; each round prices a new pattern by the duals.
+    basic pattern per size; each round prices a new pattern by the duals. It ends at the bound,
+    or when ties keep the number of sequences as it is for twenty rounds per size.
     """
     if not len(sizes):
         return []
@@ -82,7 +84,12 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float =
     patterns = [np.where(np.arange(len(sizes)) == i, per[i], 0).astype(np.int64) for i in range(len(sizes))]
     inverse = np.diag(1.0 / per)
     amount = demand / per
-    for number in range(rounds):
+    least, since = np.inf, 0
+    for number in count():
+        since = 0 if amount.sum() < least - 1e-9 else since + 1
+        least = min(least, amount.sum())
+        if since > 20 * len(sizes):
+            break
         duals = np.maximum(inverse.sum(axis=0), 0.0)
         value, column = best_pattern(duals, sizes, room)
         if value <= 1 + 1e-9 or amount.sum() * (1 - 1 / value) <= max(0.5, gap * amount.sum()):
@@ -97,8 +104,10 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float =
         others = np.arange(len(sizes)) != out
         inverse[others] -= np.outer(step[others], inverse[out])
         patterns[out] = column
-        if number % 200 == 199:  # undo rounding errors
-            inverse = np.linalg.inv(np.array(patterns, dtype=float).T)
+        if number % 200 == 199:  # undo rounding errors by Newton steps: products only, no factorisation
+            basis = np.array(patterns, dtype=float).T
+            for _ in range(2):
+                inverse = inverse @ (2 * np.eye(len(sizes)) - basis @ inverse)
             amount = np.maximum(inverse @ demand, 0.0)
         else:
             amount = np.maximum(amount - ratio[out] * step, 0.0)

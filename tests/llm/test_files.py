@@ -108,6 +108,20 @@ def test_short_pieces_fill_what_long_ones_leave():
         assert sum(x for _, x in plan) <= 1.01 * (found @ n) / 4096 + 1
 
 
+def test_long_programs_end_beside_a_session(spark, monkeypatch):
+    """Several hundred pricing rounds, so that rounding errors are undone on the way."""
+    spark.range(10).count()
+    rounds, price = [0], packing.best_pattern
+    monkeypatch.setattr(packing, "best_pattern", lambda *a: (rounds.__setitem__(0, rounds[0] + 1), price(*a))[1])
+    rng = np.random.default_rng(3)
+    sizes = np.arange(9, 140)
+    demand = rng.integers(1, 900, len(sizes))
+    plan = packing.cutting_stock(sizes, demand, 400, gap=0.0)
+    assert rounds[0] > 200
+    assert (sum(p * n for p, n in plan) >= demand).all() and all(p @ sizes <= 400 for p, _ in plan)
+    assert sum(n for _, n in plan) <= 1.01 * (sizes @ demand) / 400 + 2
+
+
 def test_column_generation_comes_near_the_bound():
     rng = np.random.default_rng(1)
     sizes, demand = np.unique(rng.integers(3, 60, 5000), return_counts=True)
