@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scan
-from . import chat, decontaminate, html_text, language, licenses, ngram_join, packing, quality, token_files, warc
+from . import chat, decontaminate, html_text, language, licenses, ngram_join, packing, quality, resample, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,3 +112,42 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan_licenses(document_files(scan(spark, folder, "documents")))
     number = F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).try_cast("long")
     return found.select(number.alias("doc_id"), "path", "license", "score", "origin", "from_folder")
+
+
+@query("op11_resample", r"""
+    WITH RECURSIVE bytes AS (
+        SELECT b, list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b) AS after FROM range(256) t(b)
+    ),
+    crc_table AS (SELECT list(after ORDER BY b) AS crc FROM bytes),
+    words AS (
+        SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+        UNION ALL
+        SELECT 't', NULL, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+    ),
+    counted AS (SELECT side, doc_id, word, count(*) AS n FROM words GROUP BY ALL),
+    hashed AS (
+        SELECT word, xor(4294967295, list_reduce(list_transform(range(octet_length(encode(word))), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)),
+            lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) % 10000 AS bucket
+        FROM (SELECT DISTINCT word FROM counted), crc_table
+    ),
+    buckets AS (
+        SELECT b AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t FROM range(10000) r(b) LEFT JOIN (
+            SELECT bucket, sum(n) FILTER (WHERE side = 'd') AS s, sum(n) FILTER (WHERE side = 't') AS t FROM counted JOIN hashed USING (word) GROUP BY bucket
+        ) ON b = bucket
+    ),
+    gains AS (
+        SELECT bucket, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS gain FROM buckets
+    ),
+    weighed AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM counted JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+    scored AS (
+        SELECT d.doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+               CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+        FROM documents d LEFT JOIN weighed w ON d.doc_id = w.doc_id
+    ),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM scored
+    )
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM placed
+""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.digest(resample.resample(scan(spark, folder, "documents"), scan(spark, folder, "benchmark")))
