@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scan
-from . import chat, decontaminate, html_text, language, licenses, ngram_join, packing, quality, resample, token_files, warc
+from . import chat, decontaminate, html_text, language, licenses, line_dedup, ngram_join, packing, quality, repair, resample, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -151,3 +151,103 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return resample.digest(resample.resample(scan(spark, folder, "documents"), scan(spark, folder, "benchmark")))
+
+
+@query("op13_line_dedup", r"""
+    WITH lines AS (
+        SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS position FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+    ),
+    keyed AS (
+        SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+    ),
+    repeated AS (SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+    marked AS (SELECT doc_id, line, position, coalesce(doc_id <> top, false) AS dropped FROM keyed LEFT JOIN repeated USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    documents = scan(spark, folder, "documents")
+    return line_dedup.digest(line_dedup.kept_text(documents, line_dedup.keep_maps(documents)))
+
+
+def _grown(path: str, cost: str, edit: str) -> str:
+    """SQL of a path, nine digits of cost and then the audit, with one more edit."""
+    return f"lpad(CAST(CAST(substr({path}, 1, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({path}, 10) || '{edit}'"
+
+
+_RULED_OUT = "f IN ('b', 'd')"
+_REROLED = {q: f"CASE WHEN NOT {_RULED_OUT} THEN {_grown(q, '2 + t', 'R')} END" for q in ("q0", "q1", "q2", "q3")}
+_KEPT = {(q, r): f"CASE WHEN NOT {_RULED_OUT} AND r = '{r}' THEN {_grown(q, 't', 'K')} END" for q in ("q0", "q1", "q2", "q3") for r in "sua"}
+
+
+@query("op12_repair", rf"""
+    WITH RECURSIVE bytes AS (
+        SELECT b, list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b) AS after FROM range(256) t(b)
+    ),
+    crc_table AS (SELECT list(after ORDER BY b) AS crc FROM bytes),
+    keyed AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+    ),
+    hashed AS (
+        SELECT keyed.*, xor(4294967295, list_reduce(list_transform(range(length(k)), lambda i: CAST(ascii(k[i + 1]) AS BIGINT)),
+            lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) % 20 AS kind FROM keyed, crc_table
+    ),
+    damaged AS (
+        SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+        FROM hashed WHERE kind <> 0
+    ),
+    ordered AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(text), copy) AS i,
+               left(role, 1) AS r, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core FROM damaged
+    ),
+    faults AS (
+        SELECT *, CASE WHEN core = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                       WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f,
+               lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM ordered
+    ),
+    figures AS (
+        SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (WHERE f = 'b') AS blank, count(*) FILTER (WHERE f = 'd') AS duplicate, count(*) FILTER (WHERE f = 't') AS truncated,
+               count(*) FILTER (WHERE before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM faults GROUP BY conv_id
+    ),
+    paths AS (  -- the lightest path to each state, with insertions, after i rows
+        SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS q0, CAST(NULL AS VARCHAR) AS q1, '000000002I' AS q2, '000000004II' AS q3 FROM figures
+        UNION ALL
+        SELECT conv_id, i, n0, n1, least(n2, {_grown('n0', '2', 'I')}, {_grown('n1', '2', 'I')}, {_grown('n3', '2', 'I')}),
+               least(n3, {_grown('n2', '2', 'I')}, {_grown('n0', '4', 'II')}, {_grown('n1', '4', 'II')})
+        FROM (
+            SELECT paths.conv_id, faults.i, {_grown('q0', '3', 'D')} AS n0,
+                   least({_grown('q1', '3', 'D')}, {_KEPT['q0', 's']}) AS n1,
+                   least({_grown('q2', '3', 'D')}, {', '.join([_REROLED[q] for q in ('q0', 'q1', 'q3')] + [_KEPT[q, 'u'] for q in ('q0', 'q1', 'q3')])}) AS n2,
+                   least({_grown('q3', '3', 'D')}, {_REROLED['q2']}, {_KEPT['q2', 'a']}) AS n3
+            FROM paths JOIN (SELECT *, CASE WHEN f = 't' THEN 1 ELSE 0 END AS t FROM faults) faults ON faults.conv_id = paths.conv_id AND faults.i = paths.i + 1
+        )
+    ),
+    goals AS (
+        SELECT conv_id, CAST(substr(least(q0, q3), 1, 9) AS BIGINT) AS cost, substr(least(q0, q3), 10) AS audit
+        FROM paths JOIN figures USING (conv_id) WHERE i = n
+    ),
+    edits AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS p, audit[p] AS e FROM goals),
+    numbered AS (SELECT *, sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p) AS i FROM edits),
+    messages AS (
+        SELECT n.conv_id, p, CASE WHEN e = 'I' THEN '' ELSE text END AS text, e, role,
+               CASE WHEN e = 'K' AND r = 's' THEN 0 ELSE 1 END AS turn
+        FROM numbered n LEFT JOIN faults ON n.conv_id = faults.conv_id AND n.i = faults.i WHERE e <> 'D'
+    ),
+    told AS (
+        SELECT conv_id, p, text, CASE WHEN e = 'K' THEN role WHEN sum(turn) OVER (PARTITION BY conv_id ORDER BY p) % 2 = 1 THEN 'user' ELSE 'assistant' END AS role FROM messages
+    ),
+    texts AS (SELECT conv_id, sha256(string_agg(role || ':' || text, chr(10) ORDER BY p)) AS repaired_sha256 FROM told GROUP BY conv_id)
+    SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN figures USING (conv_id) LEFT JOIN goals USING (conv_id) LEFT JOIN texts USING (conv_id)
+""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = scan(spark, folder, "conversations")
+    _, plan, parts = repair.repair(repair.damaged(conversations))
+    return repair.report(conversations, plan, parts)
