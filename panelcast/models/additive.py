@@ -6,7 +6,7 @@ one array row, so series are spread over the tasks by Spark.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.enrich import align_regressors, daily_regressors
-from .base import Factors, Z95, as_arrays, per_row, steps
+from .base import Factors, Z95, as_arrays, configured, per_row, steps
 
 CHANGEPOINTS, CHANGE_RANGE = 25, 0.8  # fixed values: number and share of history of trend changes
 YEARLY_TERMS, WEEKLY_TERMS = 10, 3  # fixed values: Fourier pairs
@@ -39,6 +39,10 @@ class AdditiveRegression:
     seasonality_prior_scale: float = 10.0
     holidays_prior_scale: float = 10.0
     name: str = "prophet"
+    tunable = (
+        "seasonality_mode", "yearly_seasonality", "weekly_seasonality", "changepoint_prior_scale", "seasonality_prior_scale",
+        "holidays_prior_scale",
+    )
 
     def _names(self, regressors: list[str]) -> list[str]:
         names = ["intercept", "slope", *[f"change_{i}" for i in range(CHANGEPOINTS)]]
@@ -71,28 +75,31 @@ class AdditiveRegression:
 
         return noise**2 / np.array([prior(n) for n in names]) ** 2
 
-    def fit(self, panel: DataFrame, factors: Factors | None = None) -> DataFrame:
+    def fit(self, panel: DataFrame, factors: Factors | None = None, settings: DataFrame | None = None) -> DataFrame:
         aligned = align_regressors(panel, factors) if factors else panel
         regressors = [r for r in REGRESSORS if r in aligned.columns]
-        arrays = as_arrays(aligned, "y", *regressors)
-        names = self._names(regressors)
+        kinds = {str: "string", bool: "boolean", float: "double"}
+        own = {name: (kinds[type(getattr(self, name))], getattr(self, name)) for name in self.tunable}
+        arrays = configured(as_arrays(aligned, "y", *regressors), settings, own)
 
         def work(row: pd.Series) -> dict:
+            model = replace(self, **{name: row[f"own_{name}"] for name in self.tunable})
+            names = model._names(regressors)
             y, days = np.asarray(row["ys"], float), _days(row["dss"])
             columns = [np.asarray(row[f"{r}s"], float) for r in regressors]
             x = np.column_stack(columns) if columns else np.zeros((len(y), 0))
             width = np.abs(x).max(axis=0) if x.shape[1] else np.zeros(0)
             width[width == 0] = 1.0
-            log_scale = self.seasonality_mode == "multiplicative" and y.min() > 0
+            log_scale = model.seasonality_mode == "multiplicative" and y.min() > 0
             target = np.log(y) if log_scale else y
             scale = float(np.abs(target).max()) or 1.0
             target = target / scale
             first, span = float(days[0]), max(1.0, float(days[-1] - days[0]))
-            design = self._design(days, first, span, x / width)
+            design = model._design(days, first, span, x / width)
             gram, moment = design.T @ design, design.T @ target
             noise = 0.1
             for _ in range(2):  # the second pass uses the noise seen in the first
-                coef = np.linalg.solve(gram + np.diag(self._penalties(names, noise) + 1e-9), moment)
+                coef = np.linalg.solve(gram + np.diag(model._penalties(names, noise) + 1e-9), moment)
                 noise = max(float(np.std(target - design @ coef)), 1e-4)
             if len(regressors):
                 coef[-len(regressors) :] /= width
@@ -124,7 +131,8 @@ class AdditiveRegression:
             for i, r in enumerate(listed):
                 if r in names:
                     x[:, i] = np.asarray(row[r], float)
-            design = self._design(days, row["first_day"], row["span"], x)
+            cycles = {f"{c}_seasonality": any(n.startswith(f"{c}_") for n in row["names"]) for c in ("yearly", "weekly")}
+            design = replace(self, **cycles)._design(days, row["first_day"], row["span"], x)
             coef = np.asarray(row["coef"], float)
             parts = design * coef * row["scale"]
             kinds = np.array([n.split("_")[0] if n.startswith(("yearly_", "weekly_")) else

@@ -8,7 +8,7 @@ so series are spread over the tasks by Spark and solved in Arrow batches.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.enrich import FLAG_KINDS, attach_flags, daily_flags
-from .base import Factors, Z95, as_arrays, per_row, steps
+from .base import Factors, Z95, as_arrays, configured, per_row, steps
 
 FALLBACK_ORDERS = [(1, 1, 1), (0, 1, 0)]  # fixed values: tried when the wanted order fails
 
@@ -144,6 +144,7 @@ class ARIMA:
     order: tuple[int, int, int] = (1, 1, 1)
     seasonal_order: tuple[int, int, int, int] = (0, 0, 0, 0)
     name: str = "arima"
+    tunable = ("p", "d", "q", "seasonal_p", "seasonal_d", "seasonal_q", "seasonal_period")
 
     def _candidates(self) -> list[tuple]:
         seasonal = self.seasonal_order
@@ -153,14 +154,16 @@ class ARIMA:
         simpler = [seasonal, (1, 0, 1, seasonal[3]), (0, 0, 0, 1)]
         return [(o, s) for s in simpler for o in [self.order, *FALLBACK_ORDERS]]
 
-    def fit(self, panel: DataFrame, factors: Factors | None = None) -> DataFrame:
+    def fit(self, panel: DataFrame, factors: Factors | None = None, settings: DataFrame | None = None) -> DataFrame:
         kinds = [k for k in FLAG_KINDS if factors and k in factors]
         flags = [f"{k}_flag" for k in kinds]
         source = attach_flags(panel, factors) if kinds else panel
-        arrays = as_arrays(source, "y", *flags)
-        candidates = self._candidates()
+        own = dict(zip(self.tunable, [("int", v) for v in (*self.order, *self.seasonal_order)], strict=True))
+        arrays = configured(as_arrays(source, "y", *flags), settings, own)
 
         def work(row: pd.Series) -> dict:
+            numbers = [int(row[f"own_{name}"]) for name in self.tunable]
+            candidates = replace(self, order=tuple(numbers[:3]), seasonal_order=tuple(numbers[3:]))._candidates()
             y = np.asarray(row["ys"], float)
             columns = [np.asarray(row[f"{f}s"], float) for f in flags]
             x = np.column_stack(columns) if columns else np.zeros((len(y), 0))

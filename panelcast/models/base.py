@@ -2,7 +2,9 @@
 
 A forecaster is any object with ``name``, ``fit`` and ``forecast``:
 
-* ``fit(panel, factors)`` gives a parameter table with one row per series;
+* ``fit(panel, factors)`` gives a parameter table with one row per series; a model that names
+  parameters in ``tunable`` also takes ``settings``, a table ``series_id, params map<string,string>`` whose
+  values replace the model's own for their series, so that one job fits every series its own way;
 * ``forecast(fitted, horizon, freq, factors)`` gives one row per series and step with
   ``series_id, step, ds, yhat, lower_ci, upper_ci``.
 
@@ -41,6 +43,34 @@ class Forecaster(Protocol):
     ) -> DataFrame: ...
 
 
+#: Names under which a parameter is also known.
+ALIASES = {"period": ("period", "seasonal_periods")}
+OFF = "none"  # text that stands for a part that is left out
+
+
+def configured(table: DataFrame, settings: DataFrame | None, defaults: dict[str, tuple[str, object]]) -> DataFrame:
+    """``table`` with a column ``own_<name>`` per parameter, given as name: (type, default).
+
+    ``settings`` has at most one row per series. A text value ``none`` becomes null.
+    """
+    if settings is None:
+        return table.withColumns({f"own_{n}": F.lit(v).cast(t) for n, (t, v) in defaults.items()})
+    joined = table.join(settings.select("series_id", "params"), "series_id", "left")
+    own = {}
+    for name, (kind, default) in defaults.items():
+        given = F.coalesce(*[F.element_at("params", k) for k in ALIASES.get(name, (name,))])
+        value = F.when(F.lower(given) != OFF, given.cast("double").cast(kind) if kind == "int" else given.cast(kind))
+        own[f"own_{name}"] = F.when(given.isNull(), F.lit(default).cast(kind)).otherwise(value)
+    return joined.withColumns(own).drop("params")
+
+
+def fit_with(model: Forecaster, panel: DataFrame, factors: Factors | None, settings: DataFrame | None) -> DataFrame:
+    """Fit, with the series' own settings where the model can use them."""
+    if settings is None or not getattr(model, "tunable", ()):
+        return model.fit(panel, factors)
+    return model.fit(panel, factors, settings)
+
+
 def steps(fitted: DataFrame, horizon: int, freq: str) -> DataFrame:
     """Each fitted row once per step, with the date of that step."""
     return fitted.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn(

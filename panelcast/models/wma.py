@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import clamp, ratio
 from ..operators.ranking import union_all
-from .base import Factors, banded, steps
+from .base import Factors, banded, configured, steps
 
 # The column that acts as multiplier; other kinds use their first number.
 MULTIPLIER_COLUMN = {
@@ -50,12 +50,14 @@ class WMA:
     window: int = 8
     use_media: bool = False
     name: str = "wma"
+    tunable = ("window",)
 
-    def fit(self, panel: DataFrame, factors: Factors | None = None) -> DataFrame:
-        window = max(2, int(self.window))
+    def fit(self, panel: DataFrame, factors: Factors | None = None, settings: DataFrame | None = None) -> DataFrame:
+        panel = configured(panel, settings, {"window": ("int", int(self.window))})
+        window = F.greatest(F.lit(2), F.col("own_window"))
         newest = Window.partitionBy("series_id").orderBy(F.desc("ds"))
         aged = panel.withColumn("age", F.row_number().over(newest)).withColumn("dow", F.weekday("ds"))
-        size = F.least(F.count(F.lit(1)), F.lit(window))
+        size = F.least(F.count(F.lit(1)), F.max(window))
         # ranks run 1..size towards the newest row: size + 1 - age
         in_tail = F.col("age") <= window
         weighted = F.sum(F.when(in_tail, F.col("y"))) * (size + 1) - F.sum(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import clamp, ratio
-from ..models.base import as_arrays, per_row
+from ..models.base import ALIASES, as_arrays, per_row
 from .grid import along, centred_average
 
 NEAR = 0.2  # fixed value: relative distance within which two periods count as one
@@ -100,27 +100,58 @@ def autocorrelation_periods(panel: DataFrame, max_lag: int = 365, k: int = TOP_P
 # --- classical decomposition -------------------------------------------------------------
 
 
-def classical(panel: DataFrame, period: int) -> DataFrame:
+def _own_average(panel: DataFrame) -> DataFrame:
+    """Rows with ``idx``, ``n`` and the centred average over the series' ``own_period``.
+
+    Window frames have a fixed width, so the sums are differences of running totals, looked up
+    in one array per series.
+    """
+    running = panel.withColumn("total", F.sum("y").over(along().rowsBetween(Window.unboundedPreceding, 0)))
+    arrays = as_arrays(running, "y", "total", "own_period").withColumn("period", F.element_at("own_periods", -1))
+    half, n = F.floor(F.col("period") / 2).cast("int"), F.size("ys")
+
+    def average(i: Column) -> Column:
+        total = F.get("totals", i + half) - F.get("totals", i - half) + F.get("ys", i - half)
+        return F.when((i >= half) & (i + half < n), total / F.col("period"))
+
+    listed = arrays.withColumn("smooth", F.transform(F.sequence(F.lit(0), n - 1), average))
+    rows = listed.select("series_id", "period", n.alias("n"), F.posexplode(F.arrays_zip("dss", "ys", "smooth")).alias("idx", "r"))
+    return rows.select("series_id", F.col("r.dss").alias("ds"), F.col("r.ys").alias("y"), "period", "n", "idx", F.col("r.smooth").alias("smooth"))
+
+
+def classical(panel: DataFrame, period: int | None) -> DataFrame:
     """Additive decomposition: centred moving average and mean per phase.
 
-    Series shorter than two periods get nulls. All steps are windows over the series.
+    Without ``period`` every series takes that of its column ``own_period``. Series shorter than
+    two periods get nulls. All steps are windows over the series.
     """
     whole = Window.partitionBy("series_id")
-    sized = panel.withColumns({"idx": F.row_number().over(along()) - 1, "n": F.count(F.lit(1)).over(whole)})
-    long_enough = F.col("n") >= 2 * period
-    smooth = sized.withColumn("trend", F.when(long_enough, centred_average(period)))
+    if period is None:
+        sized, average = _own_average(panel), F.col("smooth")
+    else:
+        sized = panel.withColumns({"idx": F.row_number().over(along()) - 1, "n": F.count(F.lit(1)).over(whole), "period": F.lit(period)})
+        average = centred_average(period)
+    long_enough = F.col("n") >= 2 * F.col("period")
+    smooth = sized.withColumn("trend", F.when(long_enough, average))
     detrended = F.when(F.col("trend") != 0, F.col("y") - F.col("trend"))
-    phased = smooth.withColumns({"phase": F.col("idx") % period, "d": detrended})
+    phased = smooth.withColumns({"phase": F.col("idx") % F.col("period"), "d": detrended})
     by_phase = Window.partitionBy("series_id", "phase")
     raw = phased.withColumn("raw", F.coalesce(F.avg("d").over(by_phase), F.lit(0.0)))
     # the mean over the phases, each counted once: its first row stands for it
-    first_in_phase = F.when(F.col("idx") < period, F.col("raw"))
-    centred = raw.withColumn("seasonal", F.when(long_enough, F.col("raw") - F.sum(first_in_phase).over(whole) / period))
+    first_in_phase = F.when(F.col("idx") < F.col("period"), F.col("raw"))
+    centred = raw.withColumn("seasonal", F.when(long_enough, F.col("raw") - F.sum(first_in_phase).over(whole) / F.col("period")))
     return centred.select(
         "series_id", "ds", "y", "trend", "seasonal", (F.col("y") - F.col("trend") - F.col("seasonal")).alias("residual")
     )
 
 
+def seasonal_strength(parts: DataFrame) -> DataFrame:
+    """``series_id, strength`` from 0 to 1: how much of what isn't trend is seasonal."""
+    both = F.col("residual") + F.col("seasonal")
+    share = 1 - ratio(F.var_pop("residual"), F.var_pop(both))
+    return parts.groupBy("series_id").agg(F.greatest(F.lit(0.0), F.coalesce(share, F.lit(0.0))).alias("strength"))
+
+
 def trend_line(panel: DataFrame) -> DataFrame:
     """Least-squares line of each series beside its rows."""
     whole = Window.partitionBy("series_id")
@@ -199,13 +230,15 @@ def robust_parts(y: np.ndarray, period: int, robust: bool = True, rounds: int =
 def robust_decompose(panel: DataFrame, period: int | None = None) -> DataFrame:
     """One array row per series with period, components and seasonal strength.
 
-    The period is the dominant one unless given; series below 14 rows are left out.
+    The period is that of the column ``own_period`` if there is one, else ``period``, else the
+    dominant one; series below 14 rows are left out.
     """
+    own = "own_period" in panel.columns
 
     def work(row: pd.Series) -> dict:
         y = np.asarray(row["ys"], float)
         n = len(y)
-        chosen = period
+        chosen = int(row["own_periods"][-1]) if own else period
         if chosen is None or chosen < 2:
             found = _spectrum_periods(y, min(365, n // 2))
             chosen = found[0] if found else max(2, n // 10)
@@ -215,7 +248,7 @@ def robust_decompose(panel: DataFrame, period: int | None = None) -> DataFrame:
         strength = min(1.0, max(0.0, 1 - float(np.var(residual)) / spread)) if spread > 1e-9 else 0.0
         return {"period": chosen, "strength": round(strength, 4), "trend": trend, "seasonal": seasonal, "residual": residual}
 
-    arrays = as_arrays(panel).filter(F.size("ys") >= 14)
+    arrays = as_arrays(panel, "y", *(["own_period"] if own else [])).filter(F.size("ys") >= 14)
     schema = ("series_id string, last_ds date, ys array<double>, dss array<date>, period int, strength double, "
               "trend array<double>, seasonal array<double>, residual array<double>")
     return per_row(arrays, schema, work, ("series_id", "last_ds", "ys", "dss"))
@@ -251,9 +284,10 @@ def seasonal_params(periods: DataFrame, models: list[str]) -> DataFrame:
     )
 
 
-def merged_params(auto: DataFrame, strength: DataFrame, user: dict[str, dict[str, str]], least: float = 0.15) -> DataFrame:
+def merged_params(auto: DataFrame, strength: DataFrame, user: dict[str, dict[str, str]], least: float = 0.15,
+                  tuned: DataFrame | None = None) -> DataFrame:
     """Parameter map per series and model: automatic ones of strongly seasonal series
-    under the user's, which win."""
+    under the user's, and both under those of ``tuned`` (``series_id, model, params``)."""
     text = auto.join(strength.select("series_id", "strength"), "series_id")
     names = ["seasonal_periods", "seasonal_period", "yearly_seasonality", "weekly_seasonality"]
     entries = F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("value")) for n in names])
@@ -264,5 +298,18 @@ def merged_params(auto: DataFrame, strength: DataFrame, user: dict[str, dict[str
     for model, params in user.items():
         pairs = F.create_map(*[F.lit(x) for kv in params.items() for x in (kv[0], str(kv[1]))])
         given = F.when(F.col("model") == model, pairs).otherwise(given)
-    automatic = F.map_filter(chosen, lambda k, v: ~F.array_contains(F.map_keys(given), k))
-    return text.select("series_id", "model", F.map_concat(automatic, given).alias("params"))
+    merged = text.select("series_id", "model", _over(given, chosen).alias("params"))
+    if tuned is None:
+        return merged
+    both = merged.join(tuned.select("series_id", "model", F.col("params").alias("best")), ["series_id", "model"], "full_outer")
+    filled = both.withColumns({c: F.coalesce(c, F.create_map().cast("map<string,string>")) for c in ("params", "best")})
+    return filled.select("series_id", "model", _over(F.col("best"), F.col("params")).alias("params"))
+
+
+def _over(winner: Column, other: Column) -> Column:
+    """Both maps in one; a key of ``winner`` hides all names of the same parameter in ``other``."""
+    hidden = F.map_keys(winner)
+    for names in ALIASES.values():
+        both = F.array(*[F.lit(n) for n in names])
+        hidden = F.when(F.arrays_overlap(hidden, both), F.array_union(hidden, both)).otherwise(hidden)
+    return F.map_concat(F.map_filter(other, lambda k, v: ~F.array_contains(hidden, k)), winner)

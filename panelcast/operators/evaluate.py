@@ -11,13 +11,14 @@ from pyspark.sql.window import Window
 
 from ..functions.dates import DAYS_PER_PERIOD
 from ..functions.scalars import accuracy_grade, accuracy_pct, clamp
-from ..models.base import Factors, Forecaster, TooLittleData
+from ..models.base import Factors, Forecaster, TooLittleData, fit_with
 from .enrich import within_range
 from .grid import along
 from .ranking import union_all
 
 log = logging.getLogger(__name__)
 
+Settings = dict[str, DataFrame]  # per model name: ``series_id, params``
 FOLDS = 5  # fixed value: folds of a service run
 FLOOR = 1e-9  # fixed value: smallest denominator of a percentage error
 
@@ -108,10 +109,12 @@ FOLD_MARK = " ||| fold "
 
 def cross_validate(
     panel: DataFrame, model: Forecaster, horizon: int = 7, folds: int = FOLDS, freq: str = "D",
-    factors: Factors | None = None, rows: DataFrame | None = None,
+    factors: Factors | None = None, rows: DataFrame | None = None, settings: DataFrame | None = None,
 ) -> DataFrame:
     """Metrics per series and fold, forecasts and actual values matched by position.
 
+    ``settings`` (``series_id, params``) hold for all folds of a series.
+
     All folds of all series are fitted in one job, with the fold as part of the series
     key. A model that pools its training rows gets one fit per fold instead, so that no
     fold learns from another one's test rows. A fold with too few rows to train such a
@@ -119,6 +122,9 @@ def cross_validate(
     """
     rows = cv_folds(panel, horizon, folds) if rows is None else rows
     keyed = rows.withColumn("series_id", F.concat("series_id", F.lit(FOLD_MARK), F.col("fold").cast("string")))
+    if settings is not None:
+        settings = settings.join(rows.select("series_id", "fold").distinct(), "series_id").select(
+            F.concat("series_id", F.lit(FOLD_MARK), F.col("fold").cast("string")).alias("series_id"), "params")
     if getattr(model, "pooled", False):
         numbers = sorted(r[0] for r in rows.select("fold").distinct().collect())
         parts = [keyed.filter(F.col("fold") == n) for n in numbers]
@@ -127,7 +133,7 @@ def cross_validate(
     done = []
     for part in parts:
         try:
-            done.append(_score_folds(part, model, horizon, freq, factors))
+            done.append(_score_folds(part, model, horizon, freq, factors, settings))
         except TooLittleData as error:
             log.warning("fold not scored for %s: %s", model.name, error)
             none = [F.lit(None).cast("double").alias(m) for m in ("mae", "rmse", "mape", "r2")]
@@ -137,10 +143,12 @@ def cross_validate(
     return scored.withColumn("series_id", series).withColumn("model", F.lit(model.name))
 
 
-def _score_folds(keyed: DataFrame, model: Forecaster, horizon: int, freq: str, factors: Factors | None) -> DataFrame:
+def _score_folds(
+    keyed: DataFrame, model: Forecaster, horizon: int, freq: str, factors: Factors | None, settings: DataFrame | None = None
+) -> DataFrame:
     train = keyed.filter(F.col("role") == "train").select("series_id", "ds", "y")
     test = keyed.filter(F.col("role") == "test").select("series_id", "fold", "step", "y")
-    forecast = model.forecast(model.fit(train, factors), horizon, freq, factors)
+    forecast = model.forecast(fit_with(model, train, factors, settings), horizon, freq, factors)
     pairs = test.join(forecast.select("series_id", "step", "yhat"), ["series_id", "step"])
     return error_metrics(pairs, ["series_id", "fold"], ape_limit=1000.0)
 
@@ -187,7 +195,7 @@ def match_actuals(forecast: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def _forecast_test_part(
-    split: DataFrame, models: Sequence[Forecaster], freq: str, factors: Factors | None, horizon: int | None
+    split: DataFrame, models: Sequence[Forecaster], freq: str, factors: Factors | None, horizon: int | None, settings: Settings | None
 ) -> DataFrame:
     """Forecasts of the models trained on ``train`` rows, at the dates of ``test`` rows.
 
@@ -200,7 +208,7 @@ def _forecast_test_part(
         horizon = sizes.agg(F.max("test_rows")).first()[0] or 1
     known = {k: within_range(f, test) for k, f in factors.items()} if factors else None
     parts = [
-        model.forecast(model.fit(train, factors), horizon, freq, known)
+        model.forecast(fit_with(model, train, factors, (settings or {}).get(model.name)), horizon, freq, known)
         .withColumn("model", F.lit(model.name))
         for model in models
     ]
@@ -210,18 +218,18 @@ def _forecast_test_part(
 
 def backtest(
     panel: DataFrame, models: Sequence[Forecaster], overlap: int = 0, freq: str = "D",
-    factors: Factors | None = None, horizon: int | None = None,
+    factors: Factors | None = None, horizon: int | None = None, settings: Settings | None = None,
 ) -> DataFrame:
     """Forecast rows of every model over the backtest window, with the actual values."""
-    return _forecast_test_part(backtest_split(panel, overlap, freq), models, freq, factors, horizon)
+    return _forecast_test_part(backtest_split(panel, overlap, freq), models, freq, factors, horizon, settings)
 
 
 def holdout(
     panel: DataFrame, models: Sequence[Forecaster], train_ratio: float = 0.8, freq: str = "D",
-    factors: Factors | None = None, horizon: int | None = None,
+    factors: Factors | None = None, horizon: int | None = None, settings: Settings | None = None,
 ) -> DataFrame:
     """Forecast rows of every model over the held-out share, with the actual values."""
-    return _forecast_test_part(split_panel(panel, train_ratio), models, freq, factors, horizon)
+    return _forecast_test_part(split_panel(panel, train_ratio), models, freq, factors, horizon, settings)
 
 
 def graded(metrics: DataFrame) -> DataFrame:

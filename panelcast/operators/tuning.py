@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -125,50 +126,131 @@ def narrow(space: dict[str, list], best: Params) -> dict[str, list]:
     return out
 
 
+CANDIDATE_MARK = " ||| candidate "
+SCORES = ("series_id", "candidate", "params", "mae", "rmse", "mape", "n_folds")
+
+
+def as_text(params: Params) -> dict[str, str]:
+    """Parameter values as text, the form in which they travel with a series."""
+    return {k: "none" if v is None else str(v).lower() if isinstance(v, bool) else str(v) for k, v in params.items()}
+
+
+def from_text(kind: str, params: dict[str, str]) -> Params:
+    """The values of a model's search space that have these texts."""
+    return {k: next(v for v in SPACES[kind][k] if as_text({k: v})[k] == text) for k, text in params.items()}
+
+
+def candidate_table(spark: SparkSession, candidates: Sequence[Params], offset: int = 0) -> DataFrame:
+    rows = [(i + offset, as_text(c)) for i, c in enumerate(candidates)]
+    return spark.createDataFrame(rows, "candidate int, params map<string,string>")
+
+
+def score_candidates(
+    rows: DataFrame, model: Forecaster, chosen: DataFrame, horizon: int, freq: str = "D", factors: Factors | None = None
+) -> DataFrame:
+    """Mean fold errors of each series with each of its candidates, all in one job.
+
+    ``rows`` are fold rows, ``chosen`` has ``series_id, candidate, params``. The candidate becomes part
+    of the series key and its parameters a row of the settings, so the number of candidates
+    changes the rows of the job, not the number of jobs. Two folds at least.
+    """
+    key = F.concat("series_id", F.lit(CANDIDATE_MARK), F.col("candidate").cast("string"))
+    each = rows.join(chosen.select("series_id", "candidate"), "series_id").withColumn("series_id", key).drop("candidate")
+    settings = chosen.select(key.alias("series_id"), "params")
+    scored = cross_validate(rows, model, horizon, freq=freq, factors=factors, rows=each, settings=settings)
+    parts = F.split("series_id", re.escape(CANDIDATE_MARK))
+    named = scored.withColumns({"candidate": F.get(parts, F.lit(1)).cast("int"), "series_id": F.get(parts, F.lit(0))})
+    means = named.groupBy("series_id", "candidate").agg(
+        F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.avg("mape").alias("mape"), F.count_if(F.col("rows") > 0).alias("n_folds")
+    )
+    return means.filter(F.col("n_folds") >= 2).join(chosen, ["series_id", "candidate"]).select(*SCORES)
+
+
+def _leaders(scores: DataFrame) -> DataFrame:
+    best = Window.partitionBy("series_id").orderBy("mae", "candidate")
+    return scores.withColumn("place", F.row_number().over(best)).filter(F.col("place") == 1).drop("place")
+
+
+def _halved(scores: DataFrame) -> DataFrame:
+    """The better half of each series' candidates."""
+    best = Window.partitionBy("series_id").orderBy("mae", "candidate")
+    sized = scores.withColumns({"place": F.row_number().over(best), "all": F.count(F.lit(1)).over(Window.partitionBy("series_id"))})
+    return sized.filter(F.col("place") * 2 <= F.col("all") + 1).select("series_id", "candidate", "params")
+
+
 def evaluate_candidates(
     panel: DataFrame, kind: str, candidates: Sequence[Params], horizon: int, folds: int = 5, least: int = 30,
     freq: str = "D", factors: Factors | None = None, offset: int = 0,
 ) -> DataFrame:
-    """Mean fold errors per series and candidate; two folds at least."""
-    rows = tuning_folds(panel, folds, least)
+    """Mean fold errors per series and candidate of a model that is fitted once for the whole panel."""
+    rows = materialize(tuning_folds(panel, folds, least))
     scored = []
     for i, params in enumerate(candidates):
         folds_i = cross_validate(panel, build_model(kind, params), horizon, folds, freq, factors, rows)
-        scored.append(folds_i.withColumns({"candidate": F.lit(i + offset), "params": F.lit(repr(sorted(params.items())))}))
-    means = union_all(scored).groupBy("series_id", "candidate", "params").agg(
-        F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.avg("mape").alias("mape"), F.count(F.lit(1)).alias("n_folds")
+        scored.append(folds_i.withColumn("candidate", F.lit(i + offset)))
+    means = union_all(scored).groupBy("series_id", "candidate").agg(
+        F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.avg("mape").alias("mape"), F.count_if(F.col("rows") > 0).alias("n_folds")
     )
-    return means.filter(F.col("n_folds") >= 2)
+    table = candidate_table(panel.sparkSession, candidates, offset)
+    return means.filter(F.col("n_folds") >= 2).join(F.broadcast(table), "candidate").select(*SCORES)
 
 
 def tune(
     panel: DataFrame, kind: str, n_iter: int = 8, folds: int = 5, least: int = 30, seed: int = 42, freq: str = "D",
-    factors: Factors | None = None, horizon: int | None = None,
+    factors: Factors | None = None, horizon: int | None = None, halving: bool = False,
 ) -> DataFrame:
-    """Best parameters of each series.
+    """Best parameters of each series: ``series_id, model, params, mae, rmse, mape, n_folds``.
 
-    The first round tries a seeded sample of the whole space. The second one samples
-    around the parameters with the smallest mean error relative to the series' best.
-    Each series then takes its own best candidate of both rounds.
+    The first round tries a seeded sample of the whole space on every series, the second one a sample
+    around each series' own best. Each round is one job. With ``halving`` the candidates of a round
+    are first compared on the first two folds, and only each series' better half on all of them.
+    A model that learns from the whole panel has one fit per candidate, and one set for all series.
     """
     space = SPACES[kind]
     if horizon is None:
         longest = panel.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
         horizon = max(1, min((longest - least) // (folds + 1), longest // (folds + 2)))
     first = sample_candidates(space, n_iter, seed)
+    if getattr(build_model(kind), "pooled", False):
+        return _tune_pooled(panel, kind, first, n_iter, folds, least, seed, freq, factors, horizon)
+    model, spark = build_model(kind), panel.sparkSession
+    rows = materialize(tuning_folds(panel, folds, least))
+
+    def scores_of(chosen: DataFrame) -> DataFrame:
+        if halving:
+            chosen = materialize(_halved(score_candidates(rows.filter(F.col("fold") <= 2), model, chosen, horizon, freq, factors)))
+        return materialize(score_candidates(rows, model, chosen, horizon, freq, factors))
+
+    series = rows.select("series_id").distinct()
+    table = F.broadcast(candidate_table(spark, first))  # n_iter rows
+    each = F.explode(F.sequence(F.lit(0), F.lit(len(first) - 1))).alias("candidate")
+    scores = scores_of(series.select("series_id", each).join(table, "candidate"))
+    # the neighbourhood of every first candidate that could lead: at most n_iter squared rows
+    second = [(c, o) for c, params in enumerate(first) for o in sample_candidates(narrow(space, params), n_iter, seed + 1) if o not in first]
+    if second:
+        near = candidate_table(spark, [o for _, o in second], len(first))
+        owners = spark.createDataFrame([(len(first) + i, c) for i, (c, _) in enumerate(second)], "candidate int, leader int")
+        around = F.broadcast(near.join(F.broadcast(owners), "candidate"))
+        chosen = _leaders(scores).select("series_id", F.col("candidate").alias("leader")).join(around, "leader").drop("leader")
+        scores = scores.unionByName(scores_of(chosen))
+    return _leaders(scores).select("series_id", F.lit(kind).alias("model"), "params", "mae", "rmse", "mape", "n_folds")
+
+
+def _tune_pooled(
+    panel: DataFrame, kind: str, first: list[Params], n_iter: int, folds: int, least: int, seed: int, freq: str,
+    factors: Factors | None, horizon: int,
+) -> DataFrame:
+    """The candidate with the smallest mean error relative to each series' best, for all series."""
+    def best_of(scores: DataFrame) -> int | None:
+        relative = F.col("mae") / F.greatest(F.min("mae").over(Window.partitionBy("series_id")), F.lit(1e-9))
+        row = scores.withColumn("relative", relative).groupBy("candidate").agg(F.avg("relative").alias("r")).orderBy("r", "candidate").first()
+        return None if row is None else row["candidate"]
+
     scores = materialize(evaluate_candidates(panel, kind, first, horizon, folds, least, freq, factors))
-    relative = F.col("mae") / F.greatest(F.min("mae").over(Window.partitionBy("series_id")), F.lit(1e-9))
-    leader = (
-        scores.withColumn("relative", relative).groupBy("candidate").agg(F.avg("relative").alias("r"))
-        .orderBy("r", "candidate").first()
-    )
+    leader = best_of(scores)
     if leader is not None:
-        second = [c for c in sample_candidates(narrow(space, first[leader["candidate"]]), n_iter, seed + 1) if c not in first]
+        second = [c for c in sample_candidates(narrow(SPACES[kind], first[leader]), n_iter, seed + 1) if c not in first]
         if second:
-            more = evaluate_candidates(panel, kind, second, horizon, folds, least, freq, factors, len(first))
-            scores = scores.unionByName(more)
-    best = Window.partitionBy("series_id").orderBy("mae", "candidate")
-    return (
-        scores.withColumn("place", F.row_number().over(best)).filter(F.col("place") == 1)
-        .select("series_id", F.lit(kind).alias("model"), "params", "mae", "rmse", "mape", "n_folds")
-    )
+            scores = materialize(scores.unionByName(evaluate_candidates(panel, kind, second, horizon, folds, least, freq, factors, len(first))))
+            leader = best_of(scores)
+    return scores.filter(F.col("candidate") == leader).select("series_id", F.lit(kind).alias("model"), "params", "mae", "rmse", "mape", "n_folds")

@@ -23,10 +23,11 @@ from ..operators.ranking import union_all
 from ..operators.rollup import category_series
 from ..operators.tuning import tune
 from ..sources.tables import brand_panel, brand_sales, event_panel, region_panel
+from ..store import materialize
 from . import inputs as i
 from . import model_sql as ms
 from .join_queries import BACKTEST
-from .model_queries import BAND, WEIGHTS, rounded
+from .model_queries import BAND, SEASONAL_PARAMS, WEIGHTS, WITH_PARAMS, rounded, waves_sql
 from .registry import query
 
 METRICS = ("mae", "rmse", "mape", "r2")
@@ -160,17 +161,96 @@ def x10(spark: SparkSession, folder: str) -> DataFrame:
 # --- tuning and seasonal parameters ---------------------------------------------------------
 
 
-@query("x11_tune_wma")
+TUNED_FOLDS = """sized AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n FROM region_panel),
+  windows AS (SELECT unnest([4, 8, 12, 20, 30, 52]) AS w, unnest(range(6)) AS candidate),
+  grid AS (SELECT s.*, fold, w, candidate, size, 30 + fold * size AS train_end, s.series_id || '#' || w || '#' || fold AS key FROM (
+    SELECT *, least(greatest(1, (n - 30) // 6), greatest(1, n // 7)) AS size FROM sized WHERE n >= 35) s
+    CROSS JOIN (SELECT unnest(range(1, 6)) AS fold) CROSS JOIN windows WHERE 30 + (fold + 1) * size <= n),
+  grid_train AS (SELECT key AS series_id, ds, y, w FROM grid WHERE idx < train_end)"""
+
+
+def best_windows(multiplier: str | None = None) -> list[str]:
+    """CTEs up to ``best_window``: each series' window with the smallest mean MAE over the tuning folds."""
+    return [TUNED_FOLDS, *ms.wma("grid_train", 500, multiplier, name="tuned", window="w"), """window_folds AS (SELECT g.series_id, w, candidate, fold, avg(abs(yhat - y)) AS mae,
+    sqrt(avg((yhat - y) * (yhat - y))) AS rmse, avg(least(abs(yhat - y) / greatest(abs(y), 1e-9) * 100, 1000)) AS mape
+    FROM grid g JOIN tuned_forecast f ON f.series_id = key AND f.step = idx - train_end + 1 WHERE idx >= train_end AND idx < train_end + size GROUP BY 1, 2, 3, 4),
+  best_window AS (SELECT series_id, w, avg(mae) AS mae, avg(rmse) AS rmse, avg(mape) AS mape, count(*) AS n_folds FROM window_folds GROUP BY series_id, w, candidate
+    HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY avg(mae), candidate) = 1)"""]
+
+
+@query("x11_tune_wma", i.with_sql(i.REGION, *best_windows()) + f"""SELECT series_id, 'wma' AS model, '{{"window":"' || w || '"}}' AS params,
+  round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(mape, 4) AS mape, n_folds FROM best_window""")
 def x11(spark: SparkSession, folder: str) -> DataFrame:
-    return tune(i.regions(spark, folder), "wma")
+    return round_metrics(tune(i.regions(spark, folder), "wma")).withColumn("params", F.to_json("params"))
+
+
+@query("x11_tune_halving")
+def x11_halving(spark: SparkSession, folder: str) -> DataFrame:
+    return tune(i.regions(spark, folder), "theta", halving=True).withColumn("params", F.to_json("params"))
+
+
+# the additive decomposition at each series' own strongest period, and its strength
+OWN_PARTS = """own AS (SELECT t.series_id, ds, y, idx, n, p1 AS p, p1 // 2 AS half, sum(y) OVER (PARTITION BY t.series_id ORDER BY ds) AS total FROM (
+    SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n FROM region_panel) t
+    JOIN first1 f ON f.series_id = t.series_id),
+  own_trend AS (SELECT o.*, (a.total - b.total + b.y) / o.p AS trend FROM own o LEFT JOIN own a ON a.series_id = o.series_id AND a.idx = o.idx + o.half
+    LEFT JOIN own b ON b.series_id = o.series_id AND b.idx = o.idx - o.half WHERE o.n >= 2 * o.p),
+  own_raw AS (SELECT *, coalesce(avg(CASE WHEN trend <> 0 THEN y - trend END) OVER (PARTITION BY series_id, idx % p), 0) AS raw FROM own_trend),
+  own_parts AS (SELECT *, raw - sum(CASE WHEN idx < p THEN raw END) OVER (PARTITION BY series_id) / p AS seasonal FROM own_raw),
+  strengths AS (SELECT series_id, greatest(0, coalesce(1 - var_pop(y - trend - seasonal) / var_pop(y - trend), 0)) AS strength FROM own_parts GROUP BY 1)"""
+OWN_PARAMS = SEASONAL_PARAMS.format(params="auto_params", first="first1", second="first2")
+MERGED = """merged AS (SELECT a.series_id, model, '{' || concat_ws(',',
+    CASE WHEN strength > 0.15 THEN '"seasonal_periods":"' || seasonal_periods || '"' END,
+    CASE WHEN strength > 0.15 THEN '"seasonal_period":"' || seasonal_period || '"' END,
+    CASE WHEN strength > 0.15 THEN '"yearly_seasonality":"' || yearly_seasonality || '"' END,
+    CASE WHEN strength > 0.15 THEN '"weekly_seasonality":"' || weekly_seasonality || '"' END,
+    CASE model WHEN 'ets' THEN '"trend":"add"' WHEN 'wma' THEN '"window":"12"' END) || '}' AS params
+    FROM auto_params a JOIN strengths s ON a.series_id = s.series_id)"""
+
+
+def own_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Automatic parameters of each series and model under the user's."""
+    panel = i.regions(spark, folder)
+    periods = materialize(dc.spectral_periods(panel))
+    own = panel.join(periods.select("series_id", F.get("periods", F.lit(0)).alias("own_period")), "series_id")
+    strength = dc.seasonal_strength(dc.classical(own.filter(F.col("own_period").isNotNull()), None))
+    return dc.merged_params(dc.seasonal_params(periods, WITH_PARAMS), strength, {"ets": {"trend": "add"}, "wma": {"window": "12"}})
 
 
-@query("x12_merged_params")
+@query("x12_merged_params", i.with_sql(i.REGION, waves_sql("region_panel"), OWN_PARTS, OWN_PARAMS, MERGED) + "SELECT * FROM merged")
 def x12(spark: SparkSession, folder: str) -> DataFrame:
+    return own_settings(spark, folder).select("series_id", "model", F.to_json("params").alias("params"))
+
+
+# theta with a cycle per series: column p of own_cycle
+OWN_THETA = """own_cycle AS (SELECT f.series_id, CASE WHEN strength > 0.15 THEN p1 ELSE 7 END AS p FROM first1 f JOIN strengths s ON f.series_id = s.series_id),
+  tx AS (SELECT t.*, p FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n FROM region_panel) t
+    JOIN own_cycle c ON c.series_id = t.series_id),
+  ts AS (SELECT *, avg(y) OVER (PARTITION BY series_id, idx % p) / avg(y) OVER (PARTITION BY series_id) AS season FROM tx),
+  tf AS (SELECT series_id, max(ds) AS last_ds, max(n) AS n, max(p) AS p, regr_slope(y / season, idx) AS slope,
+    sum(0.2 * pow(0.8, n - 1 - idx) * y / season) + max(CASE WHEN idx = 0 THEN pow(0.8, n) * y / season END) AS level FROM ts GROUP BY 1),
+  tp AS (SELECT DISTINCT series_id, idx % p AS phase, season FROM ts), tg AS (SELECT *, CAST(unnest(range(1, 15)) AS INTEGER) AS step FROM tf)"""
+
+
+@query("x12_own_theta", i.with_sql(i.REGION, waves_sql("region_panel"), OWN_PARTS, OWN_THETA) + """SELECT g.series_id, step, CAST(last_ds + step AS DATE) AS ds,
+  round((level + 0.5 * slope * (step - 1 + (1 - pow(0.8, n)) / 0.2)) * season, 3) AS yhat, CAST(g.p AS INTEGER) AS cycle FROM tg g
+  JOIN tp p ON g.series_id = p.series_id AND p.phase = (n + step - 1) % g.p""")
+def x12_theta(spark: SparkSession, folder: str) -> DataFrame:
+    model, settings = Theta(alpha=0.2), own_settings(spark, folder).filter(F.col("model") == "theta")
+    fitted = model.fit(region_panel(spark, folder), settings=settings)
+    out = model.forecast(fitted, 14).join(fitted.select("series_id", "cycle"), "series_id")
+    return out.select("series_id", "step", "ds", F.round("yhat", 3).alias("yhat"), "cycle")
+
+
+@query("x12_own_wma", i.with_sql(i.REGION, """own_window AS (SELECT series_id, 7 + length(series_id) AS w FROM (SELECT DISTINCT series_id FROM region_panel)),
+  own_panel AS (SELECT p.*, w FROM region_panel p JOIN own_window o ON p.series_id = o.series_id)""", *ms.wma("own_panel", 7, window="w")) + """
+  SELECT series_id, step, ds, round(yhat, 4) AS yhat FROM wma_forecast""")
+def x12_wma(spark: SparkSession, folder: str) -> DataFrame:
     panel = i.regions(spark, folder)
-    auto = dc.seasonal_params(dc.spectral_periods(panel), ["ets", "theta", "sarimax", "prophet"])
-    out = dc.merged_params(auto, dc.robust_decompose(panel), {"ets": {"trend": "add"}, "theta": {"seasonal_periods": 7}})
-    return out.select("series_id", "model", F.to_json("params").alias("params"))
+    window = F.create_map(F.lit("window"), (7 + F.length("series_id")).cast("string"))
+    settings = panel.select("series_id").distinct().withColumn("params", window)
+    out = WMA().forecast(WMA().fit(panel, settings=settings), 7)
+    return out.select("series_id", "step", "ds", F.round("yhat", 4).alias("yhat"))
 
 
 # --- scenarios ----------------------------------------------------------------------------
@@ -303,11 +383,40 @@ def x20(spark: SparkSession, folder: str) -> DataFrame:
     return models.join(spark.read.parquet(f"{root}/parameters").groupBy("model_id").count(), "model_id")
 
 
-@query("x21_end_to_end")
+RUN_ROWS = [
+    i.REGION, i.HOLIDAYS, *best_windows("holiday_multiplier"),
+    "own_panel AS (SELECT p.*, w FROM region_panel p JOIN best_window b ON p.series_id = b.series_id)",
+    *[part.replace("AS series_id, ds, y FROM cv_all", "AS series_id, ds, y, w FROM cv_all").replace("c.ds, c.y, f.fold", "c.ds, c.y, c.w, f.fold") for part in ms.cv_rows("own_panel")],
+    *ms.wma("cv_train", 7, "holiday_multiplier", window="w")[1:], *ms.naive("cv_train", 7), ms.fold_metrics("wma_forecast", "wma"), ms.fold_metrics("naive_forecast", "naive"),
+    WEIGHTS, *ms.wma("own_panel", 7, "holiday_multiplier", name="final_wma", window="w")[1:], *ms.naive("region_panel", 7, name="final_naive"),
+    """members AS (SELECT 'wma' AS model, series_id, ds, yhat, baseline FROM final_wma_forecast
+      UNION ALL SELECT 'naive', series_id, ds, yhat, yhat FROM final_naive_forecast)""",
+    """combined AS (SELECT m.series_id, ds, sum(yhat * weight) / sum(weight) AS yhat, sum(baseline * weight) / sum(weight) AS baseline
+      FROM members m JOIN weights w ON m.series_id = w.series_id AND m.model = w.model GROUP BY 1, 2)""",
+    """totals AS (SELECT series_id, sum(yhat) AS f, sum(baseline) AS b, count(*) AS horizon FROM combined GROUP BY 1)""",
+]
+
+
+@query("x21_end_to_end", i.with_sql(*RUN_ROWS) + """SELECT m.series_id, model, CAST(row_number() OVER (PARTITION BY m.series_id ORDER BY m.mae, model) AS INTEGER) AS rank, round(m.mae, 4) AS mae,
+  round(f, 3) AS total_forecast, round(b, 3) AS total_baseline, round(f - b, 3) AS total_uplift, horizon, w AS "window"
+  FROM metrics m JOIN totals t ON m.series_id = t.series_id JOIN best_window x ON x.series_id = m.series_id""")
 def x21(spark: SparkSession, folder: str) -> DataFrame:
-    request = runs.ForecastRequest(models=["wma", "theta", "naive"], horizon=7, ensemble=["wma", "theta"])
-    tables = runs.run_forecast(i.regions(spark, folder), request)
-    return tables["ranking"].select("series_id", "model", "rank", "mae").join(tables["summary"].drop("model"), "series_id")
+    """A run with tuning, a factor, backtest and ensemble, in its closed-form models."""
+    request = runs.ForecastRequest(models=["wma", "naive"], horizon=7, ensemble=["wma", "naive"], tune=True)
+    tables = runs.run_forecast(i.regions(spark, folder), request, {"holidays": ms.shifted_holidays(spark, folder)})
+    window = tables["tuning"].select("series_id", F.get_json_object("params", "$.window").cast("int").alias("window"))
+    ranked = round_metrics(tables["ranking"].select("series_id", "model", "rank", "mae"))
+    totals = rounded(tables["summary"].drop("model", "uplift_pct", "avg_per_step"), 3, "total_forecast", "total_baseline", "total_uplift")
+    return ranked.join(totals, "series_id").join(window, "series_id")
+
+
+@query("x21_learned")
+def x21_learned(spark: SparkSession, folder: str) -> DataFrame:
+    """A run with factors, tuning, a learned model judged on held-out rows, and an ensemble."""
+    request = runs.ForecastRequest(models=["wma", "theta", "lightgbm"], horizon=7, ensemble=["wma", "theta"])
+    factors = i.daily_factors(spark, folder, "holidays", "promotions")
+    tables = runs.run_forecast(i.regions(spark, folder), request, factors)
+    return tables["ranking"].select("series_id", "model", "rank", "mae", "source").join(tables["summary"].drop("model"), "series_id")
 
 
 @query("x22_gather_factors")

@@ -29,19 +29,31 @@ BAND = ("yhat", "lower_ci", "upper_ci")
 # --- decomposition ---------------------------------------------------------------------
 
 
-@query("d1_spectral_periods")
+def waves_sql(panel: str) -> str:
+    """CTEs up to ``periods``: up to three strongest periods of each series by the direct Fourier sums."""
+    def pick(rank: int) -> str:
+        others = "".join(f" AND abs(r.period - f{k}.p{k}) / f{k}.p{k} >= 0.2" for k in range(1, rank))
+        joins = "".join(f" JOIN first{k} f{k} ON f{k}.series_id = r.series_id" for k in range(1, rank))
+        return f"""first{rank} AS (SELECT r.series_id, arg_max(r.period, r.size) AS p{rank} FROM rated r{joins} WHERE r.size > 1e-6{others} GROUP BY 1)"""
+
+    return f"""waves AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS t,
+    count(*) OVER (PARTITION BY series_id) AS n, y - avg(y) OVER (PARTITION BY series_id) AS c FROM {panel}),
+  sizes AS (SELECT series_id, k, max(n) AS n, sqrt(pow(sum(c * cos(2 * pi() * k * t / n)), 2) + pow(sum(c * sin(2 * pi() * k * t / n)), 2)) AS size
+    FROM waves JOIN range(1, 3000) r(k) ON k <= n // 2 GROUP BY 1, 2),
+  rated AS (SELECT * FROM (SELECT *, CAST(round_even(1.0::DOUBLE / (k * (1.0::DOUBLE / n)), 0) AS INTEGER) AS period FROM sizes)
+    WHERE period BETWEEN 2 AND CASE WHEN n < 2 * least(365, n // 2) THEN greatest(7, n // 4) ELSE least(365, n // 2) END),
+  {pick(1)}, {pick(2)}, {pick(3)}"""
+
+
+@query("d1_spectral_periods", i.with_sql(i.REGION, waves_sql("region_panel")) + """SELECT s.series_id, CAST(n AS INTEGER) AS n, CAST(rank AS INTEGER) AS rank, period FROM (
+    SELECT series_id, 0 AS rank, p1 AS period FROM first1 UNION ALL SELECT series_id, 1, p2 FROM first2 UNION ALL SELECT series_id, 2, p3 FROM first3) s
+  JOIN (SELECT DISTINCT series_id, n FROM sizes) n ON n.series_id = s.series_id""")
 def d1(spark: SparkSession, folder: str) -> DataFrame:
-    out = dc.spectral_periods(brand_panel(spark, folder).select("series_id", "ds", "y"))
+    out = dc.spectral_periods(region_panel(spark, folder))
     return out.select("series_id", "n", F.posexplode("periods").alias("rank", "period"))
 
 
-@query("d1_dominant_period", i.with_sql(i.REGION, """waves AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS t,
-    count(*) OVER (PARTITION BY series_id) AS n, y - avg(y) OVER (PARTITION BY series_id) AS c FROM region_panel),
-  sizes AS (SELECT series_id, k, max(n) AS n, sqrt(pow(sum(c * cos(2 * pi() * k * t / n)), 2) + pow(sum(c * sin(2 * pi() * k * t / n)), 2)) AS size
-    FROM waves JOIN range(1, 3000) r(k) ON k <= n // 2 GROUP BY 1, 2),
-  rated AS (SELECT *, CAST(round_even(n / k, 0) AS INTEGER) AS period FROM sizes)""") + """SELECT series_id, period FROM rated
-  WHERE period BETWEEN 2 AND CASE WHEN n < 2 * least(365, n // 2) THEN greatest(7, n // 4) ELSE least(365, n // 2) END
-  QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY size DESC) = 1""")
+@query("d1_dominant_period", i.with_sql(i.REGION, waves_sql("region_panel")) + "SELECT series_id, p1 AS period FROM first1")
 def d1_dominant(spark: SparkSession, folder: str) -> DataFrame:
     return dc.spectral_periods(region_panel(spark, folder)).select("series_id", F.get("periods", F.lit(0)).alias("period"))
 
@@ -56,11 +68,20 @@ peaks AS (SELECT * FROM (SELECT *, lag(r) OVER w AS before, lead(r) OVER w AS af
   WHERE r > 2 / sqrt(n) AND r > before AND r > after AND lag >= 2)"""
 
 
-@query("d2_acf_peaks", i.with_sql(i.REGION, ACF_PEAKS) + """SELECT series_id, lag AS period FROM peaks
-  QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(r, 9) DESC, lag) = 1""")
+def _next_peak(rank: int) -> str:
+    others = "".join(f" AND abs(p.lag - f{k}.p{k}) / f{k}.p{k} >= 0.2" for k in range(1, rank))
+    joins = "".join(f" JOIN peak{k} f{k} ON f{k}.series_id = p.series_id" for k in range(1, rank))
+    return f"""peak{rank} AS (SELECT p.series_id, arg_min(p.lag, struct_pack(r := -round(r, 9), l := p.lag)) AS p{rank} FROM peaks p{joins} WHERE true{others} GROUP BY 1)"""
+
+
+PERIODS = f"{_next_peak(1)}, {_next_peak(2)}, {_next_peak(3)}"
+
+
+@query("d2_acf_peaks", i.with_sql(i.REGION, ACF_PEAKS, PERIODS) + """SELECT series_id, CAST(rank AS INTEGER) AS rank, CAST(period AS INTEGER) AS period FROM (
+  SELECT series_id, 0 AS rank, p1 AS period FROM peak1 UNION ALL SELECT series_id, 1, p2 FROM peak2 UNION ALL SELECT series_id, 2, p3 FROM peak3)""")
 def d2(spark: SparkSession, folder: str) -> DataFrame:
     out = dc.autocorrelation_periods(region_panel(spark, folder), 365)
-    return out.select("series_id", F.get("periods", F.lit(0)).alias("period"))
+    return out.select("series_id", F.posexplode("periods").alias("rank", "period"))
 
 
 @query("d3_robust_decomposition")
@@ -86,18 +107,19 @@ def d4(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rounded(dc.classical(region_panel(spark, folder), 7), 6, "trend"), 5, "seasonal", "residual")
 
 
-PERIODS = """periods AS (SELECT series_id, max(lag) FILTER (WHERE rn = 1) AS p1 FROM (SELECT *,
-  row_number() OVER (PARTITION BY series_id ORDER BY round(r, 9) DESC, lag) AS rn FROM peaks) GROUP BY 1)"""
 
 
-@query("d5_seasonal_params", i.with_sql(i.REGION, ACF_PEAKS, PERIODS) + """SELECT series_id, model,
-  CASE WHEN model IN ('ets', 'wma') THEN p1 END AS seasonal_periods, CASE WHEN model = 'sarimax' THEN p1 END AS seasonal_period,
-  CASE WHEN model = 'prophet' AND p1 IN (52, 53, 12, 30) THEN true END AS yearly_seasonality,
-  CASE WHEN model = 'prophet' AND p1 = 7 THEN true WHEN model = 'prophet' AND p1 IN (52, 53) THEN false END AS weekly_seasonality
-  FROM periods CROSS JOIN (SELECT unnest(['ets', 'wma', 'sarimax', 'prophet']) AS model)""")
+SEASONAL_PARAMS = """{params} AS (SELECT a.series_id, model, CASE WHEN model IN ('ets', 'theta', 'stl', 'wma') THEN p1 END AS seasonal_periods,
+  CASE WHEN model = 'sarimax' THEN p1 END AS seasonal_period,
+  CASE WHEN model = 'prophet' AND p2 = 30 AND p1 <> 30 THEN false WHEN model = 'prophet' AND p1 IN (52, 53, 12, 30) THEN true END AS yearly_seasonality,
+  CASE WHEN model = 'prophet' AND (p1 = 7 OR p2 = 7) THEN true WHEN model = 'prophet' AND p1 IN (52, 53) THEN false END AS weekly_seasonality
+  FROM {first} a LEFT JOIN {second} b ON a.series_id = b.series_id CROSS JOIN (SELECT unnest(['ets', 'theta', 'wma', 'sarimax', 'prophet']) AS model))"""
+WITH_PARAMS = ["ets", "theta", "wma", "sarimax", "prophet"]
+
+
+@query("d5_seasonal_params", i.with_sql(i.REGION, ACF_PEAKS, PERIODS, SEASONAL_PARAMS.format(params="params", first="peak1", second="peak2")) + "SELECT * FROM params")
 def d5(spark: SparkSession, folder: str) -> DataFrame:
-    found = dc.autocorrelation_periods(region_panel(spark, folder), 365, 1)
-    return dc.seasonal_params(found, ["ets", "wma", "sarimax", "prophet"])
+    return dc.seasonal_params(dc.autocorrelation_periods(region_panel(spark, folder), 365), WITH_PARAMS)
 
 
 @query("d6_trend_line", i.with_sql(i.BRAND) + """SELECT series_id, ds, round(regr_intercept(y, i) OVER s + regr_slope(y, i) OVER s * i, 4) AS trend FROM (
@@ -153,7 +175,7 @@ def m2_level(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("m2_ets_multiplicative")
 def m2_mul(spark: SparkSession, folder: str) -> DataFrame:
-    model = ETS(trend="mul", seasonal="mul", alphas=(0.05, 0.2), betas=(0.05,), gammas=(0.1,))
+    model = ETS(trend="mul", seasonal="mul")
     return model.forecast(model.fit(region_panel(spark, folder)), 14)
 
 

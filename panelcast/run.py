@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .models.auto import AutoML, Hybrid
-from .models.base import Factors, Forecaster, with_baseline
+from .models.base import Factors, Forecaster, fit_with, with_baseline
 from .models.wma import Naive
 from .operators import evaluate as ev
 from .operators.decompose import merged_params, robust_decompose, seasonal_params, spectral_periods
@@ -21,7 +21,7 @@ from .operators.profile import analyze
 from .operators.ranking import rank_models, union_all, union_by_priority
 from .operators.rollup import factor_totals, forecast_summary
 from .operators.scenario import factor_contributions
-from .operators.tuning import BUILDERS, build_model, tune
+from .operators.tuning import BUILDERS, as_text, build_model, from_text, tune
 from .store import materialize, save_model
 
 LEARNED = {"lightgbm", "xgboost", "automl", "hybrid"}  # models judged on a held-out share
@@ -97,24 +97,24 @@ def run_forecast(panel: DataFrame, request: ForecastRequest, factors: Factors |
             factors = {k: downsample_factor(f, shorter) for k, f in factors.items()}
         panel = shorter.select("series_id", "ds", "y")
 
+    best = None
     if request.tune:
         tuned = [tune(panel, m, freq=freq, factors=factors or None) for m in request.models if m in BUILDERS]
-        out["tuning"] = union_all(tuned)
-        for name in request.models:
-            best = out["tuning"].filter(F.col("model") == name).groupBy("params").count().orderBy(F.desc("count"), "params").first()
-            if best is not None:
-                import ast
-
-                request.params[name] = {**request.params.get(name, {}), **dict(ast.literal_eval(best["params"]))}
+        best = materialize(union_all(tuned))
+        out["tuning"] = best.withColumn("params", F.to_json("params"))
+        for name in [m for m in request.models if m in LEARNED & set(BUILDERS)]:
+            row = best.filter(F.col("model") == name).select("params").first()  # one set for all series
+            request.params[name] = {**request.params.get(name, {}), **({} if row is None else from_text(name, row["params"]))}
 
     parts = robust_decompose(panel)
     out["decomposition"] = parts.select("series_id", "period", "strength")
     auto = seasonal_params(spectral_periods(panel), list(request.models))
-    user = {m: {k: str(v) for k, v in p.items()} for m, p in request.params.items()}
-    out["parameters"] = merged_params(auto, parts, user)
+    user = {m: as_text(p) for m, p in request.params.items()}
+    out["parameters"] = materialize(merged_params(auto, parts, user, tuned=best))
+    settings = {m: out["parameters"].filter(F.col("model") == m).select("series_id", "params") for m in request.models}
 
     models = {name: build(name, request) for name in request.models}
-    folds = union_all([ev.cross_validate(panel, m, min(7, horizon), ev.FOLDS, freq, factors or None) for m in models.values()])
+    folds = union_all([ev.cross_validate(panel, m, min(7, horizon), ev.FOLDS, freq, factors or None, settings=settings[n]) for n, m in models.items()])
     folds = materialize(folds)
     out["cv_folds"] = folds
     out["cv"] = ev.fold_summary(folds)
@@ -122,13 +122,13 @@ def run_forecast(panel: DataFrame, request: ForecastRequest, factors: Factors |
     tests = None
     learned = [m for n, m in models.items() if n in LEARNED]
     if learned:
-        tests = ev.error_metrics(ev.holdout(panel, learned, request.train_ratio, freq, factors or None), ["series_id", "model"])
+        tests = ev.error_metrics(ev.holdout(panel, learned, request.train_ratio, freq, factors or None, settings=settings), ["series_id", "model"])
         out["test"] = ev.graded(tests)
-    backtests = ev.backtest(panel, list(models.values()), request.backtest_overlap, freq, factors or None)
+    backtests = ev.backtest(panel, list(models.values()), request.backtest_overlap, freq, factors or None, settings=settings)
     out["backtest"] = backtests
     out["backtest_metrics"] = ev.graded(ev.error_metrics(backtests, ["series_id", "model"]))
 
-    fitted = {name: model.fit(panel, factors or None) for name, model in models.items()}
+    fitted = {name: fit_with(model, panel, factors or None, settings[name]) for name, model in models.items()}
     forecast = union_all([
         with_baseline(model, fitted[name], horizon, freq, factors or None).withColumn("model", F.lit(name)) for name, model in models.items()
     ])
