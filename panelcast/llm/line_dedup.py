@@ -114,8 +114,11 @@ def _kept_positions() -> Column:
 
 
 def kept_text(documents: DataFrame, maps: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, text`` of every row, with the lines that its bitmap keeps."""
-    rows, given = identified(documents).alias("d"), maps.alias("m")
+    """``doc_id, n_lines, n_dropped, text`` of every row, with the lines that its bitmap keeps.
+
+    Bitmaps grow with the documents, so the two always meet by a shuffle.
+    """
+    rows, given = identified(documents).alias("d"), maps.hint("merge").alias("m")
     same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.fingerprint") == F.col("m.fingerprint"))
     joined = rows.join(given, same, "left").select("d.doc_id", "d.text", "m.n_dropped", "m.keep").withColumn("lines", _lines())
     kept = F.array_join(F.transform(_kept_positions(), lambda i: F.get("lines", i)), "\n")
