@@ -138,7 +138,7 @@ def x8(spark: SparkSession, folder: str) -> DataFrame:
 @query("x9_holdout_boosted")
 def x9(spark: SparkSession, folder: str) -> DataFrame:
     panel = i.regions(spark, folder).filter(F.col("ds").isNotNull())
-    model = Boosted(n_estimators=5, max_depth=3)
+    model = Boosted()
     tests = ev.graded(ev.error_metrics(ev.holdout(panel, [model]), ["series_id", "model"]))
     refit = model.forecast(model.fit(panel), 3)  # the final model uses all rows
     return refit.join(tests, "series_id")
@@ -493,6 +493,22 @@ def m8(spark: SparkSession, folder: str) -> DataFrame:
     return model.forecast(model.fit(panel), 5)
 
 
+STUMP = """aged AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS idx, avg(y) OVER (PARTITION BY series_id) AS level FROM region_panel),
+  stump_rows AS (SELECT isodow(ds) - 1 AS dow, y / level AS v FROM aged WHERE idx >= 14),
+  cuts AS (SELECT t, count(*) FILTER (WHERE dow <= t) AS nl, count(*) FILTER (WHERE dow > t) AS nr, sum(v) FILTER (WHERE dow <= t) AS sl, sum(v) FILTER (WHERE dow > t) AS sr
+    FROM stump_rows CROSS JOIN range(6) r(t) GROUP BY 1),
+  cut AS (SELECT t, sl / nl AS below, sr / nr AS above, (sl + sr) / (nl + nr) AS base FROM cuts ORDER BY sl * sl / nl + sr * sr / nr DESC LIMIT 1),
+  ends AS (SELECT series_id, max(ds) AS last_ds, max(level) AS level, CAST(unnest(range(1, 8)) AS INTEGER) AS step FROM aged GROUP BY 1)"""
+
+
+@query("m8_stump", i.with_sql(i.REGION, STUMP) + """SELECT series_id, step, CAST(last_ds + step AS DATE) AS ds,
+  round(level * (base + 0.05 * (CASE WHEN isodow(CAST(last_ds + step AS DATE)) - 1 <= t THEN below ELSE above END - base)), 3) AS yhat FROM ends CROSS JOIN cut""")
+def m8_stump(spark: SparkSession, folder: str) -> DataFrame:
+    """One split of one feature, which has a closed form."""
+    model, panel = Boosted(1, 0.05, 1, only=("dayofweek",)), region_panel(spark, folder)
+    return model.forecast(model.fit(panel), 7).select("series_id", "step", "ds", F.round("yhat", 3).alias("yhat"))
+
+
 @query("m9_boosted_sampled")
 def m9(spark: SparkSession, folder: str) -> DataFrame:
     model, panel = boosted_rows(), i.regions(spark, folder)
@@ -556,6 +572,12 @@ def m21(spark: SparkSession, folder: str) -> DataFrame:
     return rank_contributions(model.contributions(model.fit(panel, factors), 14, "D", factors))
 
 
+@query("m21_tree_contributions")
+def m21_trees(spark: SparkSession, folder: str) -> DataFrame:
+    model, panel = Boosted(), i.regions(spark, folder)
+    return rank_contributions(model.contributions(model.fit(panel), 14))
+
+
 @query("m22_category_forecasts", i.with_sql(i.PRODUCT, """categories AS (SELECT series_id, category, ds, y FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM (
     SELECT category AS series_id, category, ds, round(sum(y), 2) AS y FROM product_sales GROUP BY 1, 2, 3
     UNION ALL SELECT '(all)', NULL, ds, round(sum(y), 2) FROM product_sales GROUP BY ds)) WHERE n >= 20)""", *ms.wma("categories", 7)) + """

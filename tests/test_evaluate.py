@@ -104,6 +104,37 @@ def test_tuning_picks_a_window_per_series(panel_of):
     assert set(rows) == {"a", "b"} and all("window" in r["params"] and r["n_folds"] == 2 for r in rows.values())
 
 
+def test_a_search_round_is_one_fit_for_all_candidates(panel_of, monkeypatch):
+    """The scores of the joint job are those of each candidate alone, and only best halves go on."""
+    panel = panel_of({"a": walk(90), "b": walk(80, 2)})
+    candidates = [{"window": w} for w in (4, 8, 20)]
+    rows = ev.tuning_folds(panel, 3)
+    chosen = panel.select("series_id").distinct().crossJoin(tuning.candidate_table(panel.sparkSession, candidates))
+    fits = []
+    monkeypatch.setattr(WMA, "fit", lambda self, *a, _fit=WMA.fit, **k: (fits.append(1), _fit(self, *a, **k))[1])
+    joint = {(r["series_id"], r["params"]["window"]): r["mae"] for r in tuning.score_candidates(rows, WMA(), chosen, 9).collect()}
+    assert len(fits) == 1 and len(joint) == 6
+    for params in candidates:
+        alone = ev.cross_validate(panel, WMA(**params), 9, rows=rows).groupBy("series_id").avg("mae").collect()
+        for name, mae in alone:
+            assert joint[name, str(params["window"])] == pytest.approx(mae)
+    halved = {r["series_id"]: r for r in tuning.tune(panel, "wma", folds=3, halving=True).collect()}
+    assert set(halved) == {"a", "b"} and all(r["n_folds"] == 3 for r in halved.values())
+
+
+def test_found_parameters_reach_the_forecast(panel_of):
+    from panelcast.run import ForecastRequest, run_forecast
+
+    panel = panel_of({"a": walk(90), "b": walk(90, 4)})
+    out = run_forecast(panel, ForecastRequest(models=["wma"], horizon=3, tune=True))
+    for r in out["parameters"].filter("model = 'wma'").collect():
+        own = WMA(int(r["params"]["window"]))
+        part = panel.filter(F.col("series_id") == r["series_id"])
+        alone = [x["yhat"] for x in own.forecast(own.fit(part), 3).orderBy("step").collect()]
+        found = [x["yhat"] for x in out["forecast"].filter(F.col("series_id") == r["series_id"]).orderBy("step").collect()]
+        assert found == pytest.approx(alone)
+
+
 def test_narrow_and_unknown_parameters():
     space = {"window": [4, 8, 12, 20], "robust": [True, False], "trend": ["add", "mul", None]}
     assert tuning.narrow(space, {"window": 8, "robust": True})["window"] == [4, 8, 12]

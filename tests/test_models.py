@@ -10,7 +10,7 @@ from panelcast.models.additive import AdditiveRegression, rank_contributions
 from panelcast.models.arima import ARIMA, SARIMAX
 from panelcast.models.auto import AutoML, Hybrid, route
 from panelcast.models.base import with_baseline
-from panelcast.models.boosted import Boosted, boosted_rows, memory_features
+from panelcast.models.boosted import Boosted, boosted_rows, memory_values
 from panelcast.models.groupwise import GroupForecaster
 from panelcast.models.smoothing import ETS, STL, Theta
 from panelcast.models.wma import WMA, Naive, multipliers
@@ -128,6 +128,30 @@ def test_multiplicative_mode_needs_positive_data(panel_of):
     assert fitted == {"a": True, "b": False}
 
 
+def test_settings_give_each_series_its_own_form(spark, panel_of):
+    """One fit with a weekly and a monthly series equals two fits with the periods as model parameters."""
+    cycle = lambda p: [100 + 30 * np.sin(2 * np.pi * i / p) + 0.1 * i for i in range(150)]
+    panel = panel_of({"week": cycle(7), "month": cycle(30)})
+    settings = spark.createDataFrame([("week", {"seasonal_periods": "7"}), ("month", {"seasonal_periods": "30"})], "series_id string, params map<string,string>")
+    other = {"Theta": "period", "STL": "period", "ETS": "seasonal_periods"}
+    for kind in (Theta, STL, ETS):
+        both = {(r["series_id"], r["step"]): r["yhat"] for r in kind().forecast(kind().fit(panel, settings=settings), 5).collect()}
+        for name, period in (("week", 7), ("month", 30)):
+            own = kind(**{other[kind.__name__]: period})
+            part = panel.filter(F.col("series_id") == name)
+            for r in own.forecast(own.fit(part), 5).collect():
+                assert both[name, r["step"]] == pytest.approx(r["yhat"], rel=1e-9)
+    off = spark.createDataFrame([("week", {"seasonal": "none", "trend": "none"}), ("month", {"damped_trend": "false"})], settings.schema)
+    kinds = {r["series_id"]: (r["trend_kind"], r["season_kind"], r["phi"]) for r in ETS().fit(panel, settings=off).collect()}
+    assert kinds == {"week": ("none", "none", 0.98), "month": ("add", "add", 1.0)}
+    orders = spark.createDataFrame([("week", {"p": "2", "d": "0", "q": "0"})], settings.schema)
+    found = {r["series_id"]: r["order"][:3] for r in ARIMA((1, 1, 0)).fit(panel, settings=orders).collect()}
+    assert found == {"week": [2, 0, 0], "month": [1, 1, 0]}
+    modes = spark.createDataFrame([("week", {"yearly_seasonality": "false", "changepoint_prior_scale": "0.5"})], settings.schema)
+    names = {r["series_id"]: any(n.startswith("yearly") for n in r["names"]) for r in AdditiveRegression().fit(panel, settings=modes).collect()}
+    assert names == {"week": False, "month": True}
+
+
 def test_boosted_is_deterministic_and_non_negative(panel_of):
     panel = panel_of({"a": line_and_week(100), "b": noisy(100, 3)})
     first, second = (Boosted(5, max_depth=3, min_child_samples=2) for _ in range(2))
@@ -155,9 +179,32 @@ def test_memory_features_match_training_features(panel_of):
     panel = panel_of({"a": noisy(40, 5)})
     model = Boosted(1, scale="mean")
     rows = model.training_rows(panel).orderBy(F.desc("ds")).first()
-    before = model.state(panel).withColumn("recent", F.slice("recent", 1, F.size("recent") - 1))
-    found = before.select(*[c.alias(n) for n, c in memory_features().items()]).first().asDict()
-    assert all(rows[n] == pytest.approx(v) for n, v in found.items() if not n.endswith("_28"))
+    before = np.array(model.state(panel).first()["recent"][:-1])
+    found = memory_values(np.r_[np.full(28 - len(before), np.nan), before][None, :])
+    assert all(rows[n] == pytest.approx(v[0]) for n, v in found.items() if not n.endswith("_28"))
+    some = memory_values(np.array([[np.nan] * 28, [np.nan] * 26 + [3.0, 5.0]]))
+    assert some["lag_1"].tolist() == [0.0, 5.0] and some["lag_3"].tolist() == [0.0, 0.0]
+    assert some["rolling_min_7"].tolist() == [0.0, 3.0] and some["rolling_std_7"][1] == pytest.approx(np.sqrt(2))
+
+
+def test_tree_walk_equals_the_fitted_ensemble(spark, panel_of):
+    """Node arrays give what the ensemble itself gives, and contributions what lies between mean and forecast."""
+    panel = panel_of({"a": line_and_week(120), "b": noisy(120, 3)})
+    model = Boosted(8, 0.3, max_depth=4, min_child_samples=2, parallel=3)
+    fitted = model.fit(panel)
+    rows = model.training_rows(panel).toPandas()
+    x = rows[model.features].to_numpy(float)
+    predicted = model.trees.predict(x)
+    assert np.mean((rows["y"] - predicted) ** 2) < 0.2 * np.var(rows["y"])
+    assert model.trees.contributions(x).sum(axis=1) + model.trees.mean() == pytest.approx(predicted)
+    level = {r["series_id"]: r["level"] for r in fitted.collect()}
+    ahead = {(r["series_id"], r["step"]): r["yhat"] for r in model.forecast(fitted, 6).collect()}
+    parts = model.contributions(fitted, 6).groupBy("series_id", "step").agg(F.sum("contribution").alias("total"), F.count("feature").alias("n"))
+    for r in parts.collect():
+        assert r["n"] == len(model.features)
+        assert r["total"] == pytest.approx(ahead[r["series_id"], r["step"]] - model.trees.mean() * level[r["series_id"]])
+    again = Boosted().restored(model.tree_table(spark), model.features, model.trees.base)
+    assert {(r["series_id"], r["step"]): r["yhat"] for r in again.forecast(fitted, 6).collect()} == pytest.approx(ahead)
 
 
 def test_boosted_uses_factors(spark, panel_of):
