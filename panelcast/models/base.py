@@ -72,8 +72,12 @@ def fit_with(model: Forecaster, panel: DataFrame, factors: Factors | None, setti
 
 
 def steps(fitted: DataFrame, horizon: int, freq: str) -> DataFrame:
-    """Each fitted row once per step, with the date of that step."""
-    return fitted.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn(
+    """Each fitted row once per step, with the date of that step.
+
+    A column ``own_steps`` limits the steps of its series.
+    """
+    last = F.least(F.lit(horizon), F.col("own_steps").cast("int")) if "own_steps" in fitted.columns else F.lit(horizon)
+    return fitted.withColumn("step", F.explode(F.sequence(F.lit(1), F.greatest(last, F.lit(1))))).withColumn(
         "ds", future_date("last_ds", "step", freq)
     )
 

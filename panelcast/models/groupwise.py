@@ -17,6 +17,7 @@ from ..functions.dates import horizon_date, period_start, week_of_month
 from ..functions.scalars import rank_weight, ratio
 from ..operators import events as ev
 from ..operators.enrich import attach_events, first_match
+from ..store import materialize
 
 # Look-back and fallback lengths per frequency.
 LOOKBACK = {"D": 8, "W": 6, "M": 5}
@@ -164,6 +165,7 @@ class GroupForecaster:
                  future_events: DataFrame | None = None, config: DataFrame | None = None,
                  dates: Sequence[str] | None = None) -> DataFrame:
         keys = list(self.keys)
+        sales = materialize(sales)  # one row per group and day, used by every part below
         if dates is not None:
             wanted = explicit_targets(sales, keys, dates)
         else:

@@ -207,11 +207,11 @@ def _forecast_test_part(
     if horizon is None:
         horizon = sizes.agg(F.max("test_rows")).first()[0] or 1
     known = {k: within_range(f, test) for k, f in factors.items()} if factors else None
-    parts = [
-        model.forecast(fit_with(model, train, factors, (settings or {}).get(model.name)), horizon, freq, known)
-        .withColumn("model", F.lit(model.name))
-        for model in models
-    ]
+    own = sizes.select("series_id", F.col("test_rows").alias("own_steps"))
+    parts = []
+    for model in models:
+        fitted = fit_with(model, train, factors, (settings or {}).get(model.name)).join(own, "series_id")
+        parts.append(model.forecast(fitted, horizon, freq, known).withColumn("model", F.lit(model.name)))
     reached = union_all(parts).join(sizes, "series_id").filter(F.col("step") <= F.col("test_rows"))
     return match_actuals(reached.drop("test_rows"), test)
 

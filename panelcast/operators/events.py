@@ -341,7 +341,9 @@ def lagged_factor_correlation(panel: DataFrame, factor: DataFrame, lags: int) ->
     """Correlation of sales with each factor column 0..lags-1 rows earlier.
 
     Lags are positions in the joined rows of a series. A factor with several rows on a day
-    counts with its mean, so the joined table has one row per series, day and column.
+    counts with its mean, so the joined table has one row per series, day and column. No row is copied
+    per lag: values are put in order once, as two arrays of calendar length, and each lag folds
+    their overlap into its moments.
     """
     numbers = [f.name for f in factor.schema.fields if isinstance(f.dataType, T.NumericType)]
     values = F.array(*[
@@ -351,12 +353,31 @@ def lagged_factor_correlation(panel: DataFrame, factor: DataFrame, lags: int) ->
     daily = factor.groupBy("ds").agg(*[F.avg(c).alias(c) for c in numbers])
     long = panel.select("series_id", "ds", "y").join(daily, "ds").select("series_id", "ds", "y", F.explode(values).alias("v"))
     rows = long.select("series_id", "ds", "y", "v.*")
-    order = Window.partitionBy("series_id", "column").orderBy("ds")
-    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), (F.lag("x", k).over(order) if k else F.col("x")).alias("x")) for k in range(lags)])
-    paired = rows.withColumn("pairs", pairs).select("series_id", "no", "column", "y", F.explode("pairs").alias("p"))
-    return paired.groupBy("series_id", "no", "column", "p.lag").agg(
-        F.count(F.lit(1)).alias("n"), correlation("y", "p.x").alias("r")
+    listed = rows.groupBy("series_id", "column").agg(
+        F.min("no").alias("no"), F.avg("y").alias("my"), F.avg("x").alias("mx"), F.array_sort(F.collect_list(F.struct("ds", "y", "x"))).alias("r")
     )
+    n = F.size("r")
+    arrays = listed.select(
+        "series_id", "no", "column", n.alias("n"),
+        F.transform(F.col("r")["y"], lambda v: v - F.col("my")).alias("ys"), F.transform(F.col("r")["x"], lambda v: v - F.col("mx")).alias("xs"),
+    )
+    names = ("n", "x", "y", "xx", "yy", "xy")
+    nothing = F.struct(*[F.lit(0.0).alias(c) for c in names])
+
+    def add(sums: Column, pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        grown = F.struct(*[(sums[c] + v).alias(c) for c, v in zip(names, (F.lit(1.0), x, y, x * x, y * y, x * y), strict=True)])
+        return F.when(x.isNull() | y.isNull(), sums).otherwise(grown)
+
+    def at(k: Column) -> Column:
+        pairs = F.zip_with(F.slice("ys", k + 1, F.greatest(F.col("n") - k, F.lit(0))), F.slice("xs", F.lit(1), F.greatest(F.col("n") - k, F.lit(0))), lambda y, x: F.struct(x.alias("x"), y.alias("y")))
+        return F.aggregate(pairs, nothing, add)
+
+    moments = arrays.select("series_id", "no", "column", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(lags - 1)), at)).alias("lag", "m"))
+    n, x, y, xx, yy, xy = (F.col("m")[c] for c in names)
+    sxx, syy = xx - x * x / n, yy - y * y / n
+    spread = F.when((n > 0) & (sxx > 1e-12 * xx) & (syy > 1e-12 * yy), F.sqrt(sxx * syy))
+    return moments.select("series_id", "no", "column", "n", "lag", F.try_divide(xy - x * y / n, spread).alias("r"))
 
 
 def lag_analysis(panel: DataFrame, factor: DataFrame, max_lag: int = 30) -> DataFrame:

@@ -11,12 +11,13 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.scalars import to_number
+from ..store import materialize
 
 # Recognised names of the date column, in order of preference.
 DATE_ALIASES = [
@@ -162,18 +163,38 @@ def parse_date(df: DataFrame, name: str) -> Column:
     return F.get(F.transform(F.array(F.trim(column)), read), F.lit(0))
 
 
+def written(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``df`` as a table, and aggregates that were gathered while it was written: one scan for both."""
+    seen = Observation()
+    untyped = {f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
+    df = df.withColumns(untyped) if untyped else df
+    table = materialize(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]))
+    return table, seen.get
+
+
+def _filled(df: DataFrame) -> dict[str, Column]:
+    return {f"c{i}": F.count(f"`{n}`") for i, n in enumerate(df.columns)}
+
+
+def _empty_columns(df: DataFrame, counts: dict[str, int]) -> list[str]:
+    return [n for i, n in enumerate(df.columns) if not counts.get(f"c{i}")]
+
+
 def drop_empty(df: DataFrame) -> DataFrame:
-    """Drop rows and columns that hold only nulls; one pass yields one row of counts."""
-    counts = df.agg(*[F.count(f"`{n}`").alias(f"c{i}") for i, n in enumerate(df.columns)]).first()
-    empty = [name for name, filled in zip(df.columns, counts) if not filled]
-    return df.drop(*empty).dropna("all")
+    """Drop rows and columns that hold only nulls."""
+    table, counts = written(df.dropna("all"), **_filled(df))
+    return table.drop(*_empty_columns(df, counts))
+
+
+READ_DATE = "__ds"  # the parsed date beside its source
+NO_DATES = "no value of the date column can be read as a date"
 
 
 def require_dates(df: DataFrame, ds: str = "ds") -> DataFrame:
     """Drop rows without a date; an input in which no date can be read is an error."""
-    dated = df.filter(F.col(ds).isNotNull())
-    if dated.isEmpty():
-        raise ValueError("no value of the date column can be read as a date")
+    dated, counts = written(df.filter(F.col(ds).isNotNull()), rows=F.count(F.lit(1)))
+    if not counts.get("rows"):
+        raise ValueError(NO_DATES)
     return dated
 
 
@@ -272,17 +293,30 @@ def _economic(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return fill_by_date(coerced, numbers), {}
 
 
+def _dated_table(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """Rows with a date ``ds`` and the name of its source, without columns that hold only nulls.
+
+    Dates are parsed once, on the way to a table; what counts as empty is seen meanwhile.
+    """
+    source = find_date_column(df.schema)
+    if source is None:
+        raise ValueError(f"{kind} data needs a date column, e.g. one of {DATE_ALIASES}")
+    rows = df.dropna("all").withColumn(READ_DATE, parse_date(df, source))
+    table, counts = written(rows, **_filled(df), dates=F.count(READ_DATE))
+    empty = _empty_columns(df, counts)
+    if source in empty and len(empty) < len(df.columns):
+        return _dated_table(df.drop(*empty), kind)  # another column may hold the dates
+    if not counts.get("dates"):
+        raise ValueError(NO_DATES)
+    kept = table.drop(*{*empty, source, "ds"}).withColumnRenamed(READ_DATE, "ds")
+    return kept.filter(F.col("ds").isNotNull()), source
+
+
 def normalize(df: DataFrame, kind: str, deduplicate: bool = True) -> tuple[DataFrame, dict[str, str]]:
     """Canonical table of ``kind`` and the mapping from source to canonical names."""
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}; known: {sorted(KINDS)}")
-    df = drop_empty(df)
-    date_source = find_date_column(df.schema)
-    if date_source is None:
-        raise ValueError(f"{kind} data needs a date column, e.g. one of {DATE_ALIASES}")
-    dated = require_dates(df.withColumn("ds", parse_date(df, date_source)))
-    if date_source != "ds":
-        dated = dated.drop(date_source)
+    dated, date_source = _dated_table(df, kind)
     mapping = {date_source: "ds"}
     if kind == "sales":
         out, extra = _sales(dated)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.dates import FREQUENCY_RANK
 from ..functions.scalars import ratio
 from .normalize import find_date_column, find_value_column, normalize_name, parse_date
+from .rollup import null_profile
 
 LARGE_TABLE = 10_000_000  # fixed value: rows from which a table is called very large
 SHORT_SERIES = 14  # fixed value: fewer dates make a forecast unreliable
@@ -80,40 +81,35 @@ def sales_checks(df: DataFrame) -> DataFrame:
 
 
 def column_classes(df: DataFrame) -> DataFrame:
-    """Semantic class per column. Only unclassified text columns are counted.
+    """Semantic class per column. Only unclassified text columns are counted, all in one pass.
 
-    Distinct values come from a group-by per column, not from a set held in one task.
+    Distinct values come from a group-by, not from a set held in one task.
     """
     date_name = find_date_column(df.schema)
     temporal = (T.DateType, T.TimestampType, T.TimestampNTZType)
-    parts = []
+    known: dict[str, str | None] = {}
     for f in df.schema.fields:
         name = normalize_name(f.name)
-        known = None
+        known[f.name] = None
         if f.name == date_name or isinstance(f.dataType, temporal):
-            known = "date"
+            known[f.name] = "date"
         elif isinstance(f.dataType, T.BooleanType):
-            known = "boolean"
+            known[f.name] = "boolean"
         elif isinstance(f.dataType, T.NumericType):
-            known = "numeric"
+            known[f.name] = "numeric"
         elif any(word in name for word in ID_WORDS):
-            known = "id"
+            known[f.name] = "id"
         elif any(word in name for word in REGION_WORDS):
-            known = "region"
-        if known:
-            # a global aggregate over no columns gives exactly one row and reads no data
-            one = df.limit(0).agg(F.lit(f.name).alias("column_name"), F.lit(known).alias("class"))
-        else:
-            values = df.groupBy(F.col(f"`{f.name}`").alias("v")).agg(F.count(F.lit(1)).alias("copies"))
-            few = F.count("v") < F.greatest(F.lit(2), F.sum("copies") * 0.2)
-            one = values.agg(F.when(few, "categorical").otherwise("text").alias("class")).select(
-                F.lit(f.name).alias("column_name"), "class"
-            )
-        parts.append(one)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+            known[f.name] = "region"
+    columns = F.array(*[F.struct(F.lit(n).alias("column_name"), F.lit(c).cast("string").alias("class")) for n, c in known.items()])
+    named = df.sparkSession.range(1).select(F.explode(columns).alias("c")).select("c.*")
+    open_columns = [n for n, c in known.items() if c is None]
+    if not open_columns:
+        return named
+    few = F.col("distinct_values") < F.greatest(F.lit(2), F.col("rows") * 0.2)
+    counted = null_profile(df, open_columns).select("column_name", F.when(few, "categorical").otherwise("text").alias("found"))
+    joined = named.join(F.broadcast(counted), "column_name", "left")  # a row per column
+    return joined.select("column_name", F.coalesce("class", "found", F.lit("categorical")).alias("class"))
 
 
 def frequency_mismatch(frequencies: DataFrame, requested: str) -> DataFrame:

@@ -141,7 +141,7 @@ def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Every row is spread over its columns and equal values are counted before the shuffle,
     so one scan and one shuffle serve all columns.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])
     counted = df.select(F.explode(cells).alias("cell")).groupBy("cell.column_name", "cell.v").agg(F.count(F.lit(1)).alias("copies"))
     out = counted.groupBy("column_name").agg(
         F.sum("copies").alias("rows"),

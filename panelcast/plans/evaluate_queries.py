@@ -24,8 +24,10 @@ from ..operators.rollup import category_series
 from ..operators.tuning import tune
 from ..sources.tables import brand_panel, brand_sales, event_panel, region_panel
 from ..store import materialize
+from . import events_sql as es
 from . import inputs as i
 from . import model_sql as ms
+from .event_queries import WEIGHTED
 from .join_queries import BACKTEST
 from .model_queries import BAND, SEASONAL_PARAMS, WEIGHTS, WITH_PARAMS, rounded, waves_sql
 from .registry import query
@@ -419,11 +421,16 @@ def x21_learned(spark: SparkSession, folder: str) -> DataFrame:
     return tables["ranking"].select("series_id", "model", "rank", "mae", "source").join(tables["summary"].drop("model"), "series_id")
 
 
-@query("x22_gather_factors")
+@query("x22_gather_factors", i.with_sql(i.REGION, i.HOLIDAYS, i.PROMOTIONS, es.EVENTS_US, WEIGHTED, """rated AS (SELECT e.ds AS event_ds, e.name,
+    round(greatest(least(coalesce(w, 1.0), 5.0), 0.1), 4) AS impact FROM us_events e LEFT JOIN weighted w ON w.event_ds = e.ds AND w.name = e.name)""",
+  """firsts AS (SELECT * FROM (SELECT 0 AS source, ds, holiday_name, holiday_impact FROM holidays UNION ALL SELECT DISTINCT 1, event_ds, name, impact FROM rated)
+    QUALIFY row_number() OVER (PARTITION BY ds ORDER BY source, holiday_name) = 1)""") + """SELECT f.ds, holiday_name, holiday_impact, discount
+  FROM firsts f LEFT JOIN (SELECT ds, round(sum(discount), 6) AS discount FROM promotions GROUP BY 1) p ON p.ds = f.ds""")
 def x22(spark: SparkSession, folder: str) -> DataFrame:
     request = runs.ForecastRequest(include=["holidays", "promotions"], countries=["US"])
     found = runs.gather_factors(i.regions(spark, folder), i.daily_factors(spark, folder, "holidays", "promotions"), request)
-    return found["holidays"].join(found["promotions"].groupBy("ds").agg(F.sum("discount").alias("discount")), "ds", "left")
+    discounts = found["promotions"].groupBy("ds").agg(F.round(F.sum("discount"), 6).alias("discount"))
+    return found["holidays"].join(discounts, "ds", "left")
 
 
 @query("x23_run_history", i.with_sql(i.REGION) + "SELECT series_id, ds, y FROM region_panel")
