@@ -2,8 +2,9 @@
 
 Coefficients come from two least-squares passes (Hannan and Rissanen): a long
 autoregression gives the innovations, which then enter a second regression as moving
-average terms. Seasonal lags are added to the plain ones. Each series is one array row,
-so series are spread over the tasks by Spark and solved in Arrow batches.
+average terms. Seasonal lags are added to the plain ones. Differences, innovations and all moments
+are expressions over one array row per series; only the small linear systems that the
+moments make are solved outside, in Arrow batches that never see a series.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.enrich import FLAG_KINDS, attach_flags, daily_flags
-from .base import Factors, Z95, as_arrays, configured, per_row, steps
+from ..operators.lagstats import dot, filtered, lag_gram, lag_moments, lagged, span, total
+from .base import Factors, Z95, appended, as_arrays, configured, per_row, steps
 
 FALLBACK_ORDERS = [(1, 1, 1), (0, 1, 0)]  # fixed values: tried when the wanted order fails
 
@@ -43,67 +45,82 @@ def _stable(lags: list[int], coef: np.ndarray) -> np.ndarray:
     return coef * (0.98 / radius) ** np.array(lags) if radius >= 0.99 else coef
 
 
-def _lag_matrix(values: np.ndarray, lags: list[int], start: int) -> np.ndarray:
-    return np.column_stack([values[start - k : len(values) - k] for k in lags]) if lags else np.zeros((len(values) - start, 0))
+# --- what is fitted: orders and lags, from the length of a series alone -----------------------------
 
 
-def fit_one(y: np.ndarray, x: np.ndarray, order: tuple[int, int, int], seasonal: tuple[int, int, int, int]) -> dict | None:
-    """Coefficients and the state to continue from; None when the series is too short."""
+def _plan(n: int, flags: int, order: tuple[int, int, int], seasonal: tuple[int, int, int, int]) -> dict | None:
+    """Lags, differences and first rows of an order; None when the series is too short for it."""
     (p, d, q), (sp, sd, sq, period) = order, seasonal
-    ar_lags = sorted({*range(1, p + 1), *(period * k for k in range(1, sp + 1))})
-    ma_lags = sorted({*range(1, q + 1), *(period * k for k in range(1, sq + 1))})
+    ar = sorted({*range(1, p + 1), *(period * k for k in range(1, sp + 1))})
+    ma = sorted({*range(1, q + 1), *(period * k for k in range(1, sq + 1))})
     delta = _difference_polynomial(d, sd, period)
-    lost = len(delta) - 1
-    if len(y) - lost < 5:
+    rows, deepest, long = n - len(delta) + 1, max([0, *ar, *ma]), 0
+    if rows < 5:
         return None
-    w = np.convolve(y, delta)[lost : len(y)]
-    wx = np.column_stack([np.convolve(c, delta)[lost : len(y)] for c in x.T]) if x.shape[1] else np.zeros((len(w), 0))
-    wx = wx[:, :]
-    n = len(w)
-    deepest = max([0, *ar_lags, *ma_lags])
-    innovations = w - w.mean()
-    first = 0
-    if ma_lags:
-        long = min(max(deepest, int(np.ceil(np.log(max(n, 3)) ** 1.5))), n // 3)
-        first = long
-        if n - long < long + 2:
+    if ma:
+        long = min(max(deepest, int(np.ceil(np.log(max(rows, 3)) ** 1.5))), rows // 3)
+        if rows - long < long + 2:
             return None
-        lagged = np.column_stack([np.ones(n - long), _lag_matrix(w, list(range(1, long + 1)), long), wx[long:]])
-        coef, *_ = np.linalg.lstsq(lagged, w[long:], rcond=None)
-        innovations = np.r_[np.zeros(long), w[long:] - lagged @ coef]
-    start = first + deepest
-    columns = 1 + len(ar_lags) + len(ma_lags) + wx.shape[1]
-    if n - start < columns + 2:
+    start = long + deepest
+    if rows - start < 1 + len(ar) + len(ma) + flags + 2:
         return None
-    constant = np.ones((n - start, 1)) if lost == 0 else np.zeros((n - start, 0))
-    design = np.column_stack([constant, _lag_matrix(w, ar_lags, start), _lag_matrix(innovations, ma_lags, start), wx[start:]])
-    if design.shape[1]:
-        coef, *_ = np.linalg.lstsq(design, w[start:], rcond=None)
-        residual = w[start:] - design @ coef
-    else:
-        coef, residual = np.zeros(0), w[start:]
-    k = constant.shape[1]
-    ar = _stable(ar_lags, coef[k : k + len(ar_lags)])
-    ma = coef[k + len(ar_lags) : k + len(ar_lags) + len(ma_lags)]
-    beta = coef[k + len(ar_lags) + len(ma_lags) :]
-    phi = np.zeros(deepest + 1)
-    phi[0] = 1.0
-    for lag, c in zip(ar_lags, ar):
+    return {"order": [p, d, q, sp, sd, sq, period], "delta": delta.tolist(), "ar": ar, "ma": ma, "long": long, "start": start}
+
+
+PLAN = "order: array<int>, delta: array<double>, ar: array<int>, ma: array<int>, long: int, start: int"
+#: Too short for any order: a random walk without regressors.
+WALK = {"order": [0, 1, 0, 0, 0, 0, 1], "delta": [1.0, -1.0], "ar": [], "ma": [], "long": 0, "start": 0}
+
+
+# --- the small systems -----------------------------------------------------------------------------
+
+
+def _innovation_coefficients(moments, cross, own, x_sums) -> list[float] | None:
+    """Constant, long autoregression and flag effects, from their moments; null without a first pass."""
+    if moments is None:
+        return None
+    gram, sums, rows = lag_gram(moments), np.asarray(moments["sums"], float), moments["rows"]
+    cross = np.array([list(c) for c in cross], float).reshape(-1, len(gram))  # flags by lags
+    own = np.array([list(c) for c in own], float).reshape(len(cross), len(cross))
+    x_sums = np.asarray(x_sums, float)
+    whole = np.block([
+        [np.array([[rows]]), sums[None, 1:], x_sums[None, :]],
+        [sums[1:, None], gram[1:, 1:], cross[:, 1:].T],
+        [x_sums[:, None], cross[:, 1:], own],
+    ])
+    target = np.r_[sums[0], gram[1:, 0], cross[:, 0]]
+    return np.linalg.lstsq(whole, target, rcond=None)[0].tolist()
+
+
+def _state(row: pd.Series) -> dict:
+    """Coefficients, spread and the values to continue from."""
+    ar, ma, delta = [int(k) for k in row["ar"]], [int(k) for k in row["ma"]], np.asarray(row["delta"], float)
+    gram = np.array([list(c) for c in row["gram"]], float).reshape(len(row["gram"]), len(row["gram"]))
+    moment = np.asarray(row["moment"], float)
+    coef = np.linalg.lstsq(gram, moment, rcond=None)[0] if len(gram) else np.zeros(0)
+    constant = len(delta) == 1
+    k = int(constant)
+    ar_coef, ma_coef = coef[k : k + len(ar)], coef[k + len(ar) : k + len(ar) + len(ma)]
+    beta = coef[k + len(ar) + len(ma) :]
+    shrunk = _stable(ar, ar_coef)
+    deepest = max([0, *ar, *ma])
+    phi, theta = np.zeros(deepest + 1), np.zeros(max([0, *ma]) + 1)
+    phi[0] = theta[0] = 1.0
+    for lag, c in zip(ar, shrunk):
         phi[lag] -= c
-    theta = np.zeros(max([0, *ma_lags]) + 1)
-    theta[0] = 1.0
-    for lag, c in zip(ma_lags, ma):
+    for lag, c in zip(ma, ma_coef):
         theta[lag] = c
+    # the values were centred; a level that the lags had before they were shrunk is kept
+    own = float(coef[0]) if constant and np.allclose(shrunk, ar_coef) else 0.0
+    mean = own + row["mean"] * phi.sum() if constant else 0.0
+    errors = np.asarray(row["last_targets"], float)
+    if len(coef):
+        errors = errors - coef @ np.array([list(c) for c in row["last_columns"]], float)
+    squares = row["squares"] - 2 * coef @ moment + coef @ gram @ coef
     full = np.convolve(phi, delta)
-    mean = float(coef[0]) if k else 0.0
-    if k and ar_lags and not np.allclose(ar, coef[k : k + len(ar_lags)]):
-        mean = float(w.mean() * phi.sum())  # keep the level when the lags were shrunk
-    errors = np.r_[np.zeros(start), residual]
     return {
-        "order": [p, d, q, sp, sd, sq, period], "constant": mean, "phi": full.tolist(), "theta": theta.tolist(),
-        "beta": beta.tolist(), "delta": delta.tolist(), "sigma": float(np.sqrt(np.mean(residual**2))),
-        "y_tail": y[-max(1, len(full)) :].tolist(), "e_tail": errors[-len(theta) :].tolist(),
-        "x_tail": x[-len(delta) :].ravel().tolist(), "n": len(y),
+        "constant": float(mean), "phi": full.tolist(), "theta": theta.tolist(), "beta": beta.tolist(),
+        "sigma": float(np.sqrt(max(squares, 0.0) / max(row["rows"], 1))), "e_tail": errors[-len(theta) :].tolist(),
     }
 
 
@@ -159,26 +176,66 @@ class ARIMA:
         flags = [f"{k}_flag" for k in kinds]
         source = attach_flags(panel, factors) if kinds else panel
         own = dict(zip(self.tunable, [("int", v) for v in (*self.order, *self.seasonal_order)], strict=True))
-        arrays = configured(as_arrays(source, "y", *flags), settings, own)
+        arrays = configured(as_arrays(source, "y", *flags), settings, own).withColumn("n", F.size("ys"))
+        model, n_flags = self, len(flags)
 
-        def work(row: pd.Series) -> dict:
-            numbers = [int(row[f"own_{name}"]) for name in self.tunable]
-            candidates = replace(self, order=tuple(numbers[:3]), seasonal_order=tuple(numbers[3:]))._candidates()
-            y = np.asarray(row["ys"], float)
-            columns = [np.asarray(row[f"{f}s"], float) for f in flags]
-            x = np.column_stack(columns) if columns else np.zeros((len(y), 0))
-            for order, seasonal in candidates:
-                state = fit_one(y, x, order, seasonal)
-                if state is not None and np.isfinite(state["sigma"]):
-                    return {**state, "flags": flags}
-            # too short for any order: a random walk without regressors
-            return {
-                "order": [0, 1, 0, 0, 0, 0, 1], "constant": 0.0, "phi": [1.0, -1.0], "theta": [1.0], "beta": [],
-                "delta": [1.0, -1.0], "sigma": float(np.std(np.diff(y))) if len(y) > 1 else 0.0,
-                "y_tail": y[-2:].tolist(), "e_tail": [0.0], "x_tail": [], "n": len(y), "flags": [],
-            }
-
-        return per_row(arrays, STATE, work, ("series_id", "last_ds"))
+        def plan(size: int, *numbers: int) -> dict:
+            wanted = replace(model, order=tuple(numbers[:3]), seasonal_order=tuple(numbers[3:]))._candidates()
+            return next((f for f in (_plan(size, n_flags, *c) for c in wanted) if f), WALK)
+
+        planned = appended(arrays, "plan", f"struct<{PLAN}>", ["n", *[f"own_{name}" for name in self.tunable]], plan).select("*", "plan.*")
+        # a walk has no regressors
+        usable = F.col("plan")["order"] != F.array(*[F.lit(v) for v in WALK["order"]])
+        xs = F.array(*[F.col(f"{f}s") for f in flags]).cast("array<array<double>>")
+        zero = F.array().cast("array<array<double>>")
+        moved = planned.withColumn("xs", F.when(usable | (F.size("ma") > 0), xs).otherwise(zero)).withColumns({
+            "w": filtered(F.col("ys"), F.col("delta")), "wx": F.transform("xs", lambda x: filtered(x, F.col("delta"))),
+        })
+        level = F.when(F.size("delta") == 1, total(F.col("w")) / F.size("w")).otherwise(0.0)
+        centred = moved.withColumn("mean", level).withColumn("w", F.transform("w", lambda v: v - F.col("mean")))
+
+        long, wx = F.col("long"), F.col("wx")
+        lags = F.sequence(F.lit(0), long)
+        pairs = {
+            "long_moments": F.when(long > 0, lag_moments(F.col("w"), long)),
+            "long_cross": F.transform(wx, lambda x: F.transform(lags, lambda k: dot(lagged(x, F.lit(0), long), lagged(F.col("w"), k, long)))),
+            "long_own": F.transform(wx, lambda x: F.transform(wx, lambda z: dot(lagged(x, F.lit(0), long), lagged(z, F.lit(0), long)))),
+            "long_sums": F.transform(wx, lambda x: total(lagged(x, F.lit(0), long))),
+        }
+        known = appended(centred.withColumns(pairs), "long_coef", "array<double>", list(pairs), _innovation_coefficients).drop(*pairs)
+
+        def innovation(t: Column) -> Column:
+            coef, w = F.col("long_coef"), F.col("w")
+            past = total(F.transform(F.sequence(F.lit(1), long), lambda k: F.get(coef, k) * F.get(w, t - k)))
+            outside = total(F.transform(wx, lambda x, j: F.get(coef, long + 1 + j) * F.get(x, t)))
+            return F.get(w, t) - F.get(coef, F.lit(0)) - past - outside
+
+        none = F.transform(F.slice("w", F.lit(1), long), lambda v: F.lit(0.0))
+        errors = F.concat(none, F.transform(span(long, F.size("w") - long), innovation))
+        start = F.col("start")
+        ones = F.array(F.transform(lagged(F.col("w"), F.lit(0), start), lambda v: F.lit(1.0)))
+        designed = known.withColumn("e", F.when(long > 0, errors)).withColumn("z", F.concat(
+            F.when(F.size("delta") == 1, ones).otherwise(zero),
+            F.transform("ar", lambda k: lagged(F.col("w"), k, start)), F.transform("ma", lambda k: lagged(F.col("e"), k, start)),
+            F.transform(wx, lambda x: lagged(x, F.lit(0), start)),
+        )).withColumn("target", lagged(F.col("w"), F.lit(0), start))
+        kept = F.least(F.size("target"), F.coalesce(F.array_max("ma"), F.lit(0)) + 1)
+        deepest = F.greatest(F.coalesce(F.array_max("ar"), F.lit(0)), F.coalesce(F.array_max("ma"), F.lit(0)))
+
+        def tail(values: Column | str, count: Column) -> Column:
+            return F.slice(values, F.greatest(F.size(values) - count, F.lit(0)) + 1, F.greatest(count, F.lit(0)))
+
+        z, lost = F.col("z"), F.size("delta")
+        times = F.sequence(F.lit(0), lost - 1)
+        moments = designed.select(
+            "series_id", "last_ds", "n", "order", "delta", "ar", "ma", "mean", F.size("target").alias("rows"),
+            F.transform(z, lambda a: F.transform(z, lambda b: dot(a, b))).alias("gram"), F.transform(z, lambda a: dot(a, F.col("target"))).alias("moment"),
+            dot(F.col("target"), F.col("target")).alias("squares"), F.transform(z, lambda a: tail(a, kept)).alias("last_columns"),
+            tail("target", kept).alias("last_targets"), tail("ys", deepest + lost).alias("y_tail"),
+            F.flatten(F.transform(times, lambda t: F.transform("xs", lambda x: F.get(x, F.size(x) - lost + t)))).alias("x_tail"),
+            F.when(F.size("xs") > 0, F.array(*[F.lit(f) for f in flags])).otherwise(F.array()).cast("array<string>").alias("flags"),
+        )
+        return per_row(moments, STATE, _state, ("series_id", "last_ds", "n", "order", "delta", "y_tail", "x_tail", "flags"))
 
     def forecast(
         self, fitted: DataFrame, horizon: int, freq: str = "D", factors: Factors | None = None

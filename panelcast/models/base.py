@@ -14,12 +14,15 @@ the panel. Nothing inspects ``series_id``: a fold or candidate number may be par
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.dates import future_date
 from ..functions.scalars import safe_float, uplift_pct
@@ -141,3 +144,16 @@ def per_row(
                 yield pd.DataFrame(out)
 
     return table.mapInPandas(batches, schema)
+
+
+def appended(table: DataFrame, name: str, kind: str, inputs: Sequence[str], work: Callable) -> DataFrame:
+    """``table`` with one more column, ``work`` of a row's ``inputs``; all other columns pass unread."""
+    field = T.StructType.fromDDL(f"`{name}` {kind}").fields[0]
+    schema, arrow = T.StructType([*table.schema.fields, field]), to_arrow_type(field.dataType)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = zip(*(part.column(c).to_pylist() for c in inputs), strict=True)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([work(*r) for r in rows], arrow)], names=schema.names)
+
+    return table.mapInArrow(batches, schema)

@@ -16,6 +16,7 @@ from ..functions.dates import (
 from ..functions.scalars import clamp, correlation, ratio
 from ..models.base import as_arrays, per_row
 from .grid import along
+from .lagstats import dot, filtered, lag_gram, lag_moments, lagged, total
 
 
 def gap_stats(panel: DataFrame) -> DataFrame:
@@ -122,56 +123,73 @@ def outlier_share(panel: DataFrame) -> DataFrame:
 # --- stationarity ------------------------------------------------------------------------
 
 
-def _unit_root(y: np.ndarray) -> tuple[float, float, int]:
-    """Augmented Dickey-Fuller t statistic with constant, 5 % point and lag by AIC.
+def _unit_root(row: pd.Series, fixed: bool) -> tuple[float, float, int]:
+    """Augmented Dickey-Fuller t statistic with constant, 5 % point and lag by AIC, from lag moments.
 
     The 5 % point is MacKinnon's (2010) response surface for the constant-only case.
     """
-    n = len(y)
-    most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
-    dy = np.diff(y)
-    best = None
-    for lags in range(most + 1):
-        # the same rows for every lag, so that the criteria are comparable
-        target = dy[most:]
-        columns = [y[most:-1], np.ones(len(target))]
-        columns += [dy[most - k : len(dy) - k] for k in range(1, lags + 1)]
-        x = np.column_stack(columns)
-        coef, *_ = np.linalg.lstsq(x, target, rcond=None)
-        rss = float(((target - x @ coef) ** 2).sum())
-        criterion = len(target) * np.log(max(rss, 1e-300) / len(target)) + 2 * x.shape[1]
-        if best is None or criterion < best[0]:
-            best = (criterion, lags)
-    lags = best[1]
-    target = dy[lags:]
-    columns = [y[lags:-1], np.ones(len(target))]
-    columns += [dy[lags - k : len(dy) - k] for k in range(1, lags + 1)]
-    x = np.column_stack(columns)
-    inverse = np.linalg.pinv(x.T @ x)
-    coef = inverse @ x.T @ target
-    spread = ((target - x @ coef) ** 2).sum() / max(1, len(target) - x.shape[1])
-    error = np.sqrt(max(spread * inverse[0, 0], 0.0))
+    moments, most = row["moments"], len(row["moments"]["products"]) - 1
+    head, level_head = np.asarray(moments["head"], float), np.asarray(row["level_head"], float)
+    rows, sums = moments["rows"], np.asarray(moments["sums"], float)
+    # order of the columns: change, level, constant, changes 1 to most rows before
+    gram = np.empty((most + 3, most + 3))
+    changes = [0, *range(3, most + 3)]
+    gram[np.ix_(changes, changes)] = lag_gram(moments)
+    gram[1, changes] = gram[changes, 1] = np.asarray(row["level_products"], float)
+    gram[2, changes] = gram[changes, 2] = sums
+    gram[1, 1], gram[1, 2], gram[2, 1], gram[2, 2] = row["level_squares"], row["level_sum"], row["level_sum"], rows
+
+    def solved(matrix: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray, float]:
+        x = matrix[1 : lags + 3, 1 : lags + 3]
+        coef = np.linalg.lstsq(x, matrix[1 : lags + 3, 0], rcond=None)[0]
+        return x, coef, float(max(matrix[0, 0] - 2 * coef @ matrix[1 : lags + 3, 0] + coef @ x @ coef, 0.0))
+
+    lags = most
+    if not fixed:  # the same rows for every lag, so that the criteria are comparable
+        criteria = [rows * np.log(max(solved(gram, k)[2], 1e-300) / rows) + 2 * (k + 2) for k in range(most + 1)]
+        lags = int(np.argmin(criteria))
+    for s in range(lags, most):  # rows that the chosen lags have and the most lags don't
+        line = np.zeros(most + 3)
+        line[[0, 1, 2]] = head[s], level_head[s], 1.0
+        line[3 : lags + 3] = head[s - lags : s][::-1]
+        gram += np.outer(line, line)
+    used = rows + most - lags
+    x, coef, rss = solved(gram, lags)
+    spread = rss / max(1, used - lags - 2)
+    error = np.sqrt(max(spread * np.linalg.pinv(x)[0, 0], 0.0))
     t = float(coef[0] / error) if error > 0 else 0.0
-    m = len(target)
-    return t, -2.86154 - 2.8903 / m - 4.234 / m**2 - 40.04 / m**3, lags
+    return t, -2.86154 - 2.8903 / used - 4.234 / used**2 - 40.04 / used**3, lags
 
 
-def stationarity(panel: DataFrame) -> DataFrame:
-    """Whether each series passes the unit-root test; true below 30 rows."""
+def stationarity(panel: DataFrame, lags: int | None = None) -> DataFrame:
+    """Whether each series passes the unit-root test; true below 30 rows.
+
+    ``lags`` sets the number of lagged changes, else the information criterion does. All sums over a
+    series are taken in Spark; the test sees its lag moments.
+    """
+    n = F.size("ys")
+    most = F.least(F.ceil(12 * F.pow(n / 100, 0.25)).cast("int"), F.floor(n / 2).cast("int") - 2) if lags is None else F.lit(lags)
+    arrays = as_arrays(panel).select("series_id", "ys", F.when(n >= 30, most).alias("most"))
+    level = arrays.withColumn("mean", total(F.col("ys")) / n)
+    centred = level.select("series_id", "most", F.transform("ys", lambda v: v - F.col("mean")).alias("ys"), F.size("ys").alias("n"))
+    moved = centred.withColumn("changes", filtered(F.col("ys"), F.array(F.lit(1.0), F.lit(-1.0))))
+    before = F.slice("ys", F.col("most") + 1, F.greatest(F.col("n") - 1 - F.col("most"), F.lit(0)))
+    sums = moved.filter(F.col("most").isNotNull()).withColumn("before", before).select(
+        "series_id", lag_moments(F.col("changes"), F.col("most")).alias("moments"),
+        F.transform(F.sequence(F.lit(0), F.col("most")), lambda k: dot(F.col("before"), lagged(F.col("changes"), k, F.col("most")))).alias("level_products"),
+        total(F.col("before")).alias("level_sum"), dot(F.col("before"), F.col("before")).alias("level_squares"), F.slice("ys", F.lit(1), F.col("most")).alias("level_head"),
+    )
 
     def test(row: pd.Series) -> dict:
-        y = np.asarray(row["ys"], dtype=float)
-        if len(y) < 30:
-            return {"statistic": None, "critical": None, "lags": None, "stationary": True}
-        statistic, critical, lags = _unit_root(y)
-        return {"statistic": statistic, "critical": critical, "lags": lags,
-                "stationary": bool(statistic < critical)}
-
-    return per_row(
-        as_arrays(panel).select("series_id", "ys"),
-        "series_id string, statistic double, critical double, lags int, stationary boolean",
-        test, ("series_id",),
+        statistic, critical, used = _unit_root(row, lags is not None)
+        return {"statistic": statistic, "critical": critical, "lags": used, "stationary": bool(statistic < critical)}
+
+    schema = "series_id string, statistic double, critical double, lags int, stationary boolean"
+    tested = per_row(sums, schema, test, ("series_id",))
+    short = moved.filter(F.col("most").isNull()).select(
+        "series_id", *[F.lit(None).cast(t).alias(c) for c, t in (("statistic", "double"), ("critical", "double"), ("lags", "int"))], F.lit(True).alias("stationary")
     )
+    return tested.unionByName(short)
 
 
 # --- autocorrelation ---------------------------------------------------------------------
