@@ -466,6 +466,35 @@ def m5_ar1(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(model.forecast(model.fit(region_panel(spark, folder)), 10), 3, *BAND)
 
 
+def _two_regressors(a: str, b: str) -> str:
+    """CTE ``coef``: y on a constant and two regressors of ``design``, by the closed form of centred sums."""
+    return f"""sums AS (SELECT series_id, avg(y) AS my, avg({a}) AS ma, avg({b}) AS mb, var_pop({a}) AS aa, var_pop({b}) AS bb, covar_pop({a}, {b}) AS ab,
+      covar_pop({a}, y) AS ay, covar_pop({b}, y) AS by_, var_pop(y) AS yy FROM design GROUP BY 1),
+    coef AS (SELECT *, my - phi * ma - beta * mb AS c, yy - phi * ay - beta * by_ AS v FROM (
+      SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS phi, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS beta FROM sums))"""
+
+
+@query("m5_flag", i.with_sql(i.REGION, i.HOLIDAYS, "flags AS (SELECT DISTINCT CAST(ds + 30 AS DATE) AS ds FROM holidays)",
+  """design AS (SELECT * FROM (SELECT p.*, CAST(p.ds IN (SELECT ds FROM flags) AS DOUBLE) AS f, lag(y) OVER (PARTITION BY series_id ORDER BY p.ds) AS x FROM region_panel p) WHERE x IS NOT NULL)""",
+  _two_regressors("x", "f"), """path AS (SELECT c.series_id, 0 AS step, max(ds) AS ds, arg_max(y, ds) AS m, 0.0::DOUBLE AS spread FROM coef c JOIN region_panel p ON p.series_id = c.series_id GROUP BY 1
+    UNION ALL SELECT p.series_id, step + 1, CAST(ds + 1 AS DATE), c + phi * m + beta * CAST(CAST(ds + 1 AS DATE) IN (SELECT ds FROM flags) AS DOUBLE), spread + pow(phi, 2 * step)
+    FROM path p JOIN coef k ON k.series_id = p.series_id WHERE step < 14)""").replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT p.series_id, step, ds, round(m, 1) AS yhat,
+  round(m - 1.96 * sqrt(v * spread), 1) AS lower_ci, round(m + 1.96 * sqrt(v * spread), 1) AS upper_ci FROM path p JOIN coef k ON k.series_id = p.series_id WHERE step > 0""")
+def m5_flag(spark: SparkSession, folder: str) -> DataFrame:
+    model, factors = ARIMA((1, 0, 0)), {"holidays": ms.shifted_holidays(spark, folder)}
+    return rounded(model.forecast(model.fit(i.regions(spark, folder), factors), 14, "D", factors), 1, *BAND)
+
+
+@query("m6_seasonal_lags", i.with_sql(i.REGION, """design AS (SELECT * FROM (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY ds) AS x, lag(y, 7) OVER (PARTITION BY series_id ORDER BY ds) AS s
+    FROM region_panel) WHERE s IS NOT NULL)""", _two_regressors("x", "s"), """path AS (SELECT series_id, 0 AS step, max(ds) AS ds, list(y ORDER BY ds)[-7:] AS ys FROM region_panel GROUP BY 1
+    UNION ALL SELECT p.series_id, step + 1, CAST(ds + 1 AS DATE), list_append(ys, c + phi * ys[-1] + beta * ys[-7]) FROM path p JOIN coef k ON k.series_id = p.series_id WHERE step < 10)""").replace("WITH ", "WITH RECURSIVE ", 1)
+  + "SELECT series_id, step, ds, round(ys[-1], 3) AS yhat FROM path WHERE step > 0")
+def m6_lags(spark: SparkSession, folder: str) -> DataFrame:
+    model = SARIMAX((1, 0, 0), (1, 0, 0, 7))
+    out = model.forecast(model.fit(region_panel(spark, folder)), 10)
+    return out.select("series_id", "step", "ds", F.round("yhat", 3).alias("yhat"))
+
+
 @query("m6_seasonal_walk", i.with_sql(i.REGION, """aged AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds DESC) AS age,
     max(ds) OVER (PARTITION BY series_id) AS last_ds FROM region_panel)""") + """SELECT series_id, CAST(8 - age AS INTEGER) AS step,
   CAST(last_ds + CAST(8 - age AS INTEGER) AS DATE) AS ds, round(y, 3) AS yhat FROM aged WHERE age <= 7""")
@@ -481,6 +510,26 @@ def m6(spark: SparkSession, folder: str) -> DataFrame:
     return model.forecast(model.fit(region_panel(spark, folder)), 14)
 
 
+def _ridge_line(name: str, penalty: str, source: str) -> str:
+    """CTEs: ridge regression of ``v`` on a constant and ``t``, and the spread of its residuals."""
+    return f"""{name} AS (SELECT *, (sv * (tt + pen) - tv * st) / ((n + pen) * (tt + pen) - st * st) AS a, ((n + pen) * tv - st * sv) / ((n + pen) * (tt + pen) - st * st) AS b
+      FROM (SELECT s.*, {penalty} AS pen FROM {source})),
+    {name}_noise AS (SELECT s.series_id, greatest(stddev_pop(v - a - b * t), 1e-4) AS noise FROM scaled s JOIN {name} k ON k.series_id = s.series_id GROUP BY 1)"""
+
+
+@query("m7_trend_line", i.with_sql(i.REGION, """scaled AS (SELECT *, y / scale AS v, date_diff('day', first, ds) / span AS t FROM (SELECT *, max(abs(y)) OVER s AS scale, min(ds) OVER s AS first,
+    max(ds) OVER s AS last_ds, CAST(date_diff('day', min(ds) OVER s, max(ds) OVER s) AS DOUBLE) AS span FROM region_panel WINDOW s AS (PARTITION BY series_id)))""",
+  "sums AS (SELECT series_id, max(scale) AS scale, max(last_ds) AS last_ds, max(span) AS span, count(*) AS n, sum(t) AS st, sum(t * t) AS tt, sum(v) AS sv, sum(t * v) AS tv FROM scaled GROUP BY 1)",
+  _ridge_line("one", "0.01 / 25 + 1e-9", "sums s"), _ridge_line("two", "noise * noise / 25 + 1e-9", "sums s JOIN one_noise o ON o.series_id = s.series_id"),
+  "ahead AS (SELECT k.*, noise, CAST(unnest(range(1, 15)) AS INTEGER) AS step FROM two k JOIN two_noise o ON o.series_id = k.series_id)") + """
+  SELECT series_id, step, CAST(last_ds + step AS DATE) AS ds, round(m, 2) AS yhat, round(m - half, 2) AS lower_ci, round(m + half, 2) AS upper_ci FROM (
+    SELECT *, scale * (a + b * (span + step) / span) AS m, 1.96 * noise * scale * sqrt(1 + step / n) AS half FROM ahead)""")
+def m7_line(spark: SparkSession, folder: str) -> DataFrame:
+    """Without cycles and with trend changes priced out, the regression is a line of two ridge passes."""
+    model = AdditiveRegression(yearly_seasonality=False, weekly_seasonality=False, changepoint_prior_scale=1e-9)
+    return rounded(model.forecast(model.fit(region_panel(spark, folder)), 14), 2, *BAND)
+
+
 @query("m7_additive_regression")
 def m7(spark: SparkSession, folder: str) -> DataFrame:
     model, panel = AdditiveRegression(), i.regions(spark, folder)

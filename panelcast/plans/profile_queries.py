@@ -153,6 +153,22 @@ def v13(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("outliers_pct", F.round("outliers_pct", 8))
 
 
+UNIT_ROOT = """moves AS (SELECT *, y - x AS d FROM (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY ds) AS x, count(*) OVER (PARTITION BY series_id) AS all_rows FROM brand_panel)),
+  lagged AS (SELECT *, lag(d) OVER (PARTITION BY series_id ORDER BY ds) AS d1 FROM moves),
+  sums AS (SELECT series_id, max(all_rows) AS all_rows, count(d1) AS n, var_pop(x) * count(d1) AS xx, var_pop(d1) * count(d1) AS ll, var_pop(d) * count(d1) AS dd,
+    covar_pop(x, d1) * count(d1) AS xl, covar_pop(x, d) * count(d1) AS xd, covar_pop(d1, d) * count(d1) AS ld FROM lagged WHERE d1 IS NOT NULL GROUP BY 1),
+  solved AS (SELECT *, (xd * ll - ld * xl) / (xx * ll - xl * xl) AS b, (ld * xx - xd * xl) / (xx * ll - xl * xl) AS c FROM sums),
+  tested AS (SELECT series_id, b / sqrt((dd - b * xd - c * ld) / (n - 3) * ll / (xx * ll - xl * xl)) AS statistic,
+    -2.86154 - 2.8903 / n - 4.234 / pow(n, 2) - 40.04 / pow(n, 3) AS critical FROM solved WHERE all_rows >= 30)"""
+
+
+@query("v14_fixed_lag", i.with_sql(i.BRAND, UNIT_ROOT) + """SELECT b.series_id, round(statistic, 6) AS statistic, round(critical, 9) AS critical, CASE WHEN statistic IS NOT NULL THEN CAST(1 AS INTEGER) END AS lags,
+  coalesce(statistic < critical, true) AS stationary FROM (SELECT DISTINCT series_id FROM brand_panel) b LEFT JOIN tested t ON t.series_id = b.series_id""")
+def v14_fixed(spark: SparkSession, folder: str) -> DataFrame:
+    out = profile.stationarity(brand_panel(spark, folder).select("series_id", "ds", "y"), lags=1)
+    return out.withColumns({"statistic": F.round("statistic", 6), "critical": F.round("critical", 9)})
+
+
 @query("v14_stationarity")
 def v14(spark: SparkSession, folder: str) -> DataFrame:
     return profile.stationarity(brand_panel(spark, folder).select("series_id", "ds", "y"))
