@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.dates import period_label
 from ..functions.scalars import composite_key, ratio, rank_weight
 from ..sources.tables import cents
+from ..store import materialize
 
 ALL = "(all)"
 AGGREGATES = {"sum": F.sum, "mean": F.avg}
@@ -81,25 +82,34 @@ def hierarchy_rollup(
 # 1/ACCURACY of the rows, so a bracket of +-SLACK is sure to hold the exact value.
 ACCURACY = 10_000
 SLACK = 0.001
+HOT = 1000
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact median per key that never gathers all values of a key in one task.
 
     A mergeable sketch brackets the median; everything below and above the bracket
-    is counted on the map side, and only the values inside are put in order.
+    is counted on the map side, and only the values inside are put in order. Rows meet the brackets
+    of keys with more than one in ``HOT`` of all rows, fewer than ``HOT`` of them, by a broadcast; no other
+    key is large enough to burden a task of a shuffled join.
     """
+    if not keys:
+        return exact_median(df.withColumn("__all", F.lit(0)), ["__all"], value).drop("__all")
     known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
     bracket = known.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.percentile_approx("v", [0.5 - SLACK, 0.5 + SLACK], ACCURACY).alias("edge"),
     )
-    renamed = bracket.select(*[F.col(k).alias(f"__{k}") for k in keys], "n", "edge")
+    renamed = materialize(bracket.select(*[F.col(k).alias(f"__{k}") for k in keys], "n", "edge"))
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    total = renamed.agg(F.sum("n")).first()[0] or 0
+    hot, rest = (renamed.filter(c) for c in (F.col("n") * HOT > total, F.col("n") * HOT <= total))
+    large = F.broadcast(hot)
+    bracketed = known.join(large, on).unionByName(known.join(large, on, "left_anti").join(rest, on))
     low, high = F.col("edge")[0], F.col("edge")[1]
     side = F.when(F.col("v") < low, -1).when(F.col("v") > high, 1).otherwise(0)
     counts = (
-        known.join(renamed, on)
+        bracketed
         .withColumn("side", side)
         .groupBy(*keys, "n", "side", F.when(F.col("side") == 0, F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("copies"))

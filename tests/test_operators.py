@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.functions import dates, scalars as sc
-from panelcast.operators import decompose, enrich, events, grid, profile, ranking, rollup
+from panelcast.operators import decompose, enrich, events, grid, lagstats, profile, ranking, rollup
 
 
 def test_clamp_keeps_null(spark):
@@ -60,7 +60,10 @@ def test_rolling_excludes_the_current_row(panel_of):
     assert [r["rolling_std_2"] for r in rows][:2] == [0.0, 0.0]
 
 
-def test_exact_median_equals_brute_force_with_a_hot_key(spark):
+@pytest.mark.parametrize("hot", [1000, 2, 1])
+def test_exact_median_equals_brute_force_with_a_hot_key(spark, monkeypatch, hot):
+    """With all keys broadcast, the hot one only, and none."""
+    monkeypatch.setattr(rollup, "HOT", hot)
     rng = random.Random(1)
     data = [("hot", round(rng.gauss(0, 100), 1)) for _ in range(20000)] + [("few", 1.0), ("few", 4.0), ("one", 2.0)]
     data += [(f"k{i % 50}", float(i % 7)) for i in range(1000)]
@@ -72,6 +75,26 @@ def test_exact_median_equals_brute_force_with_a_hot_key(spark):
     assert got == pytest.approx({k: statistics.median(v) for k, v in values.items()})
 
 
+def test_lag_moments_give_every_product(spark):
+    values = np.random.default_rng(4).normal(size=40)
+    row = spark.createDataFrame([(values.tolist(), [1.0, 0.0, -1.0])], "v array<double>, w array<double>").select(
+        lagstats.lag_moments(F.col("v"), F.lit(5)).alias("m"), lagstats.filtered(F.col("v"), F.col("w")).alias("d")).first()
+    design = np.column_stack([values[5 - k : 40 - k] for k in range(6)])
+    assert lagstats.lag_gram(row["m"]) == pytest.approx(design.T @ design)
+    assert row["m"]["sums"] == pytest.approx(design.sum(axis=0)) and row["m"]["rows"] == 35
+    assert row["d"] == pytest.approx(values[2:] - values[:-2])
+
+
+def test_lagged_correlation_skips_gaps(spark, panel_of):
+    y = [float(i % 5) + i / 10 for i in range(40)]
+    x = [None if i in (3, 17) else float((i * 7) % 11) for i in range(40)]
+    factor = spark.createDataFrame([(dt.date(2023, 1, 2) + dt.timedelta(days=i), v) for i, v in enumerate(x)], "ds date, x double")
+    got = {r["lag"]: r["r"] for r in events.lagged_factor_correlation(panel_of({"a": y}), factor, 4).collect()}
+    for lag in range(4):
+        pairs = [(y[i], x[i - lag]) for i in range(lag, 40) if x[i - lag] is not None]
+        assert got[lag] == pytest.approx(np.corrcoef(*zip(*pairs))[0, 1])
+
+
 def test_histogram_keeps_empty_bins_and_flat_series(panel_of):
     out = rollup.histogram(panel_of({"a": [0, 0, 10], "flat": [5, 5]}), 5)
     a = {r["bin"]: r["count"] for r in out.filter("series_id = 'a'").collect()}
