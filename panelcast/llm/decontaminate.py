@@ -7,8 +7,9 @@ block. A candidate is confirmed by comparing all of its words.
 
 Texts are lower-cased in A-Z; a word is a run of ASCII letters, digits and characters
 beyond ASCII. Defined results: a null or wordless text has no words and no hits; a null or
-wordless item has no windows; items that share a window are all reported; repeated rows are
-reported once per row; other columns of the inputs are ignored.
+wordless item has no windows; an item without id counts for hits, but is in no list of items;
+items that share a window are all reported; repeated rows are reported once per row; other
+columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -94,20 +95,21 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _passes(benchmark: DataFrame, window: int, limit: int) -> Iterator[dict[int, dict[tuple, list[str]]]]:
-    """The windows by length, in parts of at most ``limit`` windows; items come one by one."""
+    """The windows by length, in parts of at most ``limit`` windows; items come one by one, and a
+    long one may go on in the next part."""
     part: dict[int, dict[tuple, list[str]]] = {}
     size = 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").toLocalIterator():
         words = words_of(row["text"])
         length = min(window, len(words))
         for start in range(len(words) - length + 1 if length else 0):
             names = part.setdefault(length, {}).setdefault(tuple(words[start : start + length]), [])
-            if row["item_id"] not in names:
+            if row["item_id"] is not None and row["item_id"] not in names:
                 names.append(row["item_id"])
             size += 1
-        if size >= limit:
-            yield part
-            part, size = {}, 0
+            if size >= limit:
+                yield part
+                part, size = {}, 0
     yield part
 
 

@@ -89,7 +89,7 @@ def brute_hits(text, items):
             for p in range(len(words) - size + 1):
                 if words[p : p + size] == w[k : k + size]:
                     hit.update(range(p, p + size))
-                    found.add(str(name))
+                    found.update([] if name is None else [str(name)])
     return len(words), len(hit), len(found), decontaminate.sha_of(list(found)), bool(hit)
 
 
@@ -99,11 +99,10 @@ def test_decontamination_matches_brute_force(spark, documents_of, prose, odd_tex
     items = [(1, item), (2, "Short, item!"), (3, None), (4, "--"), (10, item), (11, "one"), (None, "null item here")]
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     w = item.split()
-    texts = [f"{prose(7)} {' '.join(w[4:17])} {prose(8)}", " ".join(w[:9]), "A short ITEM; and short item", " ".join(w[:10] + w[3:14]), *odd_texts]
+    texts = [f"{prose(7)} {' '.join(w[4:17])} {prose(8)}", " ".join(w[:9]), "A short ITEM; and short item", "See: null item, null item here.", " ".join(w[:10] + w[3:14]), *odd_texts]
     got = decontaminate.digest(decontaminate.find_passages(documents_of(texts), benchmark, per_pass=per_pass)).collect()
-    named = [(i, t) for i, t in items if i is not None]
-    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == {i: brute_hits(t, named) for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == {i: brute_hits(t, items) for i, t in enumerate(texts)}
     kept = decontaminate.keep_clean(documents_of(texts), benchmark, per_pass=per_pass)
-    assert {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(texts) if not brute_hits(t, named)[1]}
+    assert {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(texts) if not brute_hits(t, items)[1]}
     nothing = decontaminate.find_passages(documents_of(texts), benchmark.where("false"))
     assert nothing.where("size(hits) > 0").count() == 0
