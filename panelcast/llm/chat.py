@@ -88,11 +88,12 @@ def _prefixed(keys: Column, prefix: str) -> Column:
 
 
 def record_fingerprint(record: Column) -> Column:
-    """The fingerprint of a JSON record, from its keys and the keys of its arrays' items."""
+    """The fingerprint of a JSON record, from its keys and the keys of any of its arrays' items."""
     keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
     for name in ARRAYS:
-        inner = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>"))
-        keys = F.concat(keys, _prefixed(inner, f"{name}[]."))
+        items = F.coalesce(F.from_json(F.get_json_object(record, f"$.{name}"), "array<string>"), F.array().cast("array<string>"))
+        inner = F.flatten(F.transform(items, lambda item: F.coalesce(F.json_object_keys(item), F.array().cast("array<string>"))))
+        keys = F.concat(keys, _prefixed(F.array_distinct(inner), f"{name}[]."))
     known = F.array_intersect(keys, F.array(*map(F.lit, KNOWN)))
     return F.sha2(F.array_join(F.array_sort(known), "\n"), 256)
 
@@ -137,31 +138,40 @@ def turns_of_records(rows: DataFrame, record: str = "record", conv_id: str = "co
 
     A record of unknown layout gives one row with null layout and turn.
     """
+    return _record_rows(rows, record, conv_id).drop("record")
+
+
+def _record_rows(rows: DataFrame, record: str, conv_id: str) -> DataFrame:
     table = _layouts()
     found = rows.select(F.col(conv_id).alias("conv_id"), F.col(record).alias("record")).withColumn("layout", table[record_fingerprint(F.col("record"))])
     turns = F.lit(None).cast("array<struct<role: string, text: string>>")
     for mapping in MAPPINGS:
         turns = F.when(F.col("layout") == mapping.name, _record_turns(mapping, F.col("record"))).otherwise(turns)
-    out = found.select("conv_id", "layout", F.posexplode_outer(turns).alias("turn", "item"))
+    out = found.select("conv_id", "layout", "record", F.posexplode_outer(turns).alias("turn", "item"))
     other = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
     role = F.lower(F.trim(F.col("item.role")))
-    return out.select("conv_id", "layout", F.col("turn").cast("long").alias("turn"), F.coalesce(other[role], role).alias("role"), F.col("item.text").alias("text"))
+    return out.select("conv_id", "layout", "record", F.col("turn").cast("long").alias("turn"), F.coalesce(other[role], role).alias("role"), F.col("item.text").alias("text"))
 
 
 def canonical_turns(rows: DataFrame) -> DataFrame:
     """``conv_id, turn, role, text`` of a table, by the fingerprint of its schema.
 
     A table of one turn per row keeps its roles as they are; any other layout goes through its
-    records. Columns that no mapping knows are ignored.
+    records. Columns that no mapping knows are ignored. A record of unknown layout, or without any
+    turn, is kept as one turn of role ``unknown`` whose text is the record as JSON.
     """
     paths = field_paths(rows.schema)
     if fingerprint([p for p in paths if p in ROW_LAYOUT]) == fingerprint(list(ROW_LAYOUT)):
         return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    tops = [c for c in rows.columns if c in {p.partition("[")[0].partition(".")[0] for p in KNOWN}]
+    tops = [c for c in rows.columns if c in {p.partition("[")[0].partition(".")[0] for p in KNOWN}] or [c for c in rows.columns if c != "conv_id"]
     # A table of several layouts leaves the fields of the others null; a null field of the only layout belongs to it.
     short, full = F.to_json(F.struct(*tops)), F.to_json(F.struct(*tops), {"ignoreNullFields": "false"})
     records = rows.select("conv_id", F.when(_layouts()[record_fingerprint(short)].isNotNull(), short).otherwise(full).alias("record"))
-    return turns_of_records(records).where("turn is not null").drop("layout")
+    found, lost = _record_rows(records, "record", "conv_id"), F.col("turn").isNull()
+    return found.select(
+        "conv_id", F.coalesce("turn", F.lit(0).cast("long")).alias("turn"), F.when(lost, "unknown").otherwise(F.col("role")).alias("role"),
+        F.when(lost, F.col("record")).otherwise(F.col("text")).alias("text"),
+    )
 
 
 def escape(text: Column, pairs: list[tuple[str, str]] = ESCAPES) -> Column:

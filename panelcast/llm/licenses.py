@@ -9,7 +9,8 @@ own take that of the nearest directory above them.
 
 Defined results: null and empty texts have no notices; equal cosines go to the licence that
 sorts first; of several licence files in a directory the best match counts, then the name;
-rows with equal paths are one file; a null path is a file without directory; an empty table
+rows with equal paths are one file; rows without path are files without directory, one per
+text; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -147,18 +148,22 @@ def nearest_licenses(folders: DataFrame, licensed: DataFrame) -> DataFrame:
     return best.select("folder", F.col("best.at").alias("from_folder"), F.col("best.license").alias("near_license"), F.col("best.score").alias("near_score"))
 
 
+UNNAMED = "\0unnamed:"  # stands for a null path, with the text's hash: such files have no directory
+
+
 def scan_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
     """``path, license, score, origin, from_folder`` of every file; origin is own, inherited or none."""
-    files = files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    unnamed = F.concat(F.lit(UNNAMED), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    files = files.select(F.coalesce(F.col("path").cast("string"), unnamed).alias("path"), F.col("text").cast("string").alias("text"))
     own = save(own_licenses(files, least))
     licensed = own.where(_is_license_file()).groupBy(_folder().alias("folder")).agg(F.min(F.struct((-F.col("score")).alias("order"), _name().alias("name"), "license")).alias("best"))
     licensed = licensed.select("folder", F.col("best.license").alias("license"), (-F.col("best.order")).alias("score"))
-    paths = files.select("path").distinct().withColumn("folder", _folder())
+    paths = files.select("path").distinct().withColumn("folder", F.when(~F.col("path").startswith(UNNAMED), _folder()))
     near = nearest_licenses(paths.where("folder is not null").select("folder").distinct(), licensed)
     both = paths.join(own, "path", "left").join(near, "folder", "left")
     mine = F.col("license").isNotNull()
     return both.select(
-        "path", F.coalesce("license", "near_license").alias("license"), F.coalesce("score", "near_score").alias("score"),
+        F.when(~F.col("path").startswith(UNNAMED), F.col("path")).alias("path"), F.coalesce("license", "near_license").alias("license"), F.coalesce("score", "near_score").alias("score"),
         F.when(mine, "own").when(F.col("near_license").isNotNull(), "inherited").otherwise("none").alias("origin"),
         F.when(~mine, F.col("from_folder")).alias("from_folder"),
     )

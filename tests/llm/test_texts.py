@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import math
 import re
 from collections import Counter
@@ -101,6 +102,7 @@ def test_licenses_match_brute_force(spark):
     ]
     frame = spark.createDataFrame([(p, t, "x") for p, t in files], "path string, text string, license string")
     got = {r.path: (r.license, r.origin, r.from_folder) for r in licenses.scan_licenses(frame).collect()}
+    assert got[None] == ("MIT", "own", None)
     assert got["r/LICENSE"] == ("MIT", "own", None) and got["r/b/own.py"] == ("MIT", "own", None)
     assert got["r/a/x.py"] == ("MIT", "inherited", "r") and got["r/e.py"] == ("MIT", "inherited", "r")
     assert got["r/b/c/y.py"] == ("Apache-2.0", "inherited", "r/b")
@@ -148,6 +150,16 @@ def test_fingerprints_select_mappings(spark):
     assert [(r.role, r.text) for r in chat.canonical_turns(typed).collect()] == [("user", "q")]
 
 
+def test_unknown_records_stay(spark):
+    rows = spark.createDataFrame([(1, "hi", "there"), (2, None, "x")], "conv_id long, dialog string, reply string")
+    got = {r.conv_id: (r.turn, r.role, json.loads(r.text)) for r in chat.canonical_turns(rows).collect()}
+    assert got == {1: (0, "unknown", {"dialog": "hi", "reply": "there"}), 2: (0, "unknown", {"dialog": None, "reply": "x"})}
+    empty = spark.createDataFrame([(3, [])], "conv_id long, messages array<struct<role: string, content: string>>")
+    assert [(r.conv_id, r.role) for r in chat.canonical_turns(empty).collect()] == [(3, "unknown")]
+    mixed = spark.createDataFrame([(4, '{"messages":[{"role":"assistant"},{"role":"user","content":"hi"}]}')], "conv_id long, record string")
+    assert [(r.role, r.text) for r in chat.turns_of_records(mixed).orderBy("turn").collect()] == [("assistant", None), ("user", "hi")]
+
+
 def test_null_fields_and_context_records_keep_their_turns(spark):
     typed = spark.createDataFrame([(1, [("user", None), ("assistant", "a")])], "conv_id long, messages array<struct<role: string, content: string>>")
     assert [(r.turn, r.role, r.text) for r in chat.canonical_turns(typed).orderBy("turn").collect()] == [(0, "user", None), (1, "assistant", "a")]
