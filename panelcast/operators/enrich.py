@@ -78,8 +78,7 @@ def wide_factors(factors: dict[str, DataFrame]) -> DataFrame:
     for kind, df in factors.items():
         wanted, how = FACTOR_SPECS[kind]
         text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-        for name in text:
-            df = one_hot(df, name)
+        df = one_hot(df, text)
         numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
         dummies = [n for n in numbers if any(n.startswith(f"{t}_") for t in text)]
         used = [n for n in numbers if wanted is None or n in wanted or n in dummies]

@@ -198,26 +198,43 @@ def apply_scaler(
 
 
 MAX_CATEGORIES = 1000
+OTHER = "(other)"
 
 
-def one_hot(df: DataFrame, column: str, prefix: str | None = None) -> DataFrame:
-    """0/1 columns ``<column>_<value>``; a column with one value adds nothing.
+def category_values(df: DataFrame, columns: Sequence[str], most: int = MAX_CATEGORIES) -> dict[str, list[str | None]]:
+    """The ``most`` most frequent values of each column, sorted, and one more where there are others.
 
-    The values become column names, so their number has to be small: more than
-    ``MAX_CATEGORIES`` of them is an error.
+    All columns are counted in one pass; what comes to the driver is bounded by ``most`` per column.
     """
-    found = df.select(F.col(column).cast("string")).distinct().limit(MAX_CATEGORIES + 1).collect()
-    values = sorted((r[0] for r in found), key=lambda v: (v is None, v))
-    if len(values) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} values")
-    if len(values) < 2:
-        return df
-    return df.withColumns(
-        {
-            f"{prefix or column}_{v}": F.col(column).cast("string").eqNullSafe(F.lit(v)).cast("double")
-            for v in values
-        }
-    )
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])
+    counted = df.select(F.explode(cells).alias("cell")).groupBy("cell.name", "cell.v").agg(F.count(F.lit(1)).alias("copies"))
+    order = Window.partitionBy("name").orderBy(F.desc("copies"), F.asc_nulls_last("v"))
+    found: dict[str, list[tuple[int, str | None]]] = {c: [] for c in columns}
+    for row in counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most + 1).collect():
+        found[row["name"]].append((row["place"], row["v"]))
+    return {c: sorted((v for place, v in rows if place <= most), key=lambda v: (v is None, v)) + [OTHER] * (len(rows) > most) for c, rows in found.items()}
+
+
+def one_hot(df: DataFrame, column: str | Sequence[str], prefix: str | None = None) -> DataFrame:
+    """0/1 columns ``<column>_<value>`` of one or several columns; a column with one value adds nothing.
+
+    Values become column names. Beyond the ``MAX_CATEGORIES`` most frequent ones, the others of a
+    column share ``<column>_(other)``.
+    """
+    columns = [column] if isinstance(column, str) else list(column)
+    added = {}
+    for name, values in category_values(df, columns, MAX_CATEGORIES).items() if columns else ():
+        text, start = F.col(f"`{name}`").cast("string"), prefix or name
+        more = values[-1:] == [OTHER] and len(values) > MAX_CATEGORIES
+        listed = values[:-1] if more else values
+        if len(values) < 2:
+            continue
+        added |= {f"{start}_{v}": text.eqNullSafe(F.lit(v)).cast("double") for v in listed}
+        if more:
+            known = text.isin([v for v in listed if v is not None])
+            rest = ~F.coalesce(known, F.lit(None in listed))
+            added[f"{start}_{OTHER}"] = rest.cast("double")
+    return df.withColumns(added) if added else df
 
 
 def complete_rows(df: DataFrame, keep: Sequence[str] = ("series_id", "ds", "y")) -> DataFrame:

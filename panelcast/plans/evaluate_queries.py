@@ -354,13 +354,19 @@ def x17_best(spark: SparkSession, folder: str) -> DataFrame:
     return round_metrics(with_stored(spark, root, stored, metrics))
 
 
-@query("x18_save_model", """SELECT DISTINCT r_name AS series_id, 'm1' AS model_id, CAST(64 AS INTEGER) AS hash_length, max(CAST(o_orderdate AS DATE)) AS last_ds
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+@query("x18_save_model", i.with_sql(i.REGION, *ms.wma("region_panel", 1)) + """SELECT f.series_id, 'm1' AS model_id, CAST(64 AS INTEGER) AS hash_length, true AS intact, last_ds, f.n,
+  round(mean, 4) AS mean, round(wma, 4) AS wma, round(factor, 8) AS monday FROM wma_fit f JOIN wma_dow d ON d.series_id = f.series_id AND d.dow = 0""")
 def x18(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored parameters as they are read back from their JSON text, and its hash."""
     root = store.scratch_path(spark, "models")
     store.save_model(WMA().fit(region_panel(spark, folder)), root, "wma", "Regions", model_id="m1", tags=["daily"], notes="all regions")
     rows = spark.read.parquet(f"{root}/parameters")
-    return rows.select("series_id", "model_id", F.length("sha256").alias("hash_length"), F.get_json_object("params", "$.last_ds").cast("date").alias("last_ds"))
+    stored = {name: F.get_json_object("params", f"$.{path}") for name, path in (("last_ds", "last_ds"), ("n", "n"), ("mean", "mean"), ("wma", "wma"), ("monday", "factors[0]"))}
+    return rows.select(
+        "series_id", "model_id", F.length("sha256").alias("hash_length"), (F.sha2("params", 256) == F.col("sha256")).alias("intact"),
+        stored["last_ds"].cast("date").alias("last_ds"), stored["n"].cast("long").alias("n"),
+        F.round(stored["mean"].cast("double"), 4).alias("mean"), F.round(stored["wma"].cast("double"), 4).alias("wma"), F.round(stored["monday"].cast("double"), 8).alias("monday"),
+    )
 
 
 @query("x19_forecast_saved_model", i.with_sql(i.REGION, *ms.wma("region_panel", 7)) + """SELECT series_id, step, ds, round(yhat, 4) AS yhat FROM wma_forecast""")

@@ -75,6 +75,14 @@ def test_exact_median_equals_brute_force_with_a_hot_key(spark, monkeypatch, hot)
     assert got == pytest.approx({k: statistics.median(v) for k, v in values.items()})
 
 
+def test_rare_categories_share_a_column(spark, monkeypatch):
+    monkeypatch.setattr(grid, "MAX_CATEGORIES", 2)
+    rows = [("a", "x"), ("a", "x"), ("b", "x"), ("b", "x"), ("c", "x"), (None, "x")]
+    out = grid.one_hot(spark.createDataFrame(rows, "kind string, same string"), ["kind", "same"])
+    assert out.columns == ["kind", "same", "kind_a", "kind_b", "kind_(other)"]
+    assert sorted(map(str, {tuple(r)[2:] for r in out.collect()})) == ["(0.0, 0.0, 1.0)", "(0.0, 1.0, 0.0)", "(1.0, 0.0, 0.0)"]
+
+
 def test_lag_moments_give_every_product(spark):
     values = np.random.default_rng(4).normal(size=40)
     row = spark.createDataFrame([(values.tolist(), [1.0, 0.0, -1.0])], "v array<double>, w array<double>").select(
