@@ -180,7 +180,7 @@ def cut_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
         def rows():
             for batch in batches:
                 names = batch.column("doc_id").to_pylist()
-                for doc_id, ids in zip(names, encoder(tokenizer).encode(t.as_py() for t in batch.column("text")), strict=True):
+                for doc_id, ids in zip(names, encoder(tokenizer).encode_column(batch.column("text")), strict=True):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, capacity):

@@ -176,7 +176,7 @@ def write_documents(documents: DataFrame, folder: str | None = None, tokenizer:
                 stream = files.open_output_stream(path, compression=None)
                 writer = FileWriter(stream)
             names = batch.column("doc_id").to_pylist()
-            for doc_id, ids in zip(names, encoder(tokenizer).encode(t.as_py() for t in batch.column("text")), strict=True):
+            for doc_id, ids in zip(names, encoder(tokenizer).encode_column(batch.column("text")), strict=True):
                 writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()

@@ -1,22 +1,25 @@
 """Token ids by a public tokenizer file, encoded once per distinct word.
 
 The vocabulary drops white space, so a text's ids are the ids of its words in turn. Words are
-kept in a bounded dictionary per Python worker; new ones go to the tokenizers library. A new
-word is first looked up without its trailing punctuation, which the tokenizer always splits
-off after a letter, and in lower case, as the tokenizer lower-cases. One text may outgrow the
-dictionary by its own distinct words.
+looked up in lower case, as the tokenizer lower-cases, and without their trailing punctuation,
+which it always splits off after a letter. These stems are kept in a bounded dictionary per Python
+worker; new ones go to the tokenizers library. One batch may outgrow the dictionary by its own
+distinct stems.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Most words kept per worker, in either dictionary; beyond it the dictionary starts anew.
+#: Most stems kept per worker; beyond it the dictionary starts anew.
 KEPT_WORDS = 300_000
 ID = "<u4"
-_TAIL = b",.!?;:&%$#*"
+_TAIL = ",.!?;:&%$#*"
 
 _open: dict[str, WordEncoder] = {}
 
@@ -45,50 +48,67 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.kept = kept
         self.characters = _byte_characters()
-        self.words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes]:
-        """Stem and trailing punctuation, where the tokenizer surely splits; else the word itself."""
-        if b"<|" in word:  # may hold the name of a special token
-            return word, b""
-        word = word.lower()
-        stem = word.rstrip(_TAIL)
-        if stem and len(stem) < len(word) and stem.decode()[-1].isalpha():
-            return stem, word[len(stem) :]
-        return word, b""
-
-    def _learned(self, word: bytes) -> bytes:
-        ids = b""
-        for part in self._parts(word):
-            if part and part not in self.stems:
-                self.stems[part] = self._stem(part)
-            ids += self.stems[part] if part else b""
-        self.words[word] = ids
-        return ids
-
-    def _stem(self, stem: bytes) -> bytes:
+    def _ids(self, stem: bytes) -> bytes:
         text = stem.decode()
-        if text.isalpha() and max(text) < "\u0250" and text.lower() == text:
+        if text.isalpha() and text.lower() == text and (text.isascii() or max(text) < "\u0250"):
             ids = [token.id for token in self.model.tokenize(stem.decode("latin-1").translate(self.characters))]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype=ID).tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null has none."""
         for text in texts:
-            if len(self.words) > self.kept:
-                self.words.clear()
-            if len(self.stems) > self.kept:
-                self.stems.clear()
-            words = [] if text is None else text.encode().split()
-            found = list(map(self.words.get, words))
-            try:
-                yield b"".join(found)
-            except TypeError:  # some words are new
-                yield b"".join([self.words.get(w) or self._learned(w) if ids is None else ids for w, ids in zip(words, found, strict=True)])
+            yield from self.encode_column(pa.array([text], pa.string()))
+
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """``encode`` for a whole column.
+
+        Arrow splits and numbers the words, takes distinct ones apart and puts the ids of all of them
+        together; only distinct stems are Python objects.
+        """
+        if len(self.stems) > self.kept:
+            self.stems.clear()
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        ends = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        words = split.flatten().dictionary_encode()
+        stems, tails = (part.dictionary_encode() for part in _parts(words.dictionary))
+        known, pieces = self.stems, []
+        for part in (stems, tails):
+            for piece in part.dictionary.cast(pa.binary()).to_pylist():
+                ids = known.get(piece)
+                if ids is None:
+                    ids = known[piece] = self._ids(piece) if piece else b""
+                pieces.append(ids)
+        order = np.empty((len(words), 2), dtype=np.int32)
+        at = words.indices.to_numpy()
+        order[:, 0] = stems.indices.to_numpy()[at]
+        order[:, 1] = tails.indices.to_numpy()[at] + len(stems.dictionary)
+        joined = pa.array(pieces, pa.large_binary()).take(pa.array(order.ravel()))
+        place = np.frombuffer(joined.buffers()[1], dtype=np.int64)[2 * ends] if len(words) else np.zeros(len(ends), dtype=np.int64)
+        data = memoryview(joined.buffers()[2] or b"")
+        for i in range(len(texts)):
+            yield bytes(data[place[i] : place[i + 1]])
+
+
+def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Stems and trailing punctuation, where the tokenizer surely splits; else the words and nothing."""
+    lower = pc.ascii_lower(words)
+    stem = pc.ascii_rtrim(lower, _TAIL)
+    last = pc.utf8_slice_codeunits(stem, -1).dictionary_encode()
+    letter = pa.array([c.isalpha() for c in last.dictionary.to_pylist()], pa.bool_()).take(last.indices)
+    special = pc.match_substring(words, "<|")  # may hold the name of a special token
+    cut = pc.and_(letter, pc.invert(special))
+    size = pc.binary_length(stem)
+    whole = pc.if_else(special, words, lower)
+    # the last characters of a word that the stem lacks; few words have any
+    ended = pc.and_(cut, pc.less(size, pc.binary_length(lower)))
+    some = np.flatnonzero(ended.to_numpy(zero_copy_only=False))
+    tails = np.full(len(words), "", dtype=object)
+    tails[some] = [w[n:].decode() for w, n in zip(lower.take(some).cast(pa.binary()).to_pylist(), size.take(some).to_pylist(), strict=True)]
+    return pc.if_else(cut, stem, whole), pa.array(tails, pa.string())
 
 
 def encoder(path: str) -> WordEncoder:

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -24,6 +25,9 @@ def test_words_give_the_ids_of_whole_texts(odd_texts, prose):
     texts = [*odd_texts, *TRICKY, *(prose(i) for i in range(5))]
     for text, ids in zip(texts, coder.encode(texts), strict=True):
         assert ids == ids_of(text, 0)[:-1].tobytes()
+    column = pa.array(["skipped", *texts, None, "  edge\x0b\x0c words\r\n"]).slice(1)
+    assert list(coder.encode_column(column)) == [ids_of(t, 0)[:-1].tobytes() for t in column.to_pylist()]
+    assert list(coder.encode_column(column.slice(0, 0))) == []
 
 
 def test_token_files_round_trip(spark, documents_of, odd_texts):
