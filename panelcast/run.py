@@ -74,8 +74,8 @@ def run_forecast(panel: DataFrame, request: ForecastRequest, factors: Factors |
     """Tables of a run: history, cv, forecast, backtest, metrics, ranking, ensemble, summary ...
 
     The panel holds one row per series and period; categories, regions or products are
-    series, so a per-category run is the same call on a finer panel. Panel, factors and
-    fold metrics are used many times, so they are written to the shared checkpoint folder
+    series, so a per-category run is the same call on a finer panel. Panel, factors, fold
+    metrics, backtests and forecasts are used many times, so they are written to the shared checkpoint folder
     once: a lost executor never sends the run back to the source.
     """
     panel = materialize(panel.select("series_id", "ds", "y"))
@@ -124,14 +124,14 @@ def run_forecast(panel: DataFrame, request: ForecastRequest, factors: Factors |
     if learned:
         tests = ev.error_metrics(ev.holdout(panel, learned, request.train_ratio, freq, factors or None, settings=settings), ["series_id", "model"])
         out["test"] = ev.graded(tests)
-    backtests = ev.backtest(panel, list(models.values()), request.backtest_overlap, freq, factors or None, settings=settings)
+    backtests = materialize(ev.backtest(panel, list(models.values()), request.backtest_overlap, freq, factors or None, settings=settings))
     out["backtest"] = backtests
     out["backtest_metrics"] = ev.graded(ev.error_metrics(backtests, ["series_id", "model"]))
 
     fitted = {name: fit_with(model, panel, factors or None, settings[name]) for name, model in models.items()}
-    forecast = union_all([
+    forecast = materialize(union_all([
         with_baseline(model, fitted[name], horizon, freq, factors or None).withColumn("model", F.lit(name)) for name, model in models.items()
-    ])
+    ]))
     out["forecast"] = forecast
     out["ranking"] = rank_models(out["cv"].select("series_id", "model", "mae", "rmse", "mape"))
     if tests is not None:
