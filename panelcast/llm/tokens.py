@@ -16,10 +16,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 #: Most stems kept per worker; beyond it the dictionary starts anew.
 KEPT_WORDS = 300_000
 ID = "<u4"
 _TAIL = ",.!?;:&%$#*"
+_SPACE = frozenset(b" \t\n\x0b\x0c\r")
+RUN = 2 << 20  # bytes of text that are encoded at once
 
 _open: dict[str, WordEncoder] = {}
 
@@ -64,11 +68,23 @@ class WordEncoder:
             yield from self.encode_column(pa.array([text], pa.string()))
 
     def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
-        """``encode`` for a whole column.
-
-        Arrow splits and numbers the words, takes distinct ones apart and puts the ids of all of them
-        together; only distinct stems are Python objects.
-        """
+        """``encode`` for a whole column, which is taken in runs of at most ``RUN`` bytes; a longer text is
+        cut at white space, so that what stands beside the ids doesn't grow with it."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(texts):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + RUN, "right")))
+            if last == first + 1 and ends[first] - before > RUN:
+                yield b"".join(i for piece in _cut(texts[first]) for i in self._encode(pa.array([piece], pa.string())))
+            else:
+                yield from self._encode(texts.slice(first, last - first))
+            first = last
+            give_back()
+
+    def _encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Arrow splits and numbers the words, takes distinct ones apart and puts the ids of all of them
+        together; only distinct stems are Python objects."""
         if len(self.stems) > self.kept:
             self.stems.clear()
         split = pc.ascii_split_whitespace(texts.fill_null(""))
@@ -93,6 +109,18 @@ class WordEncoder:
             yield bytes(data[place[i] : place[i + 1]])
 
 
+def _cut(text: pa.Scalar) -> Iterator[pa.Scalar]:
+    """A text in pieces of about ``RUN`` bytes that begin and end at white space."""
+    data = memoryview(text.as_buffer())
+    at = 0
+    while at < len(data):
+        end = min(at + RUN, len(data))
+        while end < len(data) and data[end] not in _SPACE:
+            end += 1
+        yield bytes(data[at:end]).decode()
+        at = end
+
+
 def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
     """Stems and trailing punctuation, where the tokenizer surely splits; else the words and nothing."""
     lower = pc.ascii_lower(words)

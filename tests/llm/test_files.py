@@ -20,7 +20,7 @@ def ids_of(text, end):
     return np.array([*TOKENIZER.encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
 
 
-def test_words_give_the_ids_of_whole_texts(odd_texts, prose):
+def test_words_give_the_ids_of_whole_texts(odd_texts, prose, monkeypatch):
     coder = tokens.WordEncoder(tokens.default_tokenizer(), kept=50)
     texts = [*odd_texts, *TRICKY, *(prose(i) for i in range(5))]
     for text, ids in zip(texts, coder.encode(texts), strict=True):
@@ -28,6 +28,8 @@ def test_words_give_the_ids_of_whole_texts(odd_texts, prose):
     column = pa.array(["skipped", *texts, None, "  edge\x0b\x0c words\r\n"]).slice(1)
     assert list(coder.encode_column(column)) == [ids_of(t, 0)[:-1].tobytes() for t in column.to_pylist()]
     assert list(coder.encode_column(column.slice(0, 0))) == []
+    monkeypatch.setattr(tokens, "RUN", 30)
+    assert list(coder.encode_column(column)) == [ids_of(t, 0)[:-1].tobytes() for t in column.to_pylist()]
 
 
 def test_token_files_round_trip(spark, documents_of, odd_texts):
