@@ -44,7 +44,6 @@ PER_GROUP = 256
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-_hashes: dict[bytes, int] = {}
 
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cells", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 _POSTING = pa.schema([("shingle", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
@@ -57,22 +56,47 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _byte_hashes(keys: np.ndarray) -> np.ndarray:
+    return _mixed((keys.astype(np.uint64) + np.uint64(1)) * _FACTORS[0])
+
+
+_SOLID = np.ones(256, dtype=bool)
+_SOLID[[0x20, *range(0x09, 0x0E)]] = False
+#: Bytes of a word whose hashes are looked up; longer words have theirs computed.
+PLACES = 64
+_TABLE = _byte_hashes(np.arange(PLACES * 256))
+#: Bytes of words that are hashed at a time, which bounds the memory that a long text takes.
+RUN = 1 << 20
+
+
+def word_codes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words, in order: the sum of a hash of each byte and its place in the word."""
+    data = np.frombuffer(b" %b " % text, dtype=np.uint8)
+    solid = _SOLID[data]
+    edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    begins, ends = edges[::2], edges[1::2]
+    codes = np.empty(len(begins), dtype=np.uint64)
+    if not len(begins):
+        return codes
+    lengths = ends - begins
+    first = np.cumsum(lengths) - lengths
+    runs = [0, len(first)] if first[-1] < RUN else np.unique([*np.searchsorted(first, np.arange(0, first[-1] + 1, RUN)), len(first)])
+    for low, high in zip(runs[:-1], runs[1:], strict=True):
+        size, at, part = lengths[low:high], first[low:high] - first[low], slice(begins[low], ends[high - 1])
+        keys = np.arange(size.sum()) - np.repeat(at, size)
+        keys *= 256
+        keys += data[part][solid[part]]
+        codes[low:high] = np.add.reduceat(_TABLE[keys] if size.max() <= PLACES else _byte_hashes(keys), at)
+    return codes
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
-    import xxhash
-
-    words = [] if text is None else text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    if len(_hashes) > 400_000:  # bounds the worker's memory
-        _hashes.clear()
-    known = _hashes
-    for word in words:
-        if word not in known:
-            known[word] = xxhash.xxh3_64_intdigest(word)
-    codes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(WORDS, len(words))
-    total = np.full(len(words) - width + 1, width, dtype=np.uint64)
+    codes = word_codes(b"" if text is None else text.encode("utf-8", "surrogatepass").translate(_LOWER))
+    if not len(codes):
+        return codes
+    width = min(WORDS, len(codes))
+    total = np.full(len(codes) - width + 1, width, dtype=np.uint64)
     for k in range(width):
         total += codes[k : len(codes) - width + 1 + k] * _FACTORS[k]
     total = np.sort(_mixed(total))
@@ -176,6 +200,7 @@ def shared_lists(rows: DataFrame) -> DataFrame:
 
     A first pass counts 32-bit hash values, which takes little shuffling as the counts are
     summed before it; only rows whose value occurs twice go on to the second shuffle.
+    ``rows`` is read twice, so it should be a saved table: shingling costs most of the time.
     """
     short = rows.withColumn("short", F.shiftright("shingle", 32).cast("int"))
     twice = short.groupBy("short").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("short")
@@ -309,7 +334,7 @@ def link_groups(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     prepare(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = save(profiled(texts))
-    rows = save(stars(save(shared_lists(postings(texts, frequency_ranks(profile))))))
+    rows = save(stars(save(shared_lists(save(postings(texts, frequency_ranks(profile)))))))
     links = save(verified(save(suffix_filtered(star_pairs(rows), profile)), texts).distinct())
     groups = connected_components(links)
     crossing = save(suffix_filtered(crossing_pairs(rows, groups), profile))

@@ -59,6 +59,28 @@ def test_chains_that_only_cross_a_list_are_found(spark, documents_of, prose):
     assert got == brute_groups(list(enumerate(steps[::-1])))
 
 
+def test_words_have_one_hash_each(monkeypatch):
+    """Equal words, and only those, get equal hashes, wherever they stand and however long they are."""
+    long = "x" * 70
+    text = f" a ab\tba\n\nb {long} a\x0b{long}y ab\x00 ab \u00e9\x1ca {long} b".encode()
+    words = text.split()
+    assert words.count(b"ab") == 2 and long.encode() in words
+    for run in (1 << 20, 5, 1):
+        monkeypatch.setattr(ngram_join, "RUN", run)
+        codes = ngram_join.word_codes(text).tolist()
+        assert codes == [ngram_join.word_codes(w)[0] for w in words]
+        assert len(set(codes)) == len(set(words))
+    assert not len(ngram_join.word_codes(b"")) and not len(ngram_join.word_codes(b" \n "))
+
+
+def test_prefixes_are_made_once(documents_of, prose, monkeypatch):
+    """The lists are made from saved postings, as each Python pass over the texts shingles them anew."""
+    plans, lists = [], ngram_join.shared_lists
+    monkeypatch.setattr(ngram_join, "shared_lists", lambda rows: (plans.append(rows._jdf.queryExecution().toString()), lists(rows))[1])
+    ngram_join.near_duplicates(documents_of([prose(1, 50), prose(1, 50), prose(2, 50)]))
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
+
+
 def test_near_duplicates_of_odd_rows(spark, documents_of, prose):
     text = prose(3, 50)
     frame = documents_of([text, text, text, None], ids=[7, 7, None, 9])
