@@ -9,13 +9,15 @@ moments make are solved outside, in Arrow batches that never see a series.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import future_date
 from ..operators.enrich import FLAG_KINDS, attach_flags, daily_flags
 from ..operators.lagstats import dot, filtered, lag_gram, lag_moments, lagged, span, total
 from .base import Factors, Z95, appended, as_arrays, configured, per_row, steps
@@ -23,16 +25,6 @@ from .base import Factors, Z95, appended, as_arrays, configured, per_row, steps
 FALLBACK_ORDERS = [(1, 1, 1), (0, 1, 0)]  # fixed values: tried when the wanted order fails
 
 
-def _difference_polynomial(d: int, seasonal_d: int, period: int) -> np.ndarray:
-    """Coefficients of (1-B)^d (1-B^s)^D by power of B."""
-    out = np.ones(1)
-    for _ in range(d):
-        out = np.convolve(out, [1.0, -1.0])
-    for _ in range(seasonal_d):
-        out = np.convolve(out, np.r_[1.0, np.zeros(period - 1), -1.0])
-    return out
-
-
 def _stable(lags: list[int], coef: np.ndarray) -> np.ndarray:
     """Shrink autoregressive coefficients whose recursion would explode."""
     if not lags:
@@ -48,30 +40,78 @@ def _stable(lags: list[int], coef: np.ndarray) -> np.ndarray:
 # --- what is fitted: orders and lags, from the length of a series alone -----------------------------
 
 
-def _plan(n: int, flags: int, order: tuple[int, int, int], seasonal: tuple[int, int, int, int]) -> dict | None:
-    """Lags, differences and first rows of an order; None when the series is too short for it."""
-    (p, d, q), (sp, sd, sq, period) = order, seasonal
-    ar = sorted({*range(1, p + 1), *(period * k for k in range(1, sp + 1))})
-    ma = sorted({*range(1, q + 1), *(period * k for k in range(1, sq + 1))})
-    delta = _difference_polynomial(d, sd, period)
-    rows, deepest, long = n - len(delta) + 1, max([0, *ar, *ma]), 0
-    if rows < 5:
-        return None
-    if ma:
-        long = min(max(deepest, int(np.ceil(np.log(max(rows, 3)) ** 1.5))), rows // 3)
-        if rows - long < long + 2:
-            return None
-    start = long + deepest
-    if rows - start < 1 + len(ar) + len(ma) + flags + 2:
-        return None
-    return {"order": [p, d, q, sp, sd, sq, period], "delta": delta.tolist(), "ar": ar, "ma": ma, "long": long, "start": start}
-
-
 PLAN = "order: array<int>, delta: array<double>, ar: array<int>, ma: array<int>, long: int, start: int"
 #: Too short for any order: a random walk without regressors.
 WALK = {"order": [0, 1, 0, 0, 0, 0, 1], "delta": [1.0, -1.0], "ar": [], "ma": [], "long": 0, "start": 0}
 
 
+def _numbers(values: Sequence) -> Column:
+    return F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]).cast("array<int>")
+
+
+def _lags(near: Column, far: Column, period: Column) -> Column:
+    both = F.concat(span(F.lit(1), near), F.transform(span(F.lit(1), far), lambda k: period * k))
+    return F.array_sort(F.array_distinct(both))
+
+
+def _difference_polynomial(d: Column, seasonal_d: Column, period: Column) -> Column:
+    """Coefficients of (1-B)^d (1-B^s)^D by power of B."""
+
+    def times(known: Column, stride: Column) -> Column:
+        def at(k: Column) -> Column:
+            return F.coalesce(F.get(known, k), F.lit(0.0)) - F.coalesce(F.get(known, k - stride), F.lit(0.0))
+
+        return F.transform(F.sequence(F.lit(0), F.size(known) + stride - 1), at)
+
+    strides = F.concat(F.array_repeat(F.lit(1), d), F.array_repeat(period, seasonal_d))
+    return F.aggregate(strides, F.array(F.lit(1.0)), times)
+
+
+def _deepest(ar: Column, ma: Column) -> Column:
+    return F.greatest(F.lit(0), F.coalesce(F.array_max(ar), F.lit(0)), F.coalesce(F.array_max(ma), F.lit(0)))
+
+
+def planned(n: Column, flags: int, numbers: Sequence[Column]) -> Column:
+    """Lags, differences and first rows of the first order that ``n`` values are enough for.
+
+    ``numbers`` are the wanted p, d, q, P, D, Q and period. Simpler orders follow, the walk is the last.
+    """
+    own, period = _numbers(numbers), numbers[6]
+    flat = _numbers((0, 0, 0, 1))
+    orders = F.array(F.slice(own, 1, 3), *[_numbers(o) for o in FALLBACK_ORDERS])
+    seasonal = (period >= 2) & F.exists(F.slice(own, 4, 3), lambda v: v != 0)
+    seasons = F.when(seasonal, F.array(F.slice(own, 4, 4), _numbers((1, 0, 1, period)), flat)).otherwise(F.array(flat))
+
+    def shaped(c: Column) -> Column:
+        at = [F.get(c, F.lit(k)) for k in range(7)]
+        return F.struct(
+            c.alias("order"), _difference_polynomial(at[1], at[4], at[6]).alias("delta"),
+            _lags(at[0], at[3], at[6]).alias("ar"), _lags(at[2], at[5], at[6]).alias("ma"),
+        )
+
+    def sized(c: Column) -> Column:
+        return F.struct(c.alias("c"), (n - F.size(c["delta"]) + 1).alias("rows"), _deepest(c["ar"], c["ma"]).alias("deepest"))
+
+    def started(s: Column) -> Column:
+        wide = F.ceil(F.pow(F.log(F.greatest(s["rows"], F.lit(3))), F.lit(1.5))).cast("int")
+        first = F.least(F.greatest(s["deepest"], wide), F.floor(s["rows"] / 3).cast("int"))
+        return F.struct(s["c"], s["rows"], s["deepest"], F.when(F.size(s["c"]["ma"]) > 0, first).otherwise(F.lit(0)).alias("long"))
+
+    def enough(s: Column) -> Column:
+        unknown = 1 + F.size(s["c"]["ar"]) + F.size(s["c"]["ma"]) + flags
+        passes = (F.size(s["c"]["ma"]) == 0) | (s["rows"] - s["long"] >= s["long"] + 2)
+        return passes & (s["rows"] - s["long"] - s["deepest"] >= unknown + 2)
+
+    wanted = F.flatten(F.transform(seasons, lambda s: F.transform(orders, lambda o: F.concat(o, s))))
+    fitting = F.filter(F.transform(F.transform(wanted, shaped), sized), lambda s: s["rows"] >= 5)
+    found = F.transform(F.filter(F.transform(fitting, started), enough), lambda s: F.struct(
+        s["c"]["order"], s["c"]["delta"], s["c"]["ar"], s["c"]["ma"], s["long"], s["long"] + s["deepest"],
+    ).cast(f"struct<{PLAN}>"))
+    walk = F.struct(*[F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for v in WALK.values()]).cast(f"struct<{PLAN}>")
+    known = F.coalesce(F.get(found, F.lit(0)), walk)
+    return F.when(F.exists(own, lambda v: v.isNull()), F.raise_error("an order of ARIMA is null")).otherwise(known)
+
+
 # --- the small systems -----------------------------------------------------------------------------
 
 
@@ -163,32 +203,19 @@ class ARIMA:
     name: str = "arima"
     tunable = ("p", "d", "q", "seasonal_p", "seasonal_d", "seasonal_q", "seasonal_period")
 
-    def _candidates(self) -> list[tuple]:
-        seasonal = self.seasonal_order
-        if seasonal[3] < 2 or not any(seasonal[:3]):
-            flat = (0, 0, 0, 1)
-            return [(o, flat) for o in [self.order, *FALLBACK_ORDERS]]
-        simpler = [seasonal, (1, 0, 1, seasonal[3]), (0, 0, 0, 1)]
-        return [(o, s) for s in simpler for o in [self.order, *FALLBACK_ORDERS]]
-
     def fit(self, panel: DataFrame, factors: Factors | None = None, settings: DataFrame | None = None) -> DataFrame:
         kinds = [k for k in FLAG_KINDS if factors and k in factors]
         flags = [f"{k}_flag" for k in kinds]
         source = attach_flags(panel, factors) if kinds else panel
         own = dict(zip(self.tunable, [("int", v) for v in (*self.order, *self.seasonal_order)], strict=True))
         arrays = configured(as_arrays(source, "y", *flags), settings, own).withColumn("n", F.size("ys"))
-        model, n_flags = self, len(flags)
-
-        def plan(size: int, *numbers: int) -> dict:
-            wanted = replace(model, order=tuple(numbers[:3]), seasonal_order=tuple(numbers[3:]))._candidates()
-            return next((f for f in (_plan(size, n_flags, *c) for c in wanted) if f), WALK)
-
-        planned = appended(arrays, "plan", f"struct<{PLAN}>", ["n", *[f"own_{name}" for name in self.tunable]], plan).select("*", "plan.*")
+        plan = planned(F.col("n"), len(flags), [F.col(f"own_{name}") for name in self.tunable])
+        fixed = arrays.withColumn("plan", plan).select("*", "plan.*")
         # a walk has no regressors
         usable = F.col("plan")["order"] != F.array(*[F.lit(v) for v in WALK["order"]])
         xs = F.array(*[F.col(f"{f}s") for f in flags]).cast("array<array<double>>")
         zero = F.array().cast("array<array<double>>")
-        moved = planned.withColumn("xs", F.when(usable | (F.size("ma") > 0), xs).otherwise(zero)).withColumns({
+        moved = fixed.withColumn("xs", F.when(usable | (F.size("ma") > 0), xs).otherwise(zero)).withColumns({
             "w": filtered(F.col("ys"), F.col("delta")), "wx": F.transform("xs", lambda x: filtered(x, F.col("delta"))),
         })
         level = F.when(F.size("delta") == 1, total(F.col("w")) / F.size("w")).otherwise(0.0)
@@ -220,7 +247,7 @@ class ARIMA:
             F.transform(wx, lambda x: lagged(x, F.lit(0), start)),
         )).withColumn("target", lagged(F.col("w"), F.lit(0), start))
         kept = F.least(F.size("target"), F.coalesce(F.array_max("ma"), F.lit(0)) + 1)
-        deepest = F.greatest(F.coalesce(F.array_max("ar"), F.lit(0)), F.coalesce(F.array_max("ma"), F.lit(0)))
+        deepest = _deepest(F.col("ar"), F.col("ma"))
 
         def tail(values: Column | str, count: Column) -> Column:
             return F.slice(values, F.greatest(F.size(values) - count, F.lit(0)) + 1, F.greatest(count, F.lit(0)))
@@ -242,15 +269,20 @@ class ARIMA:
     ) -> DataFrame:
         kinds = [k for k in FLAG_KINDS if factors and k in factors]
         names = [f"{k}_flag" for k in kinds]
-        dated = steps(fitted.select("series_id", "last_ds"), horizon, freq)
         if kinds:
+            dated = steps(fitted.select("series_id", "last_ds"), horizon, freq)
             dated = dated.join(daily_flags(factors), "ds", "left").fillna(0.0, names)
-        future = dated.groupBy("series_id").agg(
-            F.array_sort(F.collect_list(F.struct("step", "ds", *names))).alias("future")
-        )
-        joined = fitted.join(future, "series_id").select(
-            *fitted.columns, F.col("future")["ds"].alias("dss"), *[F.col("future")[n].alias(n) for n in names]
-        )
+            future = dated.groupBy("series_id").agg(
+                F.array_sort(F.collect_list(F.struct("step", "ds", *names))).alias("future")
+            )
+            joined = fitted.join(future, "series_id").select(
+                *fitted.columns, F.col("future")["ds"].alias("dss"), *[F.col("future")[n].alias(n) for n in names]
+            )
+        else:
+            # shuffled, as each Python step that a task goes through keeps a process of its own
+            known = fitted.where(F.col("series_id").isNotNull()).repartition("series_id")
+            ahead = F.sequence(F.lit(1), F.lit(max(horizon, 1)))
+            joined = known.withColumn("dss", F.transform(ahead, lambda k: future_date("last_ds", k, freq)))
 
         def work(row: pd.Series) -> dict:
             listed = list(row["flags"])

@@ -1,11 +1,13 @@
 """Forecasters: shape, invariants, recovery of noiseless series, panel independence."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelcast.models import arima
 from panelcast.models.additive import AdditiveRegression, rank_contributions
 from panelcast.models.arima import ARIMA, SARIMAX
 from panelcast.models.auto import AutoML, Hybrid, route
@@ -78,6 +80,27 @@ def test_arima_recovers_ar_coefficient(panel_of):
     assert row["phi"][1] == pytest.approx(-0.6, abs=0.05) and row["sigma"] == pytest.approx(1.0, abs=0.06)
 
 
+def test_arima_keeps_few_python_processes(panel_of):
+    """A task keeps a process per Python step: two in a fit, made once, and one in a forecast of its own stage."""
+    model = SARIMAX((1, 0, 1), (1, 0, 1, 7))
+    out = model.forecast(model.fit(panel_of({"a": range(60)})), 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapIn(?:Arrow|Pandas)", plan)) == 3
+    assert "Exchange" in re.search(r"MapInPandas.*?MapInPandas", plan, re.S)[0]
+
+
+def test_arima_falls_back_by_length(spark):
+    rows = [(200, 1, 0, 1, 1, 1, 1, 7), (15, 1, 0, 1, 1, 1, 1, 7), (8, 1, 1, 1, 0, 0, 0, 0), (4, 2, 0, 0, 0, 0, 0, 0), (30, 3, 2, 0, 0, 1, 0, 3)]
+    names = ["p", "d", "q", "sp", "sd", "sq", "period"]
+    table = spark.createDataFrame(rows, "n int, " + ", ".join(f"{c} int" for c in names))
+    got = {r["n"]: r["plan"].asDict() for r in table.withColumn("plan", arima.planned(F.col("n"), 0, [F.col(c) for c in names])).collect()}
+    assert got[200]["order"] == [1, 0, 1, 1, 1, 1, 7] and got[200]["delta"] == [1.0, *[0.0] * 6, -1.0]
+    assert got[200]["ar"] == [1, 7] and got[200]["ma"] == [1, 7] and (got[200]["long"], got[200]["start"]) == (13, 20)
+    assert got[15]["order"] == [1, 0, 1, 0, 0, 0, 1]
+    assert got[4] == arima.WALK
+    assert got[30]["delta"] == [1.0, -2.0, 1.0, -1.0, 2.0, -1.0] and got[30]["ar"] == [1, 2, 3]
+
+
 def test_wma_value_and_weekday_factors(panel_of):
     row = WMA(window=3).fit(panel_of({"a": [1, 2, 3, 4]})).first()
     assert row["wma"] == pytest.approx((2 * 1 + 3 * 2 + 4 * 3) / 6)
